@@ -1,3 +1,3 @@
 """Importing this package registers every named query."""
 
-from quayside.plans.catalog import reconcile  # noqa: F401
+from quayside.plans.catalog import inference, movement, querylog, reconcile, sessions  # noqa: F401

@@ -226,9 +226,9 @@ FROM {supplier}
 
 # Per-minute load of each kind of event.
 DERIVED["minute_metrics"] = """
-SELECT event_type AS metric, date_trunc('hour', ts) AS minute,
+SELECT event_type AS metric, CAST(date_trunc('hour', ts) AS DATETIME) AS minute,
        CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS load
-FROM {events} GROUP BY event_type, date_trunc('hour', ts)
+FROM {events} GROUP BY event_type, CAST(date_trunc('hour', ts) AS DATETIME)
 """
 
 DERIVED["audit_events"] = """
@@ -277,6 +277,9 @@ SELECT 'orders_' || CAST(o_orderkey AS STRING) AS table_name,
 FROM {orders}
 """
 
+# What the two engines spell differently: the plain SQL form and Spark's.
+_SPELLINGS = {'"MktSegment"': "`MktSegment`", "AS DATETIME)": "AS TIMESTAMP_NTZ)"}
+
 _NAMES = re.compile(r"\{(\w+)\}")
 
 
@@ -284,7 +287,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived input built on given tables."""
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = DERIVED[name].replace('"MktSegment"', "`MktSegment`")
+    text = DERIVED[name]
+    for theirs, ours in _SPELLINGS.items():
+        text = text.replace(theirs, ours)
     parts = {n: load(spark, sf_dir, n) for n in set(_NAMES.findall(text))}
     return spark.sql(text, **parts)
 
