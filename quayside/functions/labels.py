@@ -100,7 +100,8 @@ def size_label(size: Column) -> Column:
         text = F.format_string("%d " + unit, F.shiftright(half + 1, 1))
         label = label.when(half < 20 * 1024 - 1, text)
         half = F.shiftright(half, 10)
-    return label.otherwise(F.format_string("%d PB", F.shiftright(half + 1, 1)))
+    label = label.otherwise(F.format_string("%d PB", F.shiftright(half + 1, 1)))
+    return F.when(size.isNotNull(), label)
 
 
 def finished_at(completed: Column, cancelled: Column) -> Column:

@@ -39,7 +39,7 @@ class TextColumn:
         """What the name and declared type allow the values to be."""
         name, kind = self.name.lower(), self.declared.upper()
         found = []
-        texty = any(t in kind for t in ("CHAR", "CLOB", "TEXT"))
+        texty = kind == "" or any(t in kind for t in ("CHAR", "CLOB", "TEXT"))
         if texty and ((self.primary_key and name in ("id", "uuid")) or name.endswith("_uuid")):
             found.append("uuid")
         if kind in ("INTEGER", "INT") and not self.foreign_key:

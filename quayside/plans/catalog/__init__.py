@@ -1,3 +1,11 @@
 """Importing this package registers every named query."""
 
-from quayside.plans.catalog import inference, movement, querylog, reconcile, sessions  # noqa: F401
+from quayside.plans.catalog import (  # noqa: F401
+    diagnostics,
+    inference,
+    movement,
+    querylog,
+    reconcile,
+    sessions,
+    streams,
+)

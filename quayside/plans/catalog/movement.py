@@ -257,20 +257,13 @@ def _(raw):
     return dumps.read_json_dump(raw.sparkSession, dump.data_path(folder, "shop", "customer", "json"), rows.columns)
 
 
-@query(
-    "k4_schema_sidecar",
-    ["orders"],
-    """
-SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'),
-  ('o_orderdate', 'timestamp_ntz'), ('o_orderpriority', 'string')) t(name, type)
-""",
-)
+@query("k4_schema_sidecar", ["orders"], "SELECT * FROM orders")
 def _(orders):
     folder = _folder(orders, "dump")
     dump.write_schema(orders, folder, "shop", "orders")
-    fields = restore.read_schemas(orders.sparkSession, folder)["shop.orders"].fields
-    pairs = [(f.name, f.dataType.simpleString()) for f in fields]
-    return orders.sparkSession.createDataFrame(pairs, "name string, type string")
+    dump.write_json(orders, folder, "shop", "orders", typed=True)
+    schema = restore.read_schemas(orders.sparkSession, folder)["shop.orders"]
+    return orders.sparkSession.read.schema(schema).json(dump.data_path(folder, "shop", "orders", "json"))
 
 
 _RESTORED = ["customer", "nation", "orders", "region"]

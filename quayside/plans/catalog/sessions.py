@@ -223,8 +223,8 @@ def _(sessions, edges):
 
 @query(
     "j8_collapse_suffixes",
-    ["sessions", "session_edges"],
-    _UP
+    ["sessions", "tail_edges"],
+    _UP.replace("session_edges", "tail_edges")
     + """, b AS (SELECT *, sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY snapshot, root ORDER BY row_no) AS branch FROM r),
 g AS (SELECT snapshot, root, branch, list(CASE WHEN cycle THEN -pid ELSE pid END ORDER BY row_no) AS chain FROM b GROUP BY 1, 2, 3)
 SELECT b.snapshot, b.root, b.row_no, b.depth, b.pid FROM b JOIN g ON g.snapshot = b.snapshot AND g.root = b.root AND g.branch = b.branch
@@ -233,7 +233,6 @@ WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.snapshot = g.snapshot AND o.root = g
 """,
 )
 def _(sessions, edges):
-    # A direct edge to the blocker's blocker makes the shorter branch a tail.
     up = blocking.walk(sessions, edges, _SCOPE)
     return blocking.collapse_suffixes(up, _SCOPE).select("snapshot", "root", "row_no", "depth", "pid")
 

@@ -231,6 +231,29 @@ SELECT event_type AS metric, CAST(date_trunc('hour', ts) AS DATETIME) AS minute,
 FROM {events} GROUP BY event_type, CAST(date_trunc('hour', ts) AS DATETIME)
 """
 
+# Locks: every session holds two, and each wait asks for one its blocker holds.
+DERIVED["locks"] = """
+SELECT snapshot, pid, true AS granted, 'transactionid' AS locktype, 'ExclusiveLock' AS mode, 1 AS dbid,
+       CAST(NULL AS INT) AS relation, CAST(NULL AS INT) AS page, CAST(NULL AS INT) AS tup, CAST(NULL AS STRING) AS virtualxid,
+       pid AS transactionid, CAST(NULL AS INT) AS classid, CAST(NULL AS INT) AS objid, CAST(NULL AS INT) AS objsubid
+FROM {sessions}
+UNION ALL
+SELECT snapshot, pid, true, 'relation', 'RowExclusiveLock', 1, pid % 7, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {sessions}
+UNION ALL
+SELECT snapshot, pid, false, 'transactionid', 'ShareLock', 1, NULL, NULL, NULL, NULL, blocker_pid, NULL, NULL, NULL
+FROM {session_edges} WHERE pid % 2 = 0
+UNION ALL
+SELECT snapshot, pid, false, 'relation', 'AccessExclusiveLock', 1, blocker_pid % 7, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM {session_edges} WHERE pid % 2 = 1
+"""
+
+# Direct waits plus a second edge that makes one chain the tail of another.
+DERIVED["tail_edges"] = """
+SELECT snapshot, pid, blocker_pid, ord FROM {session_edges}
+UNION ALL
+SELECT snapshot, pid, pid - 2 AS blocker_pid, 5 AS ord FROM {sessions} WHERE pid % 5 = 3
+"""
+
 DERIVED["audit_events"] = """
 SELECT event_id AS id, event_type AS action, ts AS created_at,
        'user' || CAST(user_id AS STRING) AS actor, props AS metadata
@@ -287,10 +310,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived input built on given tables."""
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = {n: load(spark, sf_dir, n) for n in set(_NAMES.findall(DERIVED[name]))}
+    return derive(spark, name, **parts)
+
+
+def derive(spark: SparkSession, name: str, **parts: DataFrame) -> DataFrame:
+    """A derived input from the frames it names, which may be streams."""
     text = DERIVED[name]
     for theirs, ours in _SPELLINGS.items():
         text = text.replace(theirs, ours)
-    parts = {n: load(spark, sf_dir, n) for n in set(_NAMES.findall(text))}
     return spark.sql(text, **parts)
 
 

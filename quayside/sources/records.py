@@ -118,37 +118,48 @@ def classify_trace(lines: DataFrame) -> DataFrame:
     an unknown field, or malformed. A line cut off in the middle, as an
     interrupted writer leaves it, is ``torn``: it opens more than it closes.
     """
+    # Each stage is used more than once in the next, so it is its own projection
+    # and the parsing is done once per line.
     line = F.col("value")
-    envelope = F.from_json(line, "type STRING, schema_version INT")
-    outer = F.json_object_keys(line)
-    capture = F.get_json_object(line, "$.capture")
-    inner = F.json_object_keys(capture)
-    rows = F.from_json(F.get_json_object(capture, "$.connections"), "ARRAY<MAP<STRING, STRING>>")
-    fields = F.array_distinct(F.flatten(F.transform(rows, F.map_keys)))
+    parsed = lines.where(F.trim("value") != "").select(
+        "*",
+        F.try_parse_json(line).isNotNull().alias("_valid"),
+        F.from_json(line, "type STRING, schema_version INT").alias("_head"),
+        F.get_json_object(line, "$.capture").alias("_capture"),
+    )
+    session_maps = F.from_json(
+        F.get_json_object("_capture", "$.connections"), "ARRAY<MAP<STRING, STRING>>"
+    )
+    bare = F.regexp_replace(F.when(~F.col("_valid"), line), r'"(?:[^"\\]++|\\.)*+"', "")
 
     def unknown(names: Column, allowed: list[str]) -> Column:
         extra = F.array_except(names, F.array(*[F.lit(a) for a in allowed]))
         return F.coalesce(F.size(extra) > 0, F.lit(False))
 
-    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"', "")
-    opens = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
-    closes = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
-    valid = F.try_parse_json(line).isNotNull() & outer.isNotNull()
+    checked = parsed.select(
+        *lines.columns,
+        "_valid",
+        "_head",
+        bare.alias("_bare"),
+        (
+            unknown(F.json_object_keys(line), TRACE_FIELDS)
+            | unknown(F.json_object_keys("_capture"), CAPTURE_FIELDS)
+            | unknown(F.array_distinct(F.flatten(F.transform(session_maps, F.map_keys))), TRACE_SESSION_FIELDS)
+        ).alias("_unknown"),
+    )
+    opens = F.length(F.regexp_replace("_bare", r"[^{\[]", ""))
+    closes = F.length(F.regexp_replace("_bare", r"[^}\]]", ""))
+    is_header = F.col("_head.type") == "capture_start"
     kind = (
-        F.when(~valid & ((opens > closes) | bare.contains('"')), "torn")
-        .when(~valid, "malformed")
-        .when(
-            envelope["type"] == "capture_start",
-            F.when(envelope["schema_version"] == TRACE_VERSION, "header").otherwise("wrong version"),
-        )
-        .when(F.coalesce(envelope["type"], F.lit("")) != "", "wrong type")
-        .when(
-            unknown(outer, TRACE_FIELDS) | unknown(inner, CAPTURE_FIELDS) | unknown(fields, TRACE_SESSION_FIELDS),
-            "unknown field",
-        )
+        F.when(~F.col("_valid") & ((opens > closes) | F.col("_bare").contains('"')), "torn")
+        .when(~F.col("_valid"), "malformed")
+        .when(is_header & (F.col("_head.schema_version") == TRACE_VERSION), "header")
+        .when(is_header, "wrong version")
+        .when(F.coalesce(F.col("_head.type"), F.lit("")) != "", "wrong type")
+        .when(F.col("_unknown"), "unknown field")
         .otherwise("record")
     )
-    return lines.where(F.trim("value") != "").withColumn("kind", kind)
+    return checked.select(*lines.columns, kind.alias("kind"))
 
 
 def read_trace(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
