@@ -6,7 +6,7 @@ blanks, then the leading words decide. It is a guard for logs, not a grammar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The words that lead a read, and those that lead a removal.
@@ -70,9 +70,9 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s++|\s++$", "")
 
 
-def is_read(c: Column) -> Column:
+def _reads(text: Column) -> Column:
     """A query that only reads, also when led by CTEs."""
-    text = _trimmed(visible_sql(c))
+    text = _trimmed(text)
     reads = rf"(?i)^{_words(READ_WORDS)}"
     after = F.when(_starts_with_cte(text), _main_clause(text))
     return F.when(
@@ -80,9 +80,9 @@ def is_read(c: Column) -> Column:
     ).otherwise(text.rlike(reads))
 
 
-def returns_rows(c: Column) -> Column:
+def _returns_rows(text: Column) -> Column:
     """A write that hands rows back."""
-    return visible_sql(c).rlike(r"(?i)(^|[ \n\r\t])RETURNING([ \n\r\t]|$)")
+    return text.rlike(r"(?i)(^|[ \n\r\t])RETURNING([ \n\r\t]|$)")
 
 
 def _removes(statement: Column) -> Column:
@@ -99,9 +99,8 @@ def _removes(statement: Column) -> Column:
     )
 
 
-def is_destructive(c: Column) -> Column:
+def _destructive(text: Column) -> Column:
     """Any statement in the text deletes, drops or truncates."""
-    text = visible_sql(c)
     led_line = text.rlike(rf"(?i)\n[ \t\r]*+{_words(REMOVAL_WORDS)}")
 
     def statement_removes(part: Column) -> Column:
@@ -114,7 +113,23 @@ def is_destructive(c: Column) -> Column:
     return led_line | F.exists(F.split(text, ";"), statement_removes)
 
 
-def statement_count(c: Column) -> Column:
+def _statement_count(text: Column) -> Column:
     """Statements in the text, empty ones not counted."""
-    parts = F.split(visible_sql(c), ";")
-    return F.size(F.filter(parts, lambda part: _trimmed(part) != ""))
+    return F.size(F.filter(F.split(text, ";"), lambda part: _trimmed(part) != ""))
+
+
+def classify(df: DataFrame, column: str) -> DataFrame:
+    """Adds what the SQL text in ``column`` would do.
+
+    The cleaned text is a projection of its own, so it is made once per row
+    and not once per flag.
+    """
+    cleaned = df.withColumn("_visible", visible_sql(F.col(column)))
+    text = F.col("_visible")
+    flags = {
+        "reads": _reads(text),
+        "destructive": _destructive(text),
+        "returns_rows": _returns_rows(text),
+        "statements": _statement_count(text),
+    }
+    return cleaned.withColumns(flags).drop("_visible")

@@ -29,28 +29,38 @@ def _is_empty(df: DataFrame) -> bool:
     return not df.head(1)
 
 
-def reach(pairs: DataFrame, steps: DataFrame, scope: Scope) -> DataFrame:
-    """All (root, node) pairs that follow from ``pairs`` by taking ``steps``.
-
-    ``steps`` has columns ``at`` and ``to``. Works level by level over all
-    snapshots at once: only pairs new in the last level take the next step, and
-    pairs already known are dropped, so cycles end and a diamond counts once.
-    Each level is a written table, which keeps plans short and lets a lost
-    executor reread instead of recompute.
+def closure(steps: DataFrame, scope: Scope) -> DataFrame:
+    """All (root, node) pairs that steps ``at`` -> ``to`` lead to, with their distance.
+
+    Distances double every round: a pair that is between n and 2n steps apart
+    consists of a pair exactly n apart and one at most n apart, so joining
+    these two finds every new pair, and a chain finds it once. A chain of d
+    sessions takes log2(d) rounds, all snapshots at once. Pairs already known
+    are dropped, so cycles end and a diamond counts once. Each round is a
+    written table, which keeps plans short and lets a lost executor reread
+    instead of recompute.
     """
     pair = [*scope, "root", "node"]
-    steps = materialize(steps.select(*scope, "at", "to").distinct(), "steps")
-    delta = materialize(pairs.select(*pair).where("root <> node").distinct(), "reach")
-    known = delta
-    while not _is_empty(delta):
-        on = [delta[c] == steps[c] for c in scope] + [delta["node"] == steps["at"]]
-        hop = delta.join(steps, on).select(
-            *[delta[c] for c in scope], delta["root"], F.col("to").alias("node")
+    first = steps.select(
+        *scope, F.col("at").alias("root"), F.col("to").alias("node")
+    ).where("root <> node")
+    known = materialize(first.distinct().withColumn("distance", F.lit(1)), "closure")
+    n = 1
+    while True:
+        edge = known.where(F.col("distance") == n)
+        if _is_empty(edge):
+            return known
+        left = edge.select(*scope, "root", F.col("node").alias("via"))
+        right = known.select(*scope, F.col("root").alias("via"), "node", "distance")
+        longer = (
+            left.join(right, [*scope, "via"])
+            .where("root <> node")
+            .groupBy(*pair)
+            .agg((F.min("distance") + n).alias("distance"))
         )
-        fresh = hop.where("root <> node").distinct().join(known, pair, "left_anti")
-        delta = materialize(fresh, "reach")
-        known = known.unionByName(delta)
-    return known
+        fresh = longer.join(known, pair, "left_anti")
+        known = known.unionByName(materialize(fresh, "closure"))
+        n *= 2
 
 
 def _downstream_steps(edges: DataFrame, scope: Scope) -> DataFrame:
@@ -59,22 +69,16 @@ def _downstream_steps(edges: DataFrame, scope: Scope) -> DataFrame:
 
 def downstream(edges: DataFrame, scope: Scope) -> DataFrame:
     """Every session with every session stuck behind it, directly or not."""
-    steps = _downstream_steps(edges, scope)
-    pairs = steps.select(*scope, F.col("at").alias("root"), F.col("to").alias("node"))
-    return reach(pairs, steps, scope)
+    return closure(_downstream_steps(edges, scope), scope)
 
 
 def root_chains(edges: DataFrame, scope: Scope) -> DataFrame:
     """Blockers that wait for no one, each with all sessions behind them.
 
-    Starts at the roots instead of everywhere, so no pair below a root is ever
-    built. A snapshot where all sessions wait in a circle has no root.
+    A snapshot where all sessions wait in a circle has no root.
     """
-    steps = _downstream_steps(edges, scope)
-    waiting = edges.select(*scope, F.col("pid").alias("at")).distinct()
-    seeds = steps.join(waiting, [*scope, "at"], "left_anti")
-    pairs = seeds.select(*scope, F.col("at").alias("root"), F.col("to").alias("node"))
-    return reach(pairs, steps, scope)
+    waiting = edges.select(*scope, F.col("pid").alias("root")).distinct()
+    return downstream(edges, scope).join(waiting, [*scope, "root"], "left_anti")
 
 
 def blocking_counts(sessions: DataFrame, edges: DataFrame, scope: Scope) -> DataFrame:
@@ -187,10 +191,8 @@ def walk(
 def _markers(cut: DataFrame, listed: DataFrame, step: DataFrame, scope: list[str]) -> DataFrame:
     """Marker rows of the trees that were cut, with what they leave out."""
     tree = [*scope, "root"]
-    seeds = step.select(*scope, F.col("at").alias("root"), F.col("to").alias("node")).join(
-        cut.select(*tree), tree, "left_semi"
-    )
-    all_nodes = reach(seeds, step, scope).groupBy(*tree).agg(F.count("*").alias("total"))
+    reached = closure(step, scope).join(cut.select(*tree), tree, "left_semi")
+    all_nodes = reached.groupBy(*tree).agg(F.count("*").alias("total"))
     shown = (
         listed.where("pid <> root").groupBy(*tree).agg(F.count_distinct("pid").alias("shown"))
     )

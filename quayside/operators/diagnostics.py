@@ -107,47 +107,46 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
     index and leading column.
     """
     key = ["db", "relid"]
-    base = indexes.select(
-        *key, "schema_name", "rel_name", "index_name", "is_unique",
-        F.col("columns").alias("cols"), F.split("columns", ",").alias("list"),
-    )
     winner = F.struct((~F.col("is_unique")).alias("plain"), "index_name")
-    best = base.groupBy(*key, "cols").agg(
-        F.min_by(F.struct("index_name", "cols"), winner).alias("same"),
+    own = F.struct("index_name", F.col("columns").alias("cols"))
+    # One row per distinct column list of a table; all below works on these.
+    lists = indexes.groupBy(*key, F.col("columns").alias("cols")).agg(
+        F.min_by(own, winner).alias("best"),
+        F.min_by(own, "index_name").alias("any"),
+        F.min_by(F.when(F.col("is_unique"), own), F.when(F.col("is_unique"), F.col("index_name"))).alias("unique"),
     )
-    prefixes = base.select(
-        *key, "index_name", "cols",
+    parts = F.split("cols", ",")
+    prefixes = lists.select(
+        *key,
+        "cols",
+        "any",
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.size("list")),
-                lambda n: F.array_join(F.slice("list", F.lit(1), n), ","),
+                F.sequence(F.lit(0), F.size(parts) - 1),
+                lambda n: F.array_join(F.slice(parts, F.lit(1), n), ","),
             )
         ).alias("prefix"),
+    ).where("prefix <> ''")
+    wider = prefixes.groupBy(*key, F.col("prefix").alias("cols")).agg(
+        F.min_by("any", "any.index_name").alias("wider")
     )
-    wider = (
-        prefixes.where("prefix <> cols")
-        .groupBy(*key, F.col("prefix").alias("cols"))
-        .agg(F.min_by(F.struct("index_name", "cols"), "index_name").alias("wider"))
-    )
-    unique = (
-        base.where("is_unique")
-        .groupBy(*key, F.col("cols").alias("prefix"))
-        .agg(F.min_by(F.struct("index_name", "cols"), "index_name").alias("u"))
-    )
+    unique = lists.where("unique IS NOT NULL").select(*key, F.col("cols").alias("prefix"), "unique")
     covered = (
-        prefixes.where("prefix <> cols")
-        .join(unique, [*key, "prefix"])
-        .groupBy(*key, "index_name")
-        .agg(F.min_by("u", "u.index_name").alias("covering"))
+        prefixes.join(unique, [*key, "prefix"])
+        .groupBy(*key, "cols")
+        .agg(F.min_by("unique", "unique.index_name").alias("covering"))
     )
-    same = F.when(F.col("same.index_name") != F.col("index_name"), F.col("same"))
+    judged = (
+        lists.select(*key, "cols", "best")
+        .join(wider, [*key, "cols"], "left")
+        .join(covered, [*key, "cols"], "left")
+    )
+    same = F.when(F.col("best.index_name") != F.col("index_name"), F.col("best"))
     broader = F.when(~F.col("is_unique"), F.col("wider"))
-    dominant = F.coalesce(same, broader, F.col("covering"))
     return (
-        base.join(best, [*key, "cols"])
-        .join(wider, [*key, "cols"], "left")
-        .join(covered, [*key, "index_name"], "left")
-        .withColumn("d", dominant)
+        indexes.withColumnRenamed("columns", "cols")
+        .join(judged, [*key, "cols"])
+        .withColumn("d", F.coalesce(same, broader, F.col("covering")))
         .where("d IS NOT NULL")
         .select(
             "db",

@@ -96,6 +96,19 @@ def first_keys(source: DataFrame, target: DataFrame, pk: Sequence[str], limit: i
     return source.where(key <= edge), target.where(key <= edge)
 
 
+def sample_keys(keys: DataFrame, pk: Sequence[str], samples: int) -> DataFrame:
+    """The first ``samples`` keys of every class.
+
+    The rank limit is applied inside each task before the shuffle, so a class
+    that holds most of the table sends only ``samples`` rows per task.
+    """
+    classes = F.array(*[F.when(F.col(c) > 0, c) for c in CLASSES])
+    long = keys.select(*pk, F.explode(F.filter(classes, lambda c: c.isNotNull())).alias("class"))
+    by_key = Window.partitionBy("class").orderBy(*pk)
+    ranked = long.select("*", F.row_number().over(by_key).alias("rank"))
+    return ranked.where(F.col("rank") <= samples)
+
+
 def sample_rows(
     leftover: DataFrame,
     keys: DataFrame,
@@ -103,18 +116,7 @@ def sample_rows(
     samples: int,
     truncate_at: int | None = None,
 ) -> DataFrame:
-    """The first ``samples`` keys of every class with their differing rows.
-
-    The rank limit is applied inside each task before the shuffle, so a class
-    that holds most of the table sends only ``samples`` rows per task.
-    """
-    long = keys.select(
-        *pk, F.explode(F.array(*[F.when(F.col(c) > 0, c) for c in CLASSES])).alias("class")
-    ).where("class IS NOT NULL")
-    by_key = Window.partitionBy("class").orderBy(*pk)
-    chosen = long.select("*", F.row_number().over(by_key).alias("rank")).where(
-        F.col("rank") <= samples
-    )
+    """The sampled keys with their differing rows as text."""
     content = [c for c in leftover.columns if c not in pk and not c.endswith("_copies")]
     shown = [F.col(c).cast("string") for c in content]
     if truncate_at:
@@ -125,7 +127,7 @@ def sample_rows(
         *[c.alias(name) for c, name in zip(shown, content)],
     )
     # At most samples x classes keys by construction, so broadcasting is safe.
-    return rows.join(F.broadcast(chosen), list(pk))
+    return rows.join(F.broadcast(sample_keys(keys, pk, samples)), list(pk))
 
 
 def table_diff(
@@ -138,7 +140,6 @@ def table_diff(
     only_pks: bool = False,
     limit: int | None = None,
     samples: int = 10,
-    truncate_at: int | None = None,
 ) -> DataFrame:
     """One report row: counts per class and sample keys of each class."""
     pk = list(pk)
@@ -146,26 +147,20 @@ def table_diff(
         source, target = first_keys(source, target, pk, limit)
     if only_pks:
         source, target = source.select(*pk), target.select(*pk)
-    leftover = materialize(leftover_rows(source, target, pk, None, kinds), "diff")
-    keys = classify_keys(leftover, pk)
+    leftover = leftover_rows(source, target, pk, None, kinds)
+    # Only keys that differ are written; counts and samples both read them.
+    keys = materialize(classify_keys(leftover, pk), "diff")
     counts = keys.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_rows_count") for c in CLASSES]
     )
-    sampled = sample_rows(leftover, keys, pk, samples, truncate_at)
-    picked = sampled.groupBy("class").agg(
-        F.array_sort(F.collect_set(F.struct("rank", *pk))).alias("picked")
-    )
-    as_text = F.transform(
-        "picked", lambda k: F.concat_ws("/", *[k[c].cast("string") for c in pk])
-    )
-    lists = picked.agg(
-        *[
-            F.max(F.when(F.col("class") == c, F.array_join(as_text, ","))).alias(
-                f"{c}_rows"
-            )
-            for c in CLASSES
-        ]
-    )
+    picked = sample_keys(keys, pk, samples).select("class", "rank", F.concat_ws("/", *pk).alias("k"))
+
+    def in_order(name: str) -> Column:
+        of_class = F.when(F.col("class") == name, F.struct("rank", "k"))
+        listed = F.transform(F.sort_array(F.collect_list(of_class)), lambda p: p["k"])
+        return F.nullif(F.array_join(listed, ","), F.lit("")).alias(f"{name}_rows")
+
+    lists = picked.agg(*[in_order(c) for c in CLASSES])
     total = source.agg(F.count("*").alias("source_rows"))
     report = total.join(counts).join(lists)  # three one-row frames
     unpaired = F.col("mismatched_rows_count") + F.col("extra_source_rows_count")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.operators.quantiles import approx_quantiles, exact_quantiles
+from quayside.session import materialize
 
 # The metrics a ranking accepts and the rollup column of each.
 METRICS = {
@@ -173,6 +174,7 @@ def overview(rollup: DataFrame, per_metric: int = 5) -> DataFrame:
     Each branch is a top-k, so the stacked frame holds a few dozen rows and
     the deduplicating window is small by construction.
     """
+    rollup = materialize(rollup, "rollup")  # read five times
     branches = []
     for no, metric in enumerate(OVERVIEW_METRICS):
         top = top_queries(rollup, metric, "desc", per_metric)

@@ -356,7 +356,7 @@ def _(raw):
     raw.select(line.alias("value")).write.text(folder)
     rows = dumps.read_sql_dump(raw.sparkSession, folder, "sqlite")
     first = rows.where("row_ordinal = 0")
-    return dumps.dump_table(first, "raw", ["id", "name", "metadata", "is_vip", "note"])
+    return dumps.dump_table(first, "raw", ["id", "name", "metadata", "is_vip", "note"], "sqlite")
 
 
 @query(
@@ -542,14 +542,8 @@ FROM statements
 """,
 )
 def _(logged):
-    q = F.col("query")
-    return logged.select(
-        "doc_id",
-        statements.is_read(q).alias("reads"),
-        statements.is_destructive(q).alias("destructive"),
-        statements.returns_rows(q).alias("returns_rows"),
-        statements.statement_count(q).alias("statements"),
-    )
+    classed = statements.classify(logged, "query")
+    return classed.select("doc_id", "reads", "destructive", "returns_rows", "statements")
 
 
 @query(

@@ -151,7 +151,7 @@ def _(edges):
     _CLOSURE + "SELECT snapshot, root, node FROM c WHERE root <> node",
 )
 def _(edges):
-    return blocking.downstream(edges, _SCOPE)
+    return blocking.downstream(edges, _SCOPE).select("snapshot", "root", "node")
 
 
 _ROOTS = """

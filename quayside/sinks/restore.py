@@ -66,17 +66,28 @@ def read_schemas(spark: SparkSession, folder: str) -> dict[str, T.StructType]:
     return {r["name"]: T.StructType.fromJson(json.loads(r["schema"])) for r in names.collect()}
 
 
-def check_statement_sizes(
+def check_statements(
     spark: SparkSession, folder: str, limit: int = MAX_STATEMENT_BYTES
-) -> None:
-    """Raise when a statement is larger than the target would take."""
-    biggest = (
-        dumps.read_statements(spark, f"{folder}/*.sql")
-        .agg(F.max(F.octet_length("statement")))
-        .first()[0]
+) -> dict[str, int]:
+    """Rows per table of an SQL dump, in one pass over its statements.
+
+    Raises when a statement is larger than the target would take, or does not
+    come apart into rows.
+    """
+    inserts = dumps.read_inserts(spark, f"{folder}/*.sql")
+    sizes = inserts.groupBy("table_name").agg(
+        F.sum(F.size("tuples")).alias("rows"),
+        F.max(F.octet_length("statement")).alias("bytes"),
+        F.count_if("broken").alias("broken"),
     )
-    if biggest and biggest > limit:
+    found = sizes.collect()
+    biggest = max((r["bytes"] for r in found), default=0)
+    if biggest > limit:
         raise ValueError(f"a statement of {biggest} bytes is larger than {limit} bytes")
+    broken = sum(r["broken"] for r in found)
+    if broken:
+        raise ValueError(f"{broken} statements do not come apart into rows")
+    return {r["table_name"]: r["rows"] for r in found}
 
 
 def restore(
@@ -103,8 +114,9 @@ def restore(
         raise ValueError("schema only and data only exclude each other")
     if start and end and end < start:
         raise ValueError(f"ending table {end!r} comes before starting table {start!r}")
+    in_dump: dict[str, int] | None = None
     if form == "sql" and not schema_only:
-        check_statement_sizes(spark, folder, max_statement_bytes)
+        in_dump = check_statements(spark, folder, max_statement_bytes)
     schemas = {
         name: schema
         for name, schema in sorted(read_schemas(spark, folder).items())
@@ -123,7 +135,8 @@ def restore(
         save(rows, target, table)
         if schema_only or read_back is None:
             return 0
-        return expect_rows(name, read_back(target, table).count(), rows.count())
+        expected = rows.count() if in_dump is None else in_dump.get(table, 0)
+        return expect_rows(name, read_back(target, table).count(), expected)
 
     return per_table(spark, list(schemas), load, threads)
 

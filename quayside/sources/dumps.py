@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,16 +53,33 @@ def _tuple_patterns(dialect: str) -> tuple[str, str]:
     return rf"(?s)\(({inner})\)", rf"(?s)(?:^|,)({value})"
 
 
-def _literal_value(c: Column, dialect: str) -> Column:
-    """The text a literal stands for; NULL and nothing become null."""
-    c = strip(c)
-    quote = F.left(c, F.lit(1))
-    quoted = quote.isin("'", '"') & (F.length(c) >= 2) & (F.right(c, F.lit(1)) == quote)
-    body = F.substring(c, F.lit(2), F.length(c) - 2)
-    body = F.replace(body, F.concat(quote, quote), quote)
-    if dialect == "mysql":
-        body = F.when(body.contains("\\"), unescape_literal(body)).otherwise(body)
-    return F.when(quoted, body).when((c != "") & (F.upper(c) != "NULL"), c)
+def _unquoted(c: Column) -> Column:
+    """A trimmed token without its quotes; NULL and nothing become null."""
+    inner = F.substring(c, F.lit(2), F.length(c) - 2)
+    return (
+        F.when(c.startswith("'"), F.replace(inner, F.lit("''"), F.lit("'")))
+        .when(c.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"')))
+        .when(~F.upper(c).isin("NULL", ""), c)
+    )
+
+
+def _unescaped(c: Column, dialect: str) -> Column:
+    if dialect != "mysql":
+        return c
+    return F.when(c.contains("\\"), unescape_literal(c)).otherwise(c)
+
+
+def decode_tokens(df: DataFrame, columns: Sequence[str], dialect: str) -> DataFrame:
+    """Written tokens as the text they stand for.
+
+    One projection per step: each step uses its input several times, and as a
+    column of its own it is computed once.
+    """
+
+    def step(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
+        return df.select(*[fn(F.col(f"`{c}`")).alias(c) for c in columns])
+
+    return step(step(step(df, strip), _unquoted), lambda c: _unescaped(c, dialect))
 
 
 def read_inserts(
@@ -108,17 +125,21 @@ def read_inserts(
 def read_sql_dump(
     spark: SparkSession, paths: str | Sequence[str], dialect: str = "mysql"
 ) -> DataFrame:
-    """Rows of a dump: table, place in the statement, column list and values."""
+    """Rows of a dump: table, place in the statement, column list and tokens.
+
+    ``tokens`` are the values as they are written; :func:`dump_table` decodes
+    those that are wanted.
+    """
     _, value = _tuple_patterns(dialect)
     rows = (
         read_inserts(spark, paths, dialect)
         .where("NOT broken")
         .select("file", "table_name", "columns", F.posexplode("tuples").alias("row_ordinal", "row"))
     )
-    values = F.transform(
-        F.regexp_extract_all("row", F.lit(value), 1), lambda v: _literal_value(v, dialect)
+    return rows.select(
+        "file", "table_name", "row_ordinal", "columns",
+        F.regexp_extract_all("row", F.lit(value), 1).alias("tokens"),
     )
-    return rows.select("file", "table_name", "row_ordinal", "columns", values.alias("values"))
 
 
 def quarantined(inserts: DataFrame) -> DataFrame:
@@ -134,15 +155,18 @@ def statement_rows(inserts: DataFrame) -> DataFrame:
     return inserts.groupBy("table_name").agg(F.sum(rows).alias("rows"))
 
 
-def dump_table(rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
+def dump_table(
+    rows: DataFrame, table: str, columns: Sequence[str], dialect: str = "mysql"
+) -> DataFrame:
     """The text columns of one table, by name where the dump lists names."""
-    picked = []
+    found = []
     for i, name in enumerate(columns):
         at = F.when(F.col("columns").isNull(), F.lit(i)).otherwise(
             F.array_position("columns", name).cast("int") - 1
         )
-        picked.append(F.when(at >= 0, F.get("values", at)).alias(name))
-    return rows.where(F.col("table_name") == table).select(*picked)
+        found.append(F.when(at >= 0, F.get("tokens", at)).alias(name))
+    tokens = rows.where(F.col("table_name") == table).select(*found)
+    return decode_tokens(tokens, columns, dialect)
 
 
 def _named_parts(path: Column) -> dict[str, Column]:
@@ -191,7 +215,7 @@ def read_dump_dir(
     named = rows.withColumn("kind", names["kind"]).where("kind = 'data'")
     named = named.select(
         names["database"].alias("database"), "table_name", names["part"].alias("part"),
-        "row_ordinal", "columns", "values",
+        "row_ordinal", "columns", "tokens",
     )
     return table_range(named, start, end)
 

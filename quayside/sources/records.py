@@ -123,28 +123,30 @@ def classify_trace(lines: DataFrame) -> DataFrame:
     line = F.col("value")
     parsed = lines.where(F.trim("value") != "").select(
         "*",
-        F.try_parse_json(line).isNotNull().alias("_valid"),
+        F.try_parse_json(line).alias("_doc"),
         F.from_json(line, "type STRING, schema_version INT").alias("_head"),
-        F.get_json_object(line, "$.capture").alias("_capture"),
     )
-    session_maps = F.from_json(
-        F.get_json_object("_capture", "$.connections"), "ARRAY<MAP<STRING, STRING>>"
-    )
-    bare = F.regexp_replace(F.when(~F.col("_valid"), line), r'"(?:[^"\\]++|\\.)*+"', "")
 
-    def unknown(names: Column, allowed: list[str]) -> Column:
-        extra = F.array_except(names, F.array(*[F.lit(a) for a in allowed]))
+    def names(path: str) -> Column:
+        return F.map_keys(F.try_variant_get("_doc", path, "MAP<STRING, VARIANT>"))
+
+    rows = F.try_variant_get("_doc", "$.capture.connections", "ARRAY<MAP<STRING, VARIANT>>")
+    session_names = F.array_distinct(F.flatten(F.transform(rows, F.map_keys)))
+
+    def unknown(found: Column, allowed: list[str]) -> Column:
+        extra = F.array_except(found, F.array(*[F.lit(a) for a in allowed]))
         return F.coalesce(F.size(extra) > 0, F.lit(False))
 
+    valid = F.col("_doc").isNotNull()
     checked = parsed.select(
         *lines.columns,
-        "_valid",
+        valid.alias("_valid"),
         "_head",
-        bare.alias("_bare"),
+        F.when(~valid, F.regexp_replace(line, r'"(?:[^"\\]++|\\.)*+"', "")).alias("_bare"),
         (
-            unknown(F.json_object_keys(line), TRACE_FIELDS)
-            | unknown(F.json_object_keys("_capture"), CAPTURE_FIELDS)
-            | unknown(F.array_distinct(F.flatten(F.transform(session_maps, F.map_keys))), TRACE_SESSION_FIELDS)
+            unknown(names("$"), TRACE_FIELDS)
+            | unknown(names("$.capture"), CAPTURE_FIELDS)
+            | unknown(session_names, TRACE_SESSION_FIELDS)
         ).alias("_unknown"),
     )
     opens = F.length(F.regexp_replace("_bare", r"[^{\[]", ""))
