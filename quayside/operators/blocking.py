@@ -108,8 +108,10 @@ def walk(
     path is marked as a cycle and not followed; one that is gone is not present.
 
     Rows of one level that precede a row also precede it in the walk, so a row
-    beyond the limit within its level cannot be listed and is not expanded. A
-    tree therefore costs at most ``max_rows`` rows per level.
+    beyond the limit within its level cannot be listed and is not expanded, and
+    neither can a row with that many siblings before it. A tree therefore costs
+    at most ``max_rows`` rows per level, and a session that blocks very many
+    others offers only its first ones to each tree.
     """
     scope = list(scope)
     tree = [*scope, "root"]
@@ -127,6 +129,13 @@ def walk(
         .select(*scope, "at", "to", "ord", F.coalesce("present", F.lit(False)).alias("present"), "wait_on"),
         "walk-steps",
     )
+    siblings = Window.partitionBy(*scope, "at").orderBy("ord", "to")
+    near = materialize(
+        step.withColumn("_n", F.row_number().over(siblings))
+        .where(F.col("_n") <= max_rows + 1)
+        .drop("_n"),
+        "walk-near",
+    )
     order = Window.partitionBy(*tree).orderBy("place")
 
     def limited(level: DataFrame) -> DataFrame:
@@ -134,7 +143,7 @@ def walk(
         return ranked.where(F.col("_n") <= max_rows + 1).drop("_n")
 
     level = limited(
-        step.select(
+        near.select(
             *scope,
             F.col("at").alias("root"),
             F.array("at").alias("path"),
@@ -149,7 +158,7 @@ def walk(
     for _ in range(max_rows):
         open_rows = level.where("present AND NOT cycle").withColumn("at", F.col("pid"))
         deeper = open_rows.drop("present", "wait_on", "cycle", "pid").join(
-            step, [*scope, "at"]
+            near, [*scope, "at"]
         )
         # The row that was open joins the path; its own pid is ``at``.
         level = limited(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.coerce import canonical_text, values_equal
 from quayside.functions.text import report_value
+from quayside.operators.quantiles import key_at_rank
 from quayside.session import materialize
 
 CHECK_SCHEMA = (
@@ -24,6 +25,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def side_by_side(frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames of one row each as one row: stacked and folded, not joined."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 # Row-level difference
 
 
@@ -86,12 +93,10 @@ def classify_keys(leftover: DataFrame, pk: Sequence[str]) -> DataFrame:
 
 def first_keys(source: DataFrame, target: DataFrame, pk: Sequence[str], limit: int):
     """Both sides cut to the key range of the first ``limit`` source rows."""
-    key = F.struct(*pk)
-    bound = (
-        source.select(key.alias("k")).orderBy("k").limit(limit).agg(F.max("k")).first()
-    )[0]
+    bound = key_at_rank(source, pk, limit)
     if bound is None:
         return source, target
+    key = F.struct(*pk)
     edge = F.struct(*[F.lit(v).alias(c) for c, v in zip(pk, bound)])
     return source.where(key <= edge), target.where(key <= edge)
 
@@ -162,7 +167,7 @@ def table_diff(
 
     lists = picked.agg(*[in_order(c) for c in CLASSES])
     total = source.agg(F.count("*").alias("source_rows"))
-    report = total.join(counts).join(lists)  # three one-row frames
+    report = side_by_side([total, counts, lists])
     unpaired = F.col("mismatched_rows_count") + F.col("extra_source_rows_count")
     return report.select(
         F.lit(table).alias("table_name"),
@@ -367,7 +372,7 @@ def verify_tables(
         key = pk[0] if len(pk) == 1 else None
         s = fingerprint(source, key)
         t = fingerprint(target, key)
-        both = s.select(F.struct("*").alias("s")).join(t.select(F.struct("*").alias("t")))
+        both = side_by_side([s.select(F.struct("*").alias("s")), t.select(F.struct("*").alias("t"))])
         checks.append(
             both.select(
                 F.lit("row_counts").alias("check"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quayside.session import materialize
 
+TOP_K = 10_000  # rows a task may keep for a top-k
+
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
@@ -78,6 +80,32 @@ def exact_quantiles(
     )
 
 
+def key_at_rank(df: DataFrame, key: Sequence[str], rank: int):
+    """The ``rank``-th smallest key (from 1), or the largest if there are fewer.
+
+    A small rank is a top-k. A large one would gather its rows in one task, so
+    then the keys are range-partitioned, and only the slice that holds the rank
+    is sorted. The driver sees one count per slice.
+    """
+    keys = df.select(*key)
+    if rank <= TOP_K:
+        first = keys.orderBy(*key).limit(rank)
+        return first.agg(F.max(F.struct(*key))).first()[0]
+    ranged = keys.repartitionByRange(*key).withColumn("slice", F.spark_partition_id())
+    slices = materialize(ranged, "ranks")
+    before = 0
+    counts = slices.groupBy("slice").agg(F.count("*").alias("n")).orderBy("slice").collect()
+    for row in counts:
+        if before + row["n"] >= rank or row is counts[-1]:
+            place = min(rank - before, row["n"])
+            inside = Window.partitionBy("slice").orderBy(*key)
+            held = slices.where(F.col("slice") == row["slice"])
+            numbered = held.withColumn("_n", F.row_number().over(inside))
+            return numbered.where(F.col("_n") == place).select(F.struct(*key)).first()[0]
+        before += row["n"]
+    return None
+
+
 def approx_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -96,14 +96,14 @@ for _metric, _column in querylog.METRICS.items():
         f"t4_top_by_{_metric.lower()}",
         ["query_log"],
         _ROLLUP
-        + f"SELECT id, round({_column}, 4) AS metric FROM roll ORDER BY {_column} DESC NULLS LAST, id LIMIT 15"
+        + f"SELECT id, round({_column}, 6) AS metric FROM roll ORDER BY {_column} DESC NULLS LAST, id LIMIT 15"
         if _metric != "lastRun"
         else _ROLLUP
         + "SELECT id, last_run_at AS metric FROM roll ORDER BY last_run_at DESC NULLS LAST, id LIMIT 15",
     )
     def _(log, metric=_metric, column=_column):
         top = querylog.top_queries(querylog.rollup_queries(log), metric)
-        shown = F.col(column) if metric == "lastRun" else F.round(column, 4)
+        shown = F.col(column) if metric == "lastRun" else F.round(column, 6)
         return top.select("id", shown.alias("metric"))
 
 

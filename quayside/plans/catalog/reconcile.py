@@ -209,8 +209,8 @@ def _(orders, copy):
         "b": diff.content_fingerprint(orders.repartition("o_custkey")),
         "c": diff.content_fingerprint(copy),
     }
-    a, b, c = [f.select(F.struct("*").alias(n)) for n, f in frames.items()]
-    return a.join(b).join(c).select(
+    named = [f.select(F.struct("*").alias(n)) for n, f in frames.items()]
+    return diff.side_by_side(named).select(
         (F.col("a") == F.col("b")).alias("same_when_reordered"),
         (F.col("a") == F.col("c")).alias("same_when_changed"),
         "a.rows",

@@ -56,8 +56,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path below the work folder that nothing has written yet."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the work folder that nothing has written yet.
+
+    Everything of one application lies in one folder, to be dropped as a whole
+    once the application has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{work_dir(spark)}/quayside-{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
