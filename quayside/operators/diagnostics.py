@@ -107,13 +107,10 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
     index and leading column.
     """
     key = ["db", "relid"]
-    winner = F.struct((~F.col("is_unique")).alias("plain"), "index_name")
-    own = F.struct("index_name", F.col("columns").alias("cols"))
+    name = F.col("index_name")
     # One row per distinct column list of a table; all below works on these.
     lists = indexes.groupBy(*key, F.col("columns").alias("cols")).agg(
-        F.min_by(own, winner).alias("best"),
-        F.min_by(own, "index_name").alias("any"),
-        F.min_by(F.when(F.col("is_unique"), own), F.when(F.col("is_unique"), F.col("index_name"))).alias("unique"),
+        F.min(F.when(F.col("is_unique"), name)).alias("unique"), F.min(name).alias("any")
     )
     parts = F.split("cols", ",")
     prefixes = lists.select(
@@ -127,21 +124,29 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
             )
         ).alias("prefix"),
     ).where("prefix <> ''")
-    wider = prefixes.groupBy(*key, F.col("prefix").alias("cols")).agg(
-        F.min_by("any", "any.index_name").alias("wider")
+
+    def first(column: str) -> Column:
+        return F.min(F.struct(F.col(column).alias("index_name"), "cols"))
+
+    wider = (
+        prefixes.groupBy(*key, "prefix").agg(first("any").alias("wider"))
+        .withColumnRenamed("prefix", "cols")
     )
     unique = lists.where("unique IS NOT NULL").select(*key, F.col("cols").alias("prefix"), "unique")
+    covering = F.min(F.struct(F.col("unique").alias("index_name"), F.col("prefix").alias("cols")))
     covered = (
-        prefixes.join(unique, [*key, "prefix"])
+        prefixes.select(*key, "cols", "prefix")
+        .join(unique, [*key, "prefix"])
         .groupBy(*key, "cols")
-        .agg(F.min_by("unique", "unique.index_name").alias("covering"))
+        .agg(covering.alias("covering"))
     )
+    best = F.struct(F.coalesce("unique", "any").alias("index_name"), "cols")
     judged = (
-        lists.select(*key, "cols", "best")
+        lists.select(*key, "cols", best.alias("best"))
         .join(wider, [*key, "cols"], "left")
         .join(covered, [*key, "cols"], "left")
     )
-    same = F.when(F.col("best.index_name") != F.col("index_name"), F.col("best"))
+    same = F.when(F.col("best.index_name") != name, F.col("best"))
     broader = F.when(~F.col("is_unique"), F.col("wider"))
     return (
         indexes.withColumnRenamed("columns", "cols")
@@ -193,6 +198,20 @@ def long_running_queries(sessions: DataFrame, at: Column, limit: int = 100) -> D
 LOCK_KEY = ["dbid", "relation", "page", "tup", "virtualxid", "transactionid", "classid", "objid", "objsubid"]
 
 
+def matched_locks(waits: DataFrame, held: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Awaited locks with the held lock they wait for, if it is among ``held``.
+
+    Two locks are the same when all parts of their key are, missing parts
+    included; null-safe equality keeps this a hash join.
+    """
+    w, h = waits.alias("w"), held.alias("h")
+    same = [F.col(f"w.{c}") == F.col(f"h.{c}") for c in [*by, "locktype"]]
+    same += [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in LOCK_KEY]
+    return w.join(h, same, "left").select(
+        "w.*", F.col("h.mode").alias("lock_mode"), F.col("h.locktype").alias("lock_type")
+    )
+
+
 def root_blockers(
     sessions: DataFrame,
     edges: DataFrame,
@@ -215,14 +234,8 @@ def root_blockers(
     wanted = locks.where("NOT granted").withColumnRenamed("pid", "node").drop("granted", "mode")
     waits = chains.join(wanted, [*scope, "node"])
     held = locks.where("granted").withColumnRenamed("pid", "root").drop("granted")
-    w, h = waits.alias("w"), held.alias("h")
-    same = [F.col(f"w.{c}") == F.col(f"h.{c}") for c in [*root, "locktype"]]
-    same += [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in LOCK_KEY]
-    details = w.join(h, same, "left").select(
-        *[F.col(f"w.{c}").alias(c) for c in root],
-        F.col("w.relation").alias("relid"),
-        F.col("h.mode").alias("lock_mode"),
-        F.col("h.locktype").alias("lock_type"),
+    details = matched_locks(waits, held, root).select(
+        *root, F.col("relation").alias("relid"), "lock_mode", "lock_type"
     )
     names = relations.select(F.col("relid").cast("int").alias("relid"), "rel_name")
     named = details.distinct().join(names, "relid", "left")

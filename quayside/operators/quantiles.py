@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.session import materialize
@@ -47,38 +47,37 @@ def exact_quantiles(
         F.sum("n").over(whole).alias("total"),
     )
     # Each quantile lies between two neighbouring 0-based ranks.
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("total") - 1)).alias("pos"))
-            for name, p in probs.items()
-        ]
-    )
-    ranks = (
-        offsets.select("*", F.explode(wanted).alias("w"))
-        .select("*", F.floor("w.pos").alias("lo"), F.ceil("w.pos").alias("hi"))
-        .where("hi >= before AND lo < before + held")
+    place = {n: F.lit(p) * (F.col("total") - 1) for n, p in probs.items()}
+    ranks = [edge(c) for c in place.values() for edge in (F.floor, F.ceil)]
+    wanted = F.exists(
+        F.array(*ranks),
+        lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")),
     )
     inside = Window.partitionBy(*keys, "slice").orderBy("v")
-    looked_at = ranks.select(*keys, "slice", "before").distinct()
-    placed = slices.join(looked_at, [*keys, "slice"]).select(
+    placed = slices.join(offsets.where(wanted), [*keys, "slice"]).select(
         *keys,
-        "slice",
-        "v",
-        (F.col("before") + F.sum("n").over(inside)).alias("upto"),
+        F.col("v").cast("double").alias("v"),
         "n",
+        "total",
+        (F.col("before") + F.sum("n").over(inside)).alias("upto"),
     )
-    found = placed.join(
-        ranks.select(*keys, "slice", "w", "lo", "hi"), [*keys, "slice"]
-    ).where("hi >= upto - n AND lo < upto")
-    edges = found.groupBy(*keys, F.col("w.name").alias("name"), F.col("w.pos").alias("pos"), "lo", "hi").agg(
-        F.min(F.when(F.expr("lo >= upto - n AND lo < upto"), F.col("v").cast("double"))).alias("a"),
-        F.min(F.when(F.expr("hi >= upto - n AND hi < upto"), F.col("v").cast("double"))).alias("b"),
-    )
-    at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("lo"))
-    return edges.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, at)).alias(name) for name in probs]
+
+    def value_at(rank: Column) -> Column:
+        here = (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+        return F.max(F.when(here, F.col("v")))
+
+    found = placed.groupBy(*keys).agg(
+        F.max("total").alias("total"),
+        *[value_at(F.floor(c)).alias(f"{n}_below") for n, c in place.items()],
+        *[value_at(F.ceil(c)).alias(f"{n}_above") for n, c in place.items()],
     )
 
+    def between(name: str) -> Column:
+        below, above = F.col(f"{name}_below"), F.col(f"{name}_above")
+        return below + (above - below) * (place[name] - F.floor(place[name]))
+
+    return found.select(*keys, *[between(n).alias(n) for n in probs])
+
 
 def key_at_rank(df: DataFrame, key: Sequence[str], rank: int):
     """The ``rank``-th smallest key (from 1), or the largest if there are fewer.

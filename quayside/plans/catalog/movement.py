@@ -507,6 +507,15 @@ def _(orders, customer, nation):
     return status.read().select("table_name", "phase", "rows")
 
 
+@query("c5_gated_copy", ["lineitem"], "SELECT * FROM lineitem")
+def _(lineitem):
+    folder = _folder(lineitem, "copy")
+    lineitem.write.parquet(folder)
+    copied = lineitem.sparkSession.read.parquet(folder)
+    copyjobs.expect_rows("lineitem", copied.count(), lineitem.count())
+    return copied
+
+
 @query(
     "f24_lifecycle",
     ["workflow_runs"],

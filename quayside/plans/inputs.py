@@ -175,7 +175,8 @@ FROM {part}
 # Indexes of those relations, from the line items of each part.
 DERIVED["indexes"] = """
 SELECT r.db, r.relid, r.schema_name, r.rel_name, r.kind AS table_kind,
-       'ix_' || CAST(l.l_orderkey AS STRING) || '_' || CAST(l.l_linenumber AS STRING) || '_' || CAST(l.l_suppkey AS STRING) AS index_name,
+       'ix_' || CAST(l.l_orderkey AS STRING) || '_' || CAST(l.l_linenumber AS STRING) || '_' || CAST(l.l_suppkey AS STRING)
+           || '_' || CAST(CAST(floor(l.l_extendedprice) AS BIGINT) AS STRING) AS index_name,
        CASE l.l_linenumber WHEN 1 THEN 'a' WHEN 2 THEN 'a,b' WHEN 3 THEN 'a,b,c' WHEN 4 THEN 'b' WHEN 5 THEN 'b,c' ELSE 'd' END AS columns,
        CAST(floor(l.l_extendedprice) AS BIGINT) * 100 AS index_bytes,
        CAST(floor(l.l_quantity) AS BIGINT) * 8 AS index_pages,
