@@ -45,15 +45,27 @@ def _starts_with_cte(c: Column) -> Column:
     return c.rlike(r"(?i)^WITH(?!\w)")
 
 
+def _depth(c: Column) -> Column:
+    """How deep the parentheses of a text nest."""
+
+    def step(state: Column, sign: Column) -> Column:
+        moved = F.when(sign == "(", state["now"] + 1).otherwise(state["now"] - 1)
+        now = F.greatest(moved, F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(state["top"], now).alias("top"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    signs = F.split(F.regexp_replace(c, r"[^()]++", ""), "")
+    return F.aggregate(signs, start, step, lambda state: state["top"])
+
+
 def _without_groups(c: Column) -> Column:
     """Every outermost parenthesised group as one mark.
 
-    Each step closes the innermost groups. No text nests deeper than it has
-    opening parentheses, so that many steps are always enough.
+    Each pass closes the innermost groups, so as many passes as the nesting is
+    deep are enough, however many groups stand side by side.
     """
-    opened = F.length(c) - F.length(F.replace(c, F.lit("(")))
     return F.aggregate(
-        F.sequence(F.lit(0), opened),
+        F.sequence(F.lit(0), _depth(c)),
         c,
         lambda text, _: F.regexp_replace(text, r"\([^()]*+\)", _GROUP),
     )

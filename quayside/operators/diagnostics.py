@@ -42,11 +42,13 @@ SUBSCRIPTION_STATES = {
 TABLE_KINDS = ["r", "m", "p"]
 
 
-def _top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    return df.orderBy(*order).limit(limit)
+def _top(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The first rows in order, or all of them, sorted, without a limit."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def table_sizes(relations: DataFrame, limit: int = 25) -> DataFrame:
+def table_sizes(relations: DataFrame, limit: int | None = 25) -> DataFrame:
     """Largest tables, partitions counted with their root.
 
     Bytes are summed per root before the join that looks up its name, so a
@@ -69,7 +71,7 @@ def table_sizes(relations: DataFrame, limit: int = 25) -> DataFrame:
     return _top(rolled, [F.desc("table_bytes"), F.col("db"), F.col("rel_name")], limit)
 
 
-def index_sizes(indexes: DataFrame, limit: int = 25) -> DataFrame:
+def index_sizes(indexes: DataFrame, limit: int | None = 25) -> DataFrame:
     """Largest indexes."""
     sized = user_schemas(indexes).select(
         "db",
@@ -81,7 +83,7 @@ def index_sizes(indexes: DataFrame, limit: int = 25) -> DataFrame:
     return _top(sized, [F.desc("index_bytes"), F.col("db"), F.col("name")], limit)
 
 
-def unused_indexes(indexes: DataFrame, max_scans: int = 50, limit: int = 50) -> DataFrame:
+def unused_indexes(indexes: DataFrame, max_scans: int = 50, limit: int | None = 50) -> DataFrame:
     """Indexes that enforce nothing and are hardly read."""
     idle = indexes.where(
         ~F.col("is_unique") & ~F.col("is_primary") & (F.col("scans") < max_scans)
@@ -165,7 +167,7 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
     )
 
 
-def invalid_indexes(indexes: DataFrame, limit: int = 50) -> DataFrame:
+def invalid_indexes(indexes: DataFrame, limit: int | None = 50) -> DataFrame:
     """Indexes a failed build left behind."""
     broken = user_schemas(indexes).where(~F.col("is_valid")).select(
         "db",
@@ -178,7 +180,7 @@ def invalid_indexes(indexes: DataFrame, limit: int = 50) -> DataFrame:
     return _top(broken, [F.desc("index_bytes"), F.col("db"), F.col("name")], limit)
 
 
-def sequential_scans(relations: DataFrame, limit: int = 25) -> DataFrame:
+def sequential_scans(relations: DataFrame, limit: int | None = 25) -> DataFrame:
     """Tables read from end to end most often."""
     scanned = relations.where("seq_scans > 0").select(
         "db", "schema_name", F.col("rel_name").alias("name"), F.col("seq_scans").alias("scans")
@@ -186,7 +188,7 @@ def sequential_scans(relations: DataFrame, limit: int = 25) -> DataFrame:
     return _top(scanned, [F.desc("scans"), F.col("db"), F.col("name")], limit)
 
 
-def long_running_queries(sessions: DataFrame, at: Column, limit: int = 100) -> DataFrame:
+def long_running_queries(sessions: DataFrame, at: Column, limit: int | None = 100) -> DataFrame:
     """Longest running queries of all snapshots."""
     slow = long_running(sessions, at).select(
         "source", "snapshot", "pid", "state", "elapsed_s", F.left("query_text", F.lit(200)).alias("query")
@@ -219,7 +221,7 @@ def root_blockers(
     relations: DataFrame,
     at: Column,
     scope: Sequence[str] = ("snapshot",),
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
     """Sessions that block others and wait for none, with what they hold.
 
@@ -277,14 +279,14 @@ def lock_waits(sessions: DataFrame, edges: DataFrame, scope: Sequence[str] = ("s
     )
 
 
-def outliers(statements: DataFrame, limit: int = 25) -> DataFrame:
+def outliers(statements: DataFrame, limit: int | None = 25) -> DataFrame:
     """Statements by their share of all execution time."""
     shared = share_of_total(statements, "total_exec_ms", "prop_exec_time")
     rows = shared.select(F.col("total_exec_ms").cast("double").alias("total_exec_ms"), "prop_exec_time", "ncalls", "query")
     return _top(rows, [F.desc("total_exec_ms"), F.col("query")], limit)
 
 
-def calls(statements: DataFrame, limit: int = 25) -> DataFrame:
+def calls(statements: DataFrame, limit: int | None = 25) -> DataFrame:
     """Statements by their share of all calls."""
     shared = share_of_total(statements, "ncalls", "prop_calls")
     rows = shared.select("ncalls", F.col("total_exec_ms").cast("double").alias("total_exec_ms"), "prop_calls", "query")
@@ -318,7 +320,7 @@ def _bloat_row(kind: str, name: Column, pages: Column, expected: Column) -> list
 
 
 def bloat(
-    column_stats: DataFrame, relations: DataFrame, indexes: DataFrame, limit: int = 25
+    column_stats: DataFrame, relations: DataFrame, indexes: DataFrame, limit: int | None = 25
 ) -> DataFrame:
     """Estimated wasted space of tables and indexes.
 
@@ -359,7 +361,7 @@ def bloat(
     return _top(both, [F.desc("waste_bytes"), F.desc("bloat_pct"), F.col("db"), F.col("object_name")], limit)
 
 
-def fragmentation(relations: DataFrame, limit: int = 25) -> DataFrame:
+def fragmentation(relations: DataFrame, limit: int | None = 25) -> DataFrame:
     """Free space inside the files of tables."""
     total = F.col("table_bytes") + F.col("data_free")
     free = user_schemas(relations, postgres=False).where("data_free > 0").select(
@@ -381,7 +383,7 @@ def _option(name: str, defaults: Mapping[str, str]) -> Column:
 
 
 def vacuum_stats(
-    relations: DataFrame, defaults: Mapping[str, str] | None = None, limit: int = 25
+    relations: DataFrame, defaults: Mapping[str, str] | None = None, limit: int | None = 25
 ) -> DataFrame:
     """Whether maintenance is due by each table's own or the server's settings."""
     settings = {**VACUUM_DEFAULTS, **(defaults or {})}
@@ -410,7 +412,7 @@ def vacuum_stats(
     return _top(stats, [F.desc("dead_rows"), F.col("db"), F.col("rel_name")], limit)
 
 
-def replication_slots(slots: DataFrame, walsenders: DataFrame, limit: int = 100) -> DataFrame:
+def replication_slots(slots: DataFrame, walsenders: DataFrame, limit: int | None = 100) -> DataFrame:
     """Slots by the log they keep from being removed."""
     senders = walsenders.select(
         "db", F.col("pid").alias("active_pid"), F.col("state").alias("sender_state"), "replay_lag_s"
@@ -437,7 +439,7 @@ def replication_slots(slots: DataFrame, walsenders: DataFrame, limit: int = 100)
     return _top(rows, [F.desc_nulls_last("retained_bytes"), F.col("db"), F.col("slot_name")], limit)
 
 
-def subscriptions(relations: DataFrame, limit: int = 100) -> DataFrame:
+def subscriptions(relations: DataFrame, limit: int | None = 100) -> DataFrame:
     """Progress of tables under logical replication."""
     label = F.create_map(*[F.lit(x) for kv in SUBSCRIPTION_STATES.items() for x in kv])
     rows = relations.select(

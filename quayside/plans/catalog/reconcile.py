@@ -49,6 +49,11 @@ def _(orders, copy):
     return diff.table_diff(copy, orders, ["o_orderkey"], "orders")
 
 
+@query("j2_table_diff_digest", ["orders", "orders_copy"], _ALL + _REPORT)
+def _(orders, copy):
+    return diff.table_diff(orders, copy, ["o_orderkey"], "orders", digest=True)
+
+
 @query(
     "j2_table_diff_first_keys",
     ["orders", "orders_copy"],

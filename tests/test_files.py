@@ -63,6 +63,12 @@ def test_restore_options(spark, folder):
     restore.restore(spark, out, restore.save_to_folder(only), "json", "copy", start="b", end="b", schema_only=True)
     assert spark.read.parquet(f"{only}/copy/b").count() == 0
     assert not pathlib.Path(only, "copy", "a").exists()
+    back = restore.restored(spark, only)
+    append = restore.save_to_folder(only, "append")
+    for _ in range(2):
+        added = restore.restore(spark, out, append, "json", "copy", "b", "b", data_only=True, read_back=back)
+        assert added == {"shop.b": 3}
+    assert back("copy", "b").count() == 6
     with pytest.raises(ValueError, match="exclude each other"):
         restore.restore(spark, out, restore.save_to_folder(only), schema_only=True, data_only=True)
     with pytest.raises(CopyError, match="expected 3"):

@@ -57,11 +57,12 @@ def test_statement_classes(spark):
 
 def test_long_literals_and_deep_nesting(spark):
     deep = "with a as (" + "(" * 300 + "select 1" + ")" * 300 + ") delete from t"
+    many = "with a as (select 1) insert into t values " + ",".join(["(1, (2))"] * 20_000)
     long = "select '" + "''x\\'" * 200_000 + "; drop table t'"
-    rows = spark.createDataFrame([(deep,), (long,)], "q string")
+    rows = spark.createDataFrame([(deep,), (long,), (many,)], "q string")
     got = statements.classify(rows, "q").collect()
-    assert [r.destructive for r in got] == [True, False]
-    assert [r.reads for r in got] == [False, True]
+    assert [r.destructive for r in got] == [True, False, False]
+    assert [r.reads for r in got] == [False, True, False]
 
 
 def test_escape_round_trip(spark):

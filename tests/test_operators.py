@@ -48,6 +48,27 @@ def test_diff_with_one_hot_key(spark):
     assert (row.mismatched_rows_count, row.extra_source_rows_count, row.extra_target_rows_count) == (4, 6, 0)
 
 
+def test_moved_values_change_the_hashes(spark):
+    kind = "k int, a string, b string"
+    one = spark.createDataFrame([(1, None, "x"), (2, "y", None)], kind)
+    two = spark.createDataFrame([(1, "x", None), (2, "y", None)], kind)
+    assert diff.content_fingerprint(one).first() != diff.content_fingerprint(two).first()
+    row = diff.table_diff(one, two, ["k"], "t", digest=True).first()
+    assert (row.matched_rows_count, row.mismatched_rows_count, row.mismatched_rows) == (1, 1, "1")
+
+
+def test_limit_beyond_a_top_k(spark, monkeypatch):
+    from quayside.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "TOP_K", 10)
+    source = spark.range(0, 1000).select((F.col("id") * 3).alias("k"), F.lit("a").alias("v"))
+    target = source.where("k % 7 <> 0").unionByName(spark.createDataFrame([(1, "a"), (5000, "a")], "k bigint, v string"))
+    row = diff.table_diff(source, target, ["k"], "t", limit=500).first()
+    assert row.matched_rows_count + row.extra_source_rows_count == 500
+    assert (row.extra_source_rows_count, row.extra_target_rows_count) == (72, 1)
+    assert quantiles.key_at_rank(source, ["k"], 5000).k == 2997
+
+
 def test_diff_plan_has_no_join_of_the_copies(spark):
     orders = load(spark, SF, "orders")
     plan = diff.leftover_rows(orders, orders, ["o_orderkey"])._jdf.queryExecution().toString()
