@@ -13,10 +13,6 @@ from quayside.functions.text import report_value
 from quayside.operators.quantiles import key_at_rank
 from quayside.session import materialize
 
-CHECK_SCHEMA = (
-    "check string, table_name string, column_name string, matched boolean, "
-    "source string, dest string, message string"
-)
 CLASSES = ["mismatched", "extra_source", "extra_target"]
 
 
@@ -401,28 +397,14 @@ def verify_tables(
         s = fingerprint(source, key)
         t = fingerprint(target, key)
         both = side_by_side([s.select(F.struct("*").alias("s")), t.select(F.struct("*").alias("t"))])
-        checks.append(
-            both.select(
-                F.lit("row_counts").alias("check"),
-                F.lit(name).alias("table_name"),
-                F.lit(None).cast("string").alias("column_name"),
-                (F.col("s.rows") == F.col("t.rows")).alias("matched"),
-                F.col("s.rows").cast("string").alias("source"),
-                F.col("t.rows").cast("string").alias("dest"),
-                F.lit("rows on both sides").alias("message"),
-            )
-        )
-        checks.append(
-            both.select(
-                F.lit("table_fingerprint").alias("check"),
-                F.lit(name).alias("table_name"),
-                F.lit(key).cast("string").alias("column_name"),
-                (F.col("s") == F.col("t")).alias("matched"),
-                F.format_string("rows=%d id_sum=%s", "s.rows", "s.id_sum").alias("source"),
-                F.format_string("rows=%d id_sum=%s", "t.rows", "t.id_sum").alias("dest"),
-                F.lit("row count and key sum").alias("message"),
-            )
-        )
+        rows = [F.col(f"{side}.rows") for side in "st"]
+        sums = [F.format_string("rows=%d id_sum=%s", f"{x}.rows", f"{x}.id_sum") for x in "st"]
+        pair = [
+            _check("row_counts", name, None, rows[0] == rows[1], *rows, "rows on both sides"),
+            _check("table_fingerprint", name, key, F.col("s") == F.col("t"), *sums, "row count and key sum"),
+        ]
+        # Both checks read the same two counts, so each table is scanned once.
+        checks.append(both.select(F.inline(F.array(*pair))))
         if name in next_values and key:
             checks.append(identity_check(name, target, key, next_values[name]))
         if flags.get(name):
@@ -433,6 +415,21 @@ def verify_tables(
     return union_all(checks)
 
 
+def _check(
+    check: str, table: str, column: str | None, matched: Column, source: Column, dest: Column, message: str
+) -> Column:
+    """One row of a check report as a struct."""
+    return F.struct(
+        F.lit(check).alias("check"),
+        F.lit(table).alias("table_name"),
+        F.lit(column).cast("string").alias("column_name"),
+        matched.alias("matched"),
+        source.cast("string").alias("source"),
+        dest.cast("string").alias("dest"),
+        F.lit(message).alias("message"),
+    )
+
+
 def _flag_checks(
     name: str, source: DataFrame, target: DataFrame, columns: Sequence[str]
 ) -> DataFrame:

@@ -48,90 +48,93 @@ def _ratio(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
-def _basic_rollup(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Everything one partial aggregation over the log can give."""
-    return log.groupBy(*keys).agg(
-        F.max_by("normalized_sql", F.struct("ts", "event_id")).alias("normalized_sql"),
+# How the counters of one index of a query add up to those of the query.
+_SUMS = [
+    "query_count", "error_count", "total_ms", "sum_rows_read", "sum_rows_returned",
+    "sum_rows_affected", "cpu_ms", "io_ms", "hits", "misses",
+]
+
+
+def _per_key(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All counters per key and the use of its indexes, from one scan.
+
+    Counted per (key, index) first, so the list of a key holds one entry per
+    index however many executions there were.
+    """
+    per_index = log.groupBy(*keys, "index_name").agg(
+        F.max(F.struct("ts", "event_id", "normalized_sql")).alias("newest"),
         F.count("*").alias("query_count"),
         F.count_if("is_error").alias("error_count"),
-        F.max("ts").alias("last_run_at"),
         F.sum("latency_ms").alias("total_ms"),
-        F.max("latency_ms").cast("double").alias("max_latency"),
+        F.max("latency_ms").alias("max_latency"),
         F.sum("rows_read").alias("sum_rows_read"),
         F.sum("rows_returned").alias("sum_rows_returned"),
         F.sum("rows_affected").alias("sum_rows_affected"),
-        F.sum("cpu_ms").cast("double").alias("sum_cpu_duration_millis"),
-        F.sum("io_ms").cast("double").alias("sum_io_duration_millis"),
-        F.sum("cache_hits").alias("_hits"),
-        F.sum("cache_misses").alias("_misses"),
-        (F.max("shards") > 1).alias("multishard"),
-        F.array_sort(F.collect_set("table_name")).alias("tables"),
+        F.sum("cpu_ms").alias("cpu_ms"),
+        F.sum("io_ms").alias("io_ms"),
+        F.sum("cache_hits").alias("hits"),
+        F.sum("cache_misses").alias("misses"),
+        F.max("shards").alias("shards"),
+        F.collect_set("table_name").alias("tables"),
+    )
+    used = F.when(
+        F.col("index_name").isNotNull(),
+        F.struct(F.col("index_name").alias("name"), F.col("query_count").alias("count")),
+    )
+    return per_index.groupBy(*keys).agg(
+        F.max("newest").alias("newest"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.max("max_latency").alias("max_latency"),
+        F.max("shards").alias("shards"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("tables"),
+        F.sort_array(F.collect_list(used)).alias("used"),
     )
 
 
 def rollup_queries(log: DataFrame, exact: bool = True) -> DataFrame:
-    """Statistics per fingerprint and keyspace, with its share of all time."""
+    """Statistics per fingerprint and keyspace, with its share of all time.
+
+    The log is scanned twice, once for the counters and once for the quantiles.
+    The counters are written, one row per key, as the grand total needs them too.
+    """
     keys = ["fingerprint", "keyspace"]
-    base = _basic_rollup(log, keys)
+    base = materialize(_per_key(log, keys), "rollup")
     probs = {"p50_latency": 0.5, "p99_latency": 0.99}
     quantiles = (exact_quantiles if exact else approx_quantiles)(
         log, keys, "latency_ms", probs
     )
-    total = log.agg(F.sum("latency_ms").cast("double"))
-    usage = index_usage(log, keys)
-    joined = base.join(quantiles, keys).join(usage, keys, "left")
+    total = base.agg(F.sum("total_ms").cast("double")).scalar()
     total_ms = F.col("total_ms").cast("double")
-    return joined.select(
+    usages = F.transform(
+        "used",
+        lambda u: F.struct(
+            u["name"].alias("name"),
+            u["count"].alias("count"),
+            (u["count"] * 100 / F.col("query_count")).alias("percent"),
+        ),
+    )
+    return base.join(quantiles, keys).select(
         F.concat_ws("/", *keys).alias("id"),
         *keys,
-        "normalized_sql",
+        "newest.normalized_sql",
         "tables",
-        "index_usages",
+        usages.alias("index_usages"),
         "query_count",
         "error_count",
-        "last_run_at",
+        F.col("newest.ts").alias("last_run_at"),
         (total_ms / F.col("query_count")).alias("time_per_query"),
         *probs,
-        "max_latency",
+        F.col("max_latency").cast("double").alias("max_latency"),
         "sum_rows_read",
         "sum_rows_returned",
         "sum_rows_affected",
         _ratio(F.col("sum_rows_read"), F.col("sum_rows_returned")).alias("rows_read_per_returned"),
         total_ms.alias("sum_total_duration_millis"),
-        (total_ms / F.nullif(total.scalar(), F.lit(0.0)) * 100).alias("sum_total_duration_percent"),
-        "sum_cpu_duration_millis",
-        "sum_io_duration_millis",
-        _ratio(F.col("_hits"), F.col("_hits") + F.col("_misses")).alias("block_cache_hit_ratio"),
-        "multishard",
-    )
-
-
-def index_usage(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key the indexes used, how often and in what share of executions.
-
-    Counted per (key, index) before the list is built, so the list holds one
-    entry per index however many executions there were.
-    """
-    counted = log.groupBy(*keys, "index_name").agg(F.count("*").alias("count"))
-    entries = F.sort_array(
-        F.collect_list(
-            F.when(
-                F.col("index_name").isNotNull(),
-                F.struct(F.col("index_name").alias("name"), "count"),
-            )
-        )
-    )
-    listed = counted.groupBy(*keys).agg(entries.alias("e"), F.sum("count").alias("t"))
-    return listed.select(
-        *keys,
-        F.transform(
-            "e",
-            lambda e: F.struct(
-                e["name"].alias("name"),
-                e["count"].alias("count"),
-                (e["count"] * 100 / F.col("t")).alias("percent"),
-            ),
-        ).alias("index_usages"),
+        (total_ms / F.nullif(total, F.lit(0.0)) * 100).alias("sum_total_duration_percent"),
+        F.col("cpu_ms").cast("double").alias("sum_cpu_duration_millis"),
+        F.col("io_ms").cast("double").alias("sum_io_duration_millis"),
+        _ratio(F.col("hits"), F.col("hits") + F.col("misses")).alias("block_cache_hit_ratio"),
+        (F.col("shards") > 1).alias("multishard"),
     )
 
 
