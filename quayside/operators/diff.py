@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.coerce import canonical_text, values_equal
 from quayside.functions.text import report_value
+from quayside.operators.joins import join_groups
 from quayside.operators.quantiles import key_at_rank
 from quayside.session import materialize
 
@@ -155,7 +156,7 @@ def sample_rows(
         *[c.alias(name) for c, name in zip(shown, content)],
     )
     # At most samples x classes keys by construction, so broadcasting is safe.
-    return rows.join(F.broadcast(sample_keys(keys, pk, samples)), list(pk))
+    return join_groups(rows, F.broadcast(sample_keys(keys, pk, samples)), pk)
 
 
 def table_diff(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.joins import join_groups
 from quayside.session import materialize
 
 TOP_K = 10_000  # rows a task may keep for a top-k
@@ -54,7 +55,7 @@ def exact_quantiles(
         lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")),
     )
     inside = Window.partitionBy(*keys, "slice").orderBy("v")
-    placed = slices.join(offsets.where(wanted), [*keys, "slice"]).select(
+    placed = join_groups(slices, offsets.where(wanted), [*keys, "slice"]).select(
         *keys,
         F.col("v").cast("double").alias("v"),
         "n",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.joins import join_groups
 from quayside.operators.quantiles import approx_quantiles, exact_quantiles
 from quayside.session import materialize
 
@@ -113,7 +114,7 @@ def rollup_queries(log: DataFrame, exact: bool = True) -> DataFrame:
             (u["count"] * 100 / F.col("query_count")).alias("percent"),
         ),
     )
-    return base.join(quantiles, keys).select(
+    return join_groups(base, quantiles, keys, "left").select(
         F.concat_ws("/", *keys).alias("id"),
         *keys,
         "newest.normalized_sql",
@@ -229,7 +230,7 @@ def violation_periods(
         F.max("load").cast("double").alias("peak"),
     )
     active = F.col("period_end") > F.col("newest")
-    return periods.join(newest, keys).select(
+    return join_groups(periods, newest, keys).select(
         *keys,
         "period_start",
         F.when(~active, F.col("period_end")).alias("period_end"),

@@ -81,7 +81,7 @@ def test_diff_plan_has_no_join_of_the_copies(spark):
 def test_exact_quantiles_with_a_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(4000)]
-    rows += [(f"k{i % 50}", float(rng.randrange(10))) for i in range(2000)] + [("one", 4.5), ("none", None)]
+    rows += [(f"k{i % 50}", float(rng.randrange(10))) for i in range(2000)] + [("one", 4.5), ("none", None), (None, 2.0), (None, 3.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(6)
     probs = {"lo": 0.0, "p50": 0.5, "p99": 0.99, "hi": 1.0}
     got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
@@ -112,6 +112,20 @@ def test_rankings_reject_unknown_metrics(spark):
         querylog.top_queries(rollup, "count", "sideways")
 
 
+def test_rollup_keeps_null_keys_and_unmeasured_queries(spark):
+    log = load(spark, SF, "query_log").where("event_id < 40")
+    lost = log.withColumns(
+        {
+            "fingerprint": F.expr("if(event_id < 10, null, fingerprint)"),
+            "latency_ms": F.expr("if(event_id < 20, null, latency_ms)"),
+        }
+    )
+    rows = querylog.rollup_queries(lost).collect()
+    assert sum(r.query_count for r in rows) == 40
+    assert sum(r.query_count for r in rows if r.fingerprint is None) == 10
+    assert all(r.p50_latency is None for r in rows if r.fingerprint is None)
+
+
 def test_share_has_no_single_task_window(spark):
     log = load(spark, SF, "query_log")
     plan = querylog.share_of_total(log, "latency_ms", "share")._jdf.queryExecution().toString()
