@@ -196,6 +196,22 @@ def long_running_queries(sessions: DataFrame, at: Column, limit: int | None = 10
     return _top(slow, [F.desc("elapsed_s"), F.col("snapshot"), F.col("pid")], limit)
 
 
+# Commands and users of a process list that always run long.
+RESTING_COMMANDS = ["Sleep", "Binlog Dump", "Binlog Dump GTID", "Daemon"]
+SERVER_USERS = ["vt_repl", "event_scheduler"]
+
+
+def long_running_processes(processes: DataFrame, seconds: int = 300, limit: int | None = 100) -> DataFrame:
+    """Longest running statements of a process list."""
+    slow = processes.where(
+        ~F.col("command").isin(*RESTING_COMMANDS)
+        & ~F.col("user").isin(*SERVER_USERS)
+        & F.col("info").isNotNull()
+        & (F.col("time") > seconds)
+    ).select("id", "user", "db", F.col("time").alias("seconds"), "state", F.left("info", F.lit(120)).alias("query"))
+    return _top(slow, [F.desc("seconds"), F.col("id")], limit)
+
+
 # What tells one lock from another beside its type.
 LOCK_KEY = ["dbid", "relation", "page", "tup", "virtualxid", "transactionid", "classid", "objid", "objsubid"]
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Collection, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,8 +134,8 @@ class LoadStatus:
                 .option("recursiveFileLookup", "true")
                 .parquet(self.folder)
             )
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return empty
         newest = F.max_by(F.struct("phase", "rows", "finished_at"), "finished_at").alias("n")

@@ -82,7 +82,7 @@ def write_sql(
 ) -> dict:
     """An SQL dump of one table: a folder of part files of bounded size.
 
-    Returns its totals: rows, bytes of row text and the seconds it took.
+    Returns its totals: rows, bytes of row text, the seconds it took and the rate.
     """
     started = time.time()
     seen = Observation(f"dump {table}")
@@ -95,7 +95,9 @@ def write_sql(
         data_path(folder, database, table, "sql")
     )
     # The write is one stage without a shuffle, so no row is observed twice.
-    return {"table": table, **seen.get, "seconds": time.time() - started}
+    totals = {"table": table, **seen.get, "seconds": time.time() - started}
+    totals["mb_per_second"] = (totals["bytes"] or 0) / 1024 / 1024 / totals["seconds"]
+    return totals
 
 
 def csv_text(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +102,13 @@ def restore(
     data_only: bool = False,
     max_statement_bytes: int = MAX_STATEMENT_BYTES,
     read_back: Callable[[str, str], DataFrame] | None = None,
+    schemas: Mapping[str, T.StructType] | None = None,
     threads: int = 4,
 ) -> dict[str, int]:
     """Load every table of a dump in SQL, CSV or JSON form.
 
+    Schemas are read from the files beside the data unless given, by
+    ``database.table``, as a dump from elsewhere needs them.
     ``schema_only`` makes empty tables. ``data_only`` adds rows to tables that
     must be there, with a ``save`` that appends. With ``read_back`` the rows each
     table gained are counted and must equal the rows of the dump. Returns the
@@ -120,16 +123,17 @@ def restore(
     in_dump: dict[str, int] | None = None
     if form == "sql" and not schema_only:
         in_dump = check_statements(spark, folder, max_statement_bytes)
-    schemas = {
+    known = read_schemas(spark, folder) if schemas is None else schemas
+    wanted = {
         name: schema
-        for name, schema in sorted(read_schemas(spark, folder).items())
+        for name, schema in sorted(known.items())
         if (not start or name.split(".", 1)[1] >= start)
         and (not end or name.split(".", 1)[1] <= end)
     }
 
     def load(name: str) -> int:
         database, table = name.split(".", 1)
-        schema = schemas[name]
+        schema = wanted[name]
         if schema_only:
             rows = spark.createDataFrame([], schema)
         else:
@@ -142,7 +146,7 @@ def restore(
         expected = rows.count() if in_dump is None else in_dump.get(table, 0)
         return expect_rows(name, read_back(target, table).count() - before, expected)
 
-    return per_table(spark, list(schemas), load, threads)
+    return per_table(spark, list(wanted), load, threads)
 
 
 def _text_rows(
@@ -151,7 +155,8 @@ def _text_rows(
     path = f"{folder}/{name}.{form}"
     columns = schema.names
     if form == "sql":
-        inserts = dumps.read_sql_dump(spark, path)
+        # One folder of part files, or numbered files beside each other.
+        inserts = dumps.read_sql_dump(spark, f"{folder}/{name}{{,.[0-9]*}}.sql")
         return dumps.dump_table(inserts, name.split(".", 1)[1], columns)
     if form == "csv":
         text = ", ".join(f"`{c}` string" for c in columns)

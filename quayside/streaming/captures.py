@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,13 +43,22 @@ def capture(
     The sink keeps a log of its files, so a restart neither loses nor repeats
     a record. The header goes to a folder of its own beside the records.
     """
-    if header:
+    if header and not _holds_text(spark, f"{trace}/header"):
         write_header(spark, f"{trace}/header", header)
     records = trace_lines(snapshot_stream(spark, landed))
     writer = records.writeStream.format("text").option("path", f"{trace}/records").outputMode("append")
     return start(writer, checkpoint, interval)
 
 
+def _holds_text(spark: SparkSession, folder: str) -> bool:
+    try:
+        return bool(spark.read.text(folder).head(1))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def read_capture(spark: SparkSession, trace: str) -> DataFrame:
     """The lines of a trace written by :func:`capture`."""
     header = spark.read.text(f"{trace}/header").select("value", F.lit("header").alias("file"))

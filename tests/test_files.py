@@ -33,7 +33,7 @@ def test_sql_dump_restores_every_value(spark, folder):
     out, target = folder("dump"), folder("restored")
     df = wide(spark)
     totals = dump.write_sql(df, out, "shop", "wide", statement_bytes=10)
-    assert totals["rows"] == 3 and totals["bytes"] > 100
+    assert totals["rows"] == 3 and totals["bytes"] > 100 and totals["mb_per_second"] > 0
     dump.write_schema(df, out, "shop", "wide")
     loaded = restore.restore(
         spark, out, restore.save_to_folder(target), read_back=restore.restored(spark, target)
@@ -133,6 +133,18 @@ def test_flat_dump_files_are_told_apart(spark, folder):
     assert sorted(r.id for r in dumps.dump_table(rows, "t", ["id"]).collect()) == ["1", "1", "2", "2"]
 
 
+def test_numbered_files_restore_with_a_given_schema(spark, folder):
+    path, target = local(folder("flat")), folder("restored")
+    write(path, "shop.t.00001.sql", 'INSERT INTO `t`(`id`,`v`) VALUES\n(1,"a"),\n(2,NULL);\n')
+    write(path, "shop.t.00002.sql", 'INSERT INTO `t`(`id`,`v`) VALUES\n(3,"c\\n");\n')
+    schema = T.StructType().add("id", T.IntegerType()).add("v", T.StringType())
+    loaded = restore.restore(
+        spark, path, restore.save_to_folder(target), read_back=restore.restored(spark, target), schemas={"shop.t": schema}
+    )
+    assert loaded == {"shop.t": 3}
+    assert by_id(spark.read.parquet(f"{target}/shop/t")) == [(1, "a"), (2, None), (3, "c\n")]
+
+
 def test_csv_keeps_null_apart_with_a_token(spark, folder):
     df = spark.createDataFrame([("a", None), ("b", ""), ('c,"d"\n', " x ")], "k string, v string")
     for token, want in (("", [None, None, " x "]), ("\\N", [None, "", " x "])):
@@ -230,7 +242,7 @@ def test_capture_stream_repeats_nothing_on_restart(spark, folder):
     write(landed, "1.json", document % (1, 11))
     captures.capture(spark, landed, out, checkpoint, header).awaitTermination()
     write(landed, "2.json", document % (2, 12))
-    captures.capture(spark, landed, out, checkpoint).awaitTermination()
+    captures.capture(spark, landed, out, checkpoint, header).awaitTermination()
     lines = captures.read_capture(spark, out)
     records.check_trace(lines)
     rows = records.trace_sessions(lines).orderBy("pid").collect()
