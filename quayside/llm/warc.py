@@ -114,7 +114,8 @@ class ArchiveWriter:
     def _begin(self) -> None:
         made = dictionary(self._waiting)
         system, inner = _open(self.path)
-        self._sink = system.open_output_stream(inner)
+        # The records are frames already; the stream must not add its own.
+        self._sink = system.open_output_stream(inner, compression=None)
         content = made.as_bytes()
         self._sink.write(struct.pack("<II", SKIPPABLE_MAGIC, len(content)) + content)
         self._compressor = zstandard.ZstdCompressor(level=3, dict_data=made, write_checksum=True)
@@ -142,7 +143,7 @@ class ArchiveWriter:
 def read_archive(path: str) -> Iterator[dict]:
     """The records of an archive one by one; never more than one in memory."""
     system, inner = _open(path)
-    with system.open_input_stream(inner) as source:
+    with system.open_input_stream(inner, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != SKIPPABLE_MAGIC:
             raise ValueError(f"{path} does not begin with a dictionary frame")
