@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _P = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=4)

@@ -26,7 +26,7 @@ BITS = 20
 STEMS = (2, 3, 4, 5, 6)
 #: The training sample: labelled rows of each class, and bytes of their texts.
 PER_CLASS = 4000
-MAX_BYTES = 48 << 20
+MAX_BYTES = 24 << 20
 FEATURES = 512
 LEAST_DOCS = 4
 PENALTY = 4.0
@@ -67,16 +67,14 @@ def _features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield doc[long], (hashed.of(start[long], start[long] + n, n + 1) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text number, feature) pairs, by text number."""
-    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first, _, data, at in chunks(pa.array(texts, pa.large_string())):
-        own = [((d << BITS) | f) for d, f in _features(data, at)]
-        if own:
-            pairs = np.unique(np.concatenate(own))
-            docs.append((pairs >> BITS) + first)
-            found.append(pairs & ((1 << BITS) - 1))
-    return np.concatenate(docs), np.concatenate(found)
+def present(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct (text number, feature) pairs, run by run of the texts."""
+    for i in range(0, len(texts), 500):
+        for first, _, data, at in chunks(pa.array(texts[i : i + 500], pa.large_string())):
+            own = [((d << BITS) | f) for d, f in _features(data, at)]
+            if own:
+                pairs = np.unique(np.concatenate(own))
+                yield (pairs >> BITS) + first + i, pairs & ((1 << BITS) - 1)
 
 
 @dataclass
@@ -111,10 +109,12 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, rounds: int = 300
     y = np.array([float(r[1]) for r in rows])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.full(1 << BITS, -1, np.int32), np.zeros(0), 0.1 if len(y) and y[0] else -0.1)
-    doc, feature = present([r[0] for r in rows])
+    # Two passes over the texts: all features of all of them are never held.
     n1, n0 = y.sum(), len(y) - y.sum()
-    pos = np.bincount(feature, y[doc], 1 << BITS)
-    neg = np.bincount(feature, 1 - y[doc], 1 << BITS)
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for doc, feature in present([r[0] for r in rows]):
+        pos += np.bincount(feature, y[doc], 1 << BITS)
+        neg += np.bincount(feature, 1 - y[doc], 1 << BITS)
     p1, p0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
     gain = np.abs(np.log(p1 / p0)) * np.abs(pos / n1 - neg / n0)
     gain[pos + neg < LEAST_DOCS] = 0
@@ -123,14 +123,17 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, rounds: int = 300
     slots = np.full(1 << BITS, -1, np.int32)
     slots[best] = np.arange(len(best))
 
-    def matrix(d: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = slots[f]
-        return d[s >= 0], s[s >= 0]
+    def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for d, f in present(texts):
+            own = slots[f]
+            parts.append((d[own >= 0], own[own >= 0]))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
-    d, s = matrix(doc, feature)
+    d, s = matrix([r[0] for r in rows])
     pairs = [(i, c) for i, r in enumerate(rows) for t in (0, 1) if (c := swapped(r[0], i + t))]
     whose = np.array([i for i, _ in pairs], np.int64)
-    cd, cs = matrix(*present([c for _, c in pairs])) if pairs else (whose, whose)
+    cd, cs = matrix([c for _, c in pairs])
 
     size = len(best)
     w, b = np.zeros(size), 0.0
