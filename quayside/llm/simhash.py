@@ -121,8 +121,9 @@ def near(values: np.ndarray, planes: np.ndarray, asked: np.ndarray, bits: list[i
 def forest(values: np.ndarray, bits: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that connect what the pairs within the radius connect.
 
-    At most one link for each member: the search goes from member to member and
-    never lists the pairs of a group.
+    The search goes from member to member and never lists the pairs of a group.
+    Each member it reaches is linked to the one it began with, so there is at
+    most one link for each member.
     """
     planes = bit_planes(values)
     left = np.full(planes.shape[1], 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -195,12 +196,12 @@ def _compare(radius: int, keyed: list[list[int]], limit: int | None):
                     last, held = now, []
                 held.append(v[s:e].view(np.uint64))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         out = []
         if held:
             closed(last[0], np.concatenate(held), out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -215,6 +216,8 @@ def _grouped(rows: DataFrame, radius: int, keyed: list[list[int]], limit: int |
 def links(distinct: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
     """Pairs (a, b) that connect all fingerprints (column fp) within the radius.
 
+    The two of a pair reach each other over steps within the radius.
+
     A group beyond ``limit`` members is not compared at once: it is grouped
     again by the blocks of the bits that the first grouping left free.
     """
