@@ -286,26 +286,54 @@ def _restore_query(form):
             read_back=restore.restored(spark, target),
         )
         loaded = [spark.read.parquet(f"{target}/copy/{n}") for n in _RESTORED[:3]]
-        return union_all(
-            [
-                df.select(F.lit(n).alias("table_name"), F.to_json(F.struct(F.col(df.columns[0]).alias("k"), F.col(df.columns[1]).alias("v"))).alias("row"))
-                for n, df in zip(_RESTORED, loaded)
-            ]
-        )
+        return union_all([_all_columns(n, df) for n, df in zip(_RESTORED, loaded)])
 
     return run
 
 
+def _all_columns(name, df):
+    """Each row as one text that both engines write alike."""
+
+    def plain(c, kind):
+        c = F.col(c)
+        if kind == "double":
+            c = F.round(c * 100).cast("bigint")
+        if kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.coalesce(c.cast("string"), F.lit("-"))
+
+    return df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[plain(c, k) for c, k in df.dtypes]).alias("row"))
+
+
+_ALL_COLUMNS = """
+SELECT 'customer' AS table_name, concat_ws('|', c_custkey, coalesce(c_name, '-'), coalesce(c_nationkey::VARCHAR, '-'), coalesce(CAST(round(c_acctbal * 100) AS BIGINT)::VARCHAR, '-'), coalesce(c_mktsegment, '-')) AS row FROM customer
+UNION ALL SELECT 'nation', concat_ws('|', n_nationkey, coalesce(n_name, '-'), coalesce(n_regionkey::VARCHAR, '-')) FROM nation
+UNION ALL SELECT 'orders', concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, '-'), CAST(round(o_totalprice * 100) AS BIGINT), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), coalesce(o_orderpriority, '-')) FROM orders
+"""
+
 for _form in ("sql", "csv", "json"):
-    query(
-        f"k6_restore_{_form}",
-        _RESTORED,
-        """
-SELECT 'customer' AS table_name, '{"k":' || c_custkey || ',"v":"' || c_name || '"}' AS row FROM customer
-UNION ALL SELECT 'nation', '{"k":' || n_nationkey || ',"v":"' || n_name || '"}' FROM nation
-UNION ALL SELECT 'orders', '{"k":' || o_orderkey || ',"v":' || o_custkey || '}' FROM orders
+    query(f"k6_restore_{_form}", _RESTORED, _ALL_COLUMNS)(_restore_query(_form))
+
+
+@query(
+    "k6_restore_two_databases",
+    ["nation", "region"],
+    """
+SELECT 'a' AS db, CAST(n_nationkey AS INTEGER) AS k, n_name AS name FROM nation UNION ALL SELECT 'b', CAST(r_regionkey AS INTEGER), r_name FROM region
 """,
-    )(_restore_query(_form))
+)
+def _(nation, region):
+    folder, target = _folder(nation, "dump"), _folder(nation, "restored")
+    spark = nation.sparkSession
+    frames = {
+        "a": nation.select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name")),
+        "b": region.select(F.col("r_regionkey").cast("int").alias("k"), F.col("r_name").alias("name")),
+    }
+    for db, df in frames.items():
+        dump.write_schema(df, folder, db, "t")
+        dump.write_sql(df, folder, db, "t")
+    restore.restore(spark, folder, restore.save_to_folder(target), read_back=restore.restored(spark, target))
+    return union_all([spark.read.parquet(f"{target}/{db}/t").select(F.lit(db).alias("db"), "k", "name") for db in frames])
 
 
 @query(
@@ -339,7 +367,8 @@ def _(orders, nation):
 @query(
     "s3_sqlite_dump",
     ["raw_customer"],
-    "SELECT id, name, metadata, nullif(is_vip, '') AS is_vip, 'it''s; (' || name || ')' AS note FROM raw_customer",
+    """SELECT CAST(n AS INTEGER) AS row_ordinal, id, name, metadata, nullif(is_vip, '') AS is_vip,
+       'it''s;' || chr(10) || '(' || name || ')' AS note FROM raw_customer, (VALUES (0), (1)) t(n)""",
 )
 def _(raw):
     folder = _folder(raw, "dump")
@@ -347,7 +376,7 @@ def _(raw):
     def literal(c):
         return F.coalesce(text.quoted_literal(c), F.lit("NULL"))
 
-    note = F.concat(F.lit("it's; ("), "name", F.lit(")"))
+    note = F.concat(F.lit("it's;\n("), "name", F.lit(")"))
     values = [literal(F.col(c)) for c in ("id", "name", "metadata", "is_vip")] + [literal(note)]
     row = F.concat(F.lit("  ("), F.concat_ws(", ", *values), F.lit(")"))
     line = F.concat(
@@ -355,8 +384,25 @@ def _(raw):
     )
     raw.select(line.alias("value")).write.text(folder)
     rows = dumps.read_sql_dump(raw.sparkSession, folder, "sqlite")
-    first = rows.where("row_ordinal = 0")
-    return dumps.dump_table(first, "raw", ["id", "name", "metadata", "is_vip", "note"], "sqlite")
+    columns = ["id", "name", "metadata", "is_vip", "note"]
+    both = [
+        dumps.dump_table(rows.where(F.col("row_ordinal") == n), "raw", columns, "sqlite").withColumn("row_ordinal", F.lit(n))
+        for n in (0, 1)
+    ]
+    return union_all(both)
+
+
+@query("s3_crlf_dump", ["raw_customer"], "SELECT id, name FROM raw_customer")
+def _(raw):
+    folder = _folder(raw, "dump")
+    line = F.concat(
+        F.lit("-- it's; a note\r\nINSERT INTO `raw`\r\n(`id`, `name`)\r\nVALUES ("),
+        F.concat_ws(", ", text.quoted_literal(F.col("id")), text.quoted_literal(F.col("name"))),
+        F.lit(") ;  \r"),
+    )
+    raw.select(line.alias("value")).write.text(folder)
+    rows = dumps.read_sql_dump(raw.sparkSession, folder)
+    return dumps.dump_table(rows, "raw", ["id", "name"])
 
 
 @query(

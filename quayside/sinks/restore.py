@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,13 +69,15 @@ def read_schemas(spark: SparkSession, folder: str) -> dict[str, T.StructType]:
 def check_statements(
     spark: SparkSession, folder: str, limit: int = MAX_STATEMENT_BYTES
 ) -> dict[str, int]:
-    """Rows per table of an SQL dump, in one pass over its statements.
+    """Rows per ``database.table`` of an SQL dump, in one pass over its statements.
 
     Raises when a statement is larger than the target would take, or does not
     come apart into rows.
     """
     inserts = dumps.read_inserts(spark, f"{folder}/*.sql")
-    sizes = inserts.groupBy("table_name").agg(
+    names = dumps._named_parts(F.col("file"))
+    named = inserts.withColumn("name", F.concat_ws(".", names["database"], names["table_name"]))
+    sizes = named.groupBy("name").agg(
         F.sum(F.size("tuples")).alias("rows"),
         F.max(F.octet_length("statement")).alias("bytes"),
         F.count_if("broken").alias("broken"),
@@ -87,7 +89,7 @@ def check_statements(
     broken = sum(r["broken"] for r in found)
     if broken:
         raise ValueError(f"{broken} statements do not come apart into rows")
-    return {r["table_name"]: r["rows"] for r in found}
+    return {r["name"]: r["rows"] for r in found}
 
 
 def restore(
@@ -120,9 +122,6 @@ def restore(
         raise ValueError("data only needs a way to read the tables that are there")
     if start and end and end < start:
         raise ValueError(f"ending table {end!r} comes before starting table {start!r}")
-    in_dump: dict[str, int] | None = None
-    if form == "sql" and not schema_only:
-        in_dump = check_statements(spark, folder, max_statement_bytes)
     known = read_schemas(spark, folder) if schemas is None else schemas
     wanted = {
         name: schema
@@ -131,33 +130,40 @@ def restore(
         and (not end or name.split(".", 1)[1] <= end)
     }
 
+    twice = {t for n in wanted if sum(m.split(".", 1)[1] == (t := n.split(".", 1)[1]) for m in wanted) > 1}
+    if target_database and twice:
+        raise ValueError(f"several databases hold {', '.join(sorted(twice))}; one target cannot take them")
+
     def load(name: str) -> int:
         database, table = name.split(".", 1)
         schema = wanted[name]
-        if schema_only:
-            rows = spark.createDataFrame([], schema)
-        else:
-            rows = typed_rows(_text_rows(spark, folder, name, form, schema), schema)
         target = target_database or database
+        if schema_only:
+            save(spark.createDataFrame([], schema), target, table)
+            return 0
+        # The load counts what it reads, so the dump is parsed once.
+        seen = Observation()
+        text = _text_rows(spark, folder, name, form, schema, max_statement_bytes)
+        rows = typed_rows(text.observe(seen, F.count(F.lit(1)).alias("rows")), schema)
         before = read_back(target, table).count() if data_only else 0
         save(rows, target, table)
-        if schema_only or read_back is None:
+        if read_back is None:
             return 0
-        expected = rows.count() if in_dump is None else in_dump.get(table, 0)
-        return expect_rows(name, read_back(target, table).count() - before, expected)
+        return expect_rows(name, read_back(target, table).count() - before, seen.get["rows"])
 
     return per_table(spark, list(wanted), load, threads)
 
 
 def _text_rows(
-    spark: SparkSession, folder: str, name: str, form: str, schema: T.StructType
+    spark: SparkSession, folder: str, name: str, form: str, schema: T.StructType, limit: int
 ) -> DataFrame:
     path = f"{folder}/{name}.{form}"
     columns = schema.names
     if form == "sql":
         # One folder of part files, or numbered files beside each other.
-        inserts = dumps.read_sql_dump(spark, f"{folder}/{name}{{,.[0-9]*}}.sql")
-        return dumps.dump_table(inserts, name.split(".", 1)[1], columns)
+        inserts = dumps.read_inserts(spark, f"{folder}/{name}{{,.[0-9]*}}.sql")
+        rows = dumps.insert_rows(dumps.whole_statements(inserts, limit))
+        return dumps.dump_table(rows, name.split(".", 1)[1], columns)
     if form == "csv":
         text = ", ".join(f"`{c}` string" for c in columns)
         return dumps.read_csv_dump(spark, path, text)

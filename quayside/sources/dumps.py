@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.text import strip, unescape_literal
+from quayside.sources.statements import read_statements
 
 # A literal and a balanced group inside a value list. MySQL literals know
 # backslash escapes, SQLite ones only doubled quotes. Possessive loops keep
@@ -28,24 +29,6 @@ SUFFIXES = {
 }
 
 
-def read_statements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per statement of SQL files, comment lines before it removed.
-
-    Statements end at a semicolon and line break, so files split between tasks
-    at any size.
-    """
-    raw = (
-        spark.read.option("lineSep", ";\n")
-        .option("recursiveFileLookup", "true")
-        .text(paths)
-    )
-    text = F.regexp_replace("value", r"^(?:\s*+(?:--[^\n]*+(?:\n|\z))?)*+", "")
-    text = F.regexp_replace(text, r";?\s*+$", "")
-    return raw.select(F.col("_metadata.file_path").alias("file"), text.alias("statement")).where(
-        "statement <> ''"
-    )
-
-
 def _tuple_patterns(dialect: str) -> tuple[str, str]:
     literal = _LITERALS[dialect]
     inner = rf"(?:[^()'\"]++|{literal}|\((?:[^()'\"]++|{literal}|\([^()]*+\))*+\))*+"
@@ -87,12 +70,14 @@ def read_inserts(
 ) -> DataFrame:
     """INSERT statements with their value lists, still one row per statement.
 
-    ``broken`` marks those whose value list does not come apart cleanly, such
-    as a statement cut by a line break after a semicolon in a literal. They go
-    to :func:`quarantined` and never into a table.
+    ``broken`` marks those whose value list does not come apart cleanly, and
+    text that an open literal runs through to the end of its file. They go to
+    :func:`quarantined`; reading them into a table is an error.
     """
     tuples, _ = _tuple_patterns(dialect)
-    inserts = read_statements(spark, paths).where(F.col("statement").rlike(r"(?is)^INSERT\s"))
+    inserts = read_statements(spark, paths, dialect).where(
+        F.col("statement").rlike(r"(?is)^INSERT\s") | ~F.col("ended")
+    )
     table = F.coalesce(
         *[
             F.nullif(F.regexp_extract("statement", _HEAD, n), F.lit(""))
@@ -109,6 +94,7 @@ def read_inserts(
         F.when(F.col("statement").rlike(_HEAD), table).alias("table_name"),
         F.when(names[0] != "", names).alias("columns"),
         "statement",
+        "ended",
         body.alias("body"),
     )
     rest = F.regexp_replace("body", tuples, "")
@@ -118,22 +104,42 @@ def read_inserts(
         "columns",
         "statement",
         F.regexp_extract_all("body", F.lit(tuples), 1).alias("tuples"),
-        (F.col("table_name").isNull() | ~rest.rlike(r"^[\s,]*$")).alias("broken"),
+        (F.col("table_name").isNull() | ~F.col("ended") | ~rest.rlike(r"^[\s,]*$")).alias("broken"),
     )
 
 
+def whole_statements(inserts: DataFrame, limit: int | None = None) -> DataFrame:
+    """The statements as they are; the job fails at one that is broken.
+
+    With ``limit`` it also fails at one of more bytes.
+    """
+    bytes_ = F.octet_length("statement")
+    said = F.concat(F.lit("a statement does not come apart into rows: "), F.col("file"), F.lit(": "), F.left("statement", F.lit(200)))
+    checked = F.when(F.col("broken"), F.raise_error(said).cast("boolean"))
+    if limit is not None:
+        large = F.format_string(f"a statement of %d bytes is larger than {limit} bytes", bytes_)
+        checked = checked.when(bytes_ > limit, F.raise_error(large).cast("boolean"))
+    return inserts.where(checked.otherwise(True))
+
+
 def read_sql_dump(
-    spark: SparkSession, paths: str | Sequence[str], dialect: str = "mysql"
+    spark: SparkSession, paths: str | Sequence[str], dialect: str = "mysql", skip_broken: bool = False
 ) -> DataFrame:
     """Rows of a dump: table, place in the statement, column list and tokens.
 
     ``tokens`` are the values as they are written; :func:`dump_table` decodes
-    those that are wanted.
+    those that are wanted. A statement that does not come apart fails the job,
+    unless they are to be skipped because :func:`quarantined` takes them.
     """
+    inserts = read_inserts(spark, paths, dialect)
+    return insert_rows(inserts.where("NOT broken") if skip_broken else whole_statements(inserts), dialect)
+
+
+def insert_rows(inserts: DataFrame, dialect: str = "mysql") -> DataFrame:
+    """The rows of statements that come apart."""
     _, value = _tuple_patterns(dialect)
     rows = (
-        read_inserts(spark, paths, dialect)
-        .where("NOT broken")
+        inserts
         .select("file", "table_name", "columns", F.posexplode("tuples").alias("row_ordinal", "row"))
     )
     return rows.select(

@@ -11,10 +11,10 @@ TRACE_VERSION = 1
 
 # The fields of a session as they are in a landed document. Times
 # are text, so that a document with an odd time still loads.
-_SESSION = """pid INT, instance STRING, datname STRING, usename STRING, application_name STRING,
+_SESSION = """pid BIGINT, instance STRING, datname STRING, usename STRING, application_name STRING,
 client_addr STRING, state STRING, wait_event_type STRING, wait_event STRING, backend_type STRING,
 xact_start STRING, query_start STRING, connection_id STRING, transaction_id STRING, query_id STRING,
-duration_ms BIGINT, blocked_by ARRAY<INT>, query_text STRING"""
+duration_ms BIGINT, blocked_by ARRAY<BIGINT>, query_text STRING"""
 _INSTANCES = "ARRAY<STRUCT<id: STRING, role: STRING, error: STRING>>"
 _TOPOLOGY = "STRUCT<keyspace: STRING, shard: STRING, tablet: STRING>"
 
@@ -31,10 +31,10 @@ SNAPSHOT_SCHEMA = (
 )
 
 # The same session in a trace, where a duration is nanoseconds.
-_TRACE_SESSION = """pid INT, instance STRING, instance_role STRING, username STRING, application_name STRING,
+_TRACE_SESSION = """pid BIGINT, instance STRING, instance_role STRING, username STRING, application_name STRING,
 database STRING, client_addr STRING, state STRING, wait_event_type STRING, wait_event STRING,
 backend_type STRING, xact_start STRING, query_start STRING, connection_id STRING, transaction_id STRING,
-query_id STRING, duration BIGINT, blocked_by ARRAY<INT>, query_text STRING"""
+query_id STRING, duration BIGINT, blocked_by ARRAY<BIGINT>, query_text STRING"""
 TRACE_FIELDS = ["at", "capture"]
 CAPTURE_FIELDS = ["captured_at", "database_kind", "connections", "sort", "instances", "topology"]
 TRACE_SESSION_FIELDS = [

@@ -108,20 +108,44 @@ here');
 """
 
 
-def test_sqlite_dump_with_a_cut_statement(spark, folder):
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_sqlite_dump(spark, folder, ends):
     path = local(folder("sqlite"))
-    write(path, "export.sql", SQLITE)
+    write(path, "export.sql", SQLITE.replace(";\nINSERT", f"; {ends}INSERT").replace(");\n", f");{ends}"))
     inserts = dumps.read_inserts(spark, path, "sqlite")
-    assert dumps.quarantined(inserts).count() == 1
+    assert dumps.quarantined(inserts).count() == 0
     rows = dumps.read_sql_dump(spark, path, "sqlite")
     notes = dumps.dump_table(rows, "notes", ["id", "body"], "sqlite")
-    assert sorted(map(tuple, notes.collect()), key=str) == [("1", "it's (one), two"), ("2", None), ("3", "")]
+    assert sorted(map(tuple, notes.collect()), key=str) == [
+        ("1", "it's (one), two"), ("2", None), ("3", ""), ("4", "cut;\nhere"),
+    ]
     other = dumps.dump_table(rows, "other one", list("abcde"), "sqlite").first()
     assert tuple(other) == ("7", "C:\\", "x'00'", "-1.5e3", "(\"a\" || 'b')")
     counts = {r.table_name: r.rows for r in dumps.statement_rows(inserts).collect()}
     assert counts == {"notes": 4, "other one": 1}
 
 
+def test_statements_lie_across_splits(spark, folder):
+    path = local(folder("splits"))
+    body = "".join(f"/* it's; {i} */ INSERT INTO t VALUES ({i}, 'a;b\\';{i}', \"x;\"); -- don't; stop\n" for i in range(400))
+    write(path, "a.sql", body + "INSERT INTO t VALUES (400, '" + ";long" * 3000 + "');\n")
+    write(path, "b.sql", "INSERT INTO t VALUES (401, 'x', 'y');INSERT INTO t VALUES (402, 'never; closed")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    try:
+        inserts = dumps.read_inserts(spark, path)
+        lost = dumps.quarantined(inserts).collect()
+        assert [r.statement for r in lost] == ["INSERT INTO t VALUES (402, 'never; closed"]
+        with pytest.raises(Exception, match="does not come apart"):
+            dumps.dump_table(dumps.read_sql_dump(spark, path), "t", ["a"]).collect()
+        rows = dumps.dump_table(dumps.read_sql_dump(spark, path, skip_broken=True), "t", ["a", "b"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    found = {int(r.a): r.b for r in rows}
+    assert sorted(found) == list(range(402)) and len(rows) == 402
+    assert found[7] == "a;b';7" and found[400] == ";long" * 3000
+
+
 def test_flat_dump_files_are_told_apart(spark, folder):
     path = local(folder("flat"))
     for name in ("shop-schema-create.sql", "shop.t-schema.sql", "shop.v-schema-view.sql", "shop.t.00001.sql", "shop.t.00012.sql", "metadata"):
