@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,7 +257,7 @@ def root_blockers(
     details = matched_locks(waits, held, root).select(
         *root, F.col("relation").alias("relid"), "lock_mode", "lock_type"
     )
-    names = relations.select(F.col("relid").cast("int").alias("relid"), "rel_name")
+    names = relations.select(F.col("relid").cast("bigint").alias("relid"), "rel_name")
     named = details.distinct().join(names, "relid", "left")
 
     def listed(column: str) -> Column:
@@ -513,7 +515,7 @@ def report(inputs: Mapping[str, DataFrame | Column], names: Sequence[str] = ())
                     F.lit(None).cast("string").alias("skipped"),
                 )
                 frames.append(materialize(done, "check"))
-            except Exception as e:  # the report goes on without this check
+            except (PySparkException, Py4JJavaError) as e:  # the report goes on without this check
                 reason = str(e).splitlines()[0]
         if reason:
             frames.append(
