@@ -73,12 +73,17 @@ def canonical_json(c: Column) -> Column:
 
 
 def json_equal(a: Column, b: Column) -> Column:
-    """Equal as JSON documents; equal as text when neither is JSON."""
+    """Equal as JSON documents; equal as text when neither is JSON.
+
+    A document with a repeated key equals only its own text. What looks like
+    JSON and is none equals nothing.
+    """
     left, right = canonical_json(a), canonical_json(b)
     neither = left.isNull() & right.isNull()
     looks = strip(a).rlike(r"^[\[{]") | strip(b).rlike(r"^[\[{]")
     return (
         F.when(a.isNull() | b.isNull(), a.eqNullSafe(b))
+        .when(a == b, ~looks | left.isNotNull() | F.get_json_object(a, "$").isNotNull())
         .when(left.isNotNull() & right.isNotNull(), left == right)
         .when(neither & ~looks, a == b)
         .otherwise(False)
@@ -128,8 +133,8 @@ def canonical_text(c: Column, kind: str) -> Column:
         return F.lower(F.hex(c))
     if kind == "timestamp":
         text = c.cast("string")
-        seconds = F.date_format(to_instant(text), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        return F.coalesce(seconds, text)
+        instant = F.date_format(to_instant(text), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return F.coalesce(instant, text)
     return c.cast("string")
 
 

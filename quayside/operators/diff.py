@@ -341,10 +341,20 @@ def sampled_comparison(
     kinds = kinds or {}
     pk = list(pk)
     columns = [c for c in source.columns if c not in pk]
-    picked = source.orderBy(*pk).limit(samples)
-    wanted = target.join(F.broadcast(picked.select(*pk)), pk, "left_semi")
-    s = picked.select(*pk, F.struct(*columns).alias("s"))
-    t = wanted.select(*pk, F.struct(*columns).alias("t"), F.lit(True).alias("found"))
+    # At most ``samples`` keys go out; the rows that have them do not.
+    keys = source.select(*pk).distinct().orderBy(*pk).limit(samples)
+
+    def by_key(df: DataFrame, side: str) -> DataFrame:
+        named = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(pk)])
+        same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(pk)])
+        rows = df.join(F.broadcast(named), same, "left_semi")
+        digest = null_safe_hash([F.col(c) for c in columns]).cast("decimal(38,0)")
+        return rows.groupBy(*pk).agg(
+            F.min(F.struct(*columns)).alias(side),
+            F.struct(F.count("*").alias("n"), F.sum(digest).alias("all")).alias(f"{side}_rows"),
+        )
+
+    s, t = by_key(source, "s"), by_key(target, "t").withColumn("found", F.lit(True))
 
     def unequal(c: str) -> Column:
         kind = kinds.get(c, "text")
@@ -353,9 +363,14 @@ def sampled_comparison(
             a, b = a.cast("string"), b.cast("string")
         return F.when(~values_equal(a, b, kind), c)
 
-    # Both sides hold at most ``samples`` keys.
-    joined = s.join(F.broadcast(t), pk, "left")
-    differing = F.filter(F.array(*[unequal(c) for c in columns]), lambda c: c.isNotNull())
+    # Both sides hold at most ``samples`` keys, one row each.
+    other = t.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(pk)], "t", "t_rows", "found")
+    same = reduce(lambda a, b: a & b, [s[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(pk)])
+    joined = s.join(F.broadcast(other), same, "left")
+    copies = (F.col("s_rows.n") > 1) | (F.col("t_rows.n") > 1)
+    differing = F.when(copies, F.when(F.col("s_rows") != F.col("t_rows"), F.array(F.lit("copies"))).otherwise(F.array().cast("array<string>"))).otherwise(
+        F.filter(F.array(*[unequal(c) for c in columns]), lambda c: c.isNotNull())
+    )
     found = F.coalesce("found", F.lit(False))
 
     def shown(side: str) -> Column:
@@ -404,6 +419,12 @@ def verify_tables(
             _check("row_counts", name, None, rows[0] == rows[1], *rows, "rows on both sides"),
             _check("table_fingerprint", name, key, F.col("s") == F.col("t"), *sums, "row count and key sum"),
         ]
+        compared = [canonical_text(F.col(f"`{c}`"), kinds.get(name, {}).get(c, "text")).alias(c) for c in source.columns]
+        content = [content_fingerprint(df.select(*compared)) for df in (source, target)]
+        held = side_by_side([c.select(F.struct("*").alias(x)) for c, x in zip(content, "st", strict=True)])
+        totals = [F.col(f"{x}.content_sum") for x in "st"]
+        whole = _check("table_content", name, None, F.col("s") == F.col("t"), *totals, "all rows, order-free")
+        checks.append(held.select(F.inline(F.array(whole))))
         # Both checks read the same two counts, so each table is scanned once.
         checks.append(both.select(F.inline(F.array(*pair))))
         if name in next_values and key:

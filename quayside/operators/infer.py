@@ -74,7 +74,8 @@ class TextColumn:
             size = re.search(r"\((\d+)\s*(?:,\s*(\d+))?\s*\)", kind)
             if not size:
                 return "decimal(38,18)"
-            return f"decimal({min(int(size[1]), 38)},{size[2] or 0})"
+            # More digits than a decimal holds stay text rather than lose some.
+            return f"decimal({size[1]},{size[2] or 0})" if int(size[1]) <= 38 else "string"
         return "string"
 
 
@@ -150,6 +151,12 @@ def _cast(name: str, kind: str) -> Column:
     if kind == "binary":
         hexed = F.regexp_extract(c, "^[xX]'([0-9A-Fa-f]*)'$", 1)
         return F.when(c.rlike("^[xX]'"), F.unhex(hexed)).otherwise(F.encode(c, "UTF-8"))
+    if kind.startswith("decimal"):
+        # A value the type would round does not fit it.
+        scale = int(kind.rstrip(")").rpartition(",")[2])
+        places = F.length(F.regexp_extract(c, r"\.(\d*?)0*\s*$", 1))
+        small = F.when(c.rlike("[eE]"), c.try_cast(kind).cast("double") == c.try_cast("double")).otherwise(places <= scale)
+        return F.when(small, c.try_cast(kind))
     return c if kind == "string" else c.try_cast(kind)
 
 

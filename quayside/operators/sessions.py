@@ -202,7 +202,7 @@ def from_process_list(processes: DataFrame) -> DataFrame:
     kept = [c for c in ("source", "snapshot") if c in processes.columns]
     return processes.select(
         *kept,
-        F.col("id").cast("int").alias("pid"),
+        F.col("id").cast("bigint").alias("pid"),
         F.col("user").alias("username"),
         F.col("host").alias("client_addr"),
         F.col("db").alias("database"),

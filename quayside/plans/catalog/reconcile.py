@@ -294,6 +294,7 @@ def _(orders, copy):
 SELECT 'row_counts' AS "check", 'orders' AS table_name, CAST(NULL AS STRING) AS column_name,
        (SELECT count(*) FROM orders) = count(*) AS matched FROM orders_copy
 UNION ALL SELECT 'table_fingerprint', 'orders', 'o_orderkey', (SELECT sum(o_orderkey) FROM orders) = sum(o_orderkey) FROM orders_copy
+UNION ALL SELECT 'table_content', 'orders', NULL, NOT EXISTS (FROM orders EXCEPT ALL FROM orders_copy) AND NOT EXISTS (FROM orders_copy EXCEPT ALL FROM orders)
 UNION ALL SELECT 'sequences', 'orders', 'o_orderkey', max(o_orderkey) < 900000000 FROM orders_copy
 UNION ALL SELECT "check", table_name, column_name, matched FROM ("""
     + _SAMPLED.format(n=3)
@@ -305,6 +306,23 @@ def _(orders, copy):
     return checks.select("check", "table_name", "column_name", "matched")
 
 
+@query(
+    "c6_verify_changed_content",
+    ["nation"],
+    """
+SELECT * FROM (VALUES ('changed', 'row_counts', true), ('changed', 'table_fingerprint', true), ('changed', 'table_content', false), ('changed', 'sample_rows', true),
+  ('same', 'row_counts', true), ('same', 'table_fingerprint', true), ('same', 'table_content', true), ('same', 'sample_rows', true)) v(table_name, "check", matched),
+  (SELECT CAST(count(*) AS INTEGER) AS nations FROM nation)
+""",
+)
+def _(nation):
+    """One row beyond the sampled ones differs; counts, keys and samples do not."""
+    other = nation.withColumn("n_name", F.when(F.col("n_nationkey") == 17, "elsewhere").otherwise(F.col("n_name")))
+    pairs = {"changed": (nation, other, ["n_nationkey"]), "same": (nation, nation, ["n_nationkey"])}
+    checks = diff.verify_tables(pairs, samples=1).select("table_name", "check", "matched")
+    return checks.withColumn("nations", F.lit(nation.count()))
+
+
 @query(
     "f7_json_equal",
     ["raw_customer"],
@@ -369,7 +387,7 @@ def _(raw):
 SELECT id, CASE WHEN is_vip IN ('0', '1') THEN is_vip END AS flag,
        CASE WHEN metadata = '' THEN '' ELSE '[1,' || id || ']' END AS json,
        lower(hex(CAST(name AS BLOB))) AS bin,
-       substr(created_at, 1, 10) || CASE WHEN created_at LIKE '%Z' THEN 'T11:30:00Z' ELSE 'T10:00:00Z' END AS instant,
+       substr(created_at, 1, 10) || CASE WHEN created_at LIKE '%Z' THEN 'T11:30:00.000000Z' ELSE 'T10:00:00.000000Z' END AS instant,
        empty_at AS plain
 FROM raw_customer
 """,

@@ -370,14 +370,14 @@ def _(sessions):
     "s9_process_list",
     ["sessions"],
     """
-SELECT source, snapshot, pid, username, instance AS client_addr, 'shop' AS "database",
+SELECT source, snapshot, CAST(pid AS BIGINT) + 3000000000 AS pid, username, instance AS client_addr, 'shop' AS "database",
        CASE WHEN state = '' THEN wait_event_type WHEN wait_event_type = '' THEN state ELSE state || '/' || wait_event_type END AS state,
        duration_ms // 1000 * 1000 AS duration_ms, query_text FROM sessions
 """,
 )
 def _(sessions):
     listed = sessions.select(
-        "source", "snapshot", F.col("pid").alias("id"), F.col("username").alias("user"), F.col("instance").alias("host"),
+        "source", "snapshot", (F.col("pid") + F.lit(3_000_000_000)).alias("id"), F.col("username").alias("user"), F.col("instance").alias("host"),
         F.lit("shop").alias("db"), F.col("state").alias("command"), F.col("wait_event_type").alias("state"),
         F.floor(F.col("duration_ms") / 1000).alias("time"), F.col("query_text").alias("info"),
     )

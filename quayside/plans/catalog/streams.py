@@ -41,7 +41,7 @@ def _landed(sessions, instances):
 
 
 _SESSIONS = """
-SELECT TIMESTAMP '2024-01-01 00:00:00' + snapshot * INTERVAL 1 SECOND AS captured_at, s.pid, s.instance, i.role AS instance_role, s.username, s.state,
+SELECT TIMESTAMP '2024-01-01 00:00:00' + snapshot * INTERVAL 1 SECOND AS captured_at, CAST(s.pid AS BIGINT) AS pid, s.instance, i.role AS instance_role, s.username, s.state,
        s.xact_start, s.query_start, s.duration_ms, s.query_text, CAST(s.pid - 1 AS STRING) AS blocked_by
 FROM sessions s JOIN instances i USING (source, snapshot, instance)
 """
@@ -122,7 +122,7 @@ def _(sessions, instances):
     "g4_replay_sorted",
     ["sessions", "instances"],
     """
-SELECT snapshot, pid, CAST(row_number() OVER (PARTITION BY snapshot ORDER BY xact_start NULLS LAST, query_start NULLS LAST, pid) AS INT) AS position FROM sessions
+SELECT snapshot, CAST(pid AS BIGINT) AS pid, CAST(row_number() OVER (PARTITION BY snapshot ORDER BY xact_start NULLS LAST, query_start NULLS LAST, pid) AS INT) AS position FROM sessions
 """,
 )
 def _(sessions, instances):
@@ -198,9 +198,11 @@ FROM events GROUP BY 1, 2
 )
 def _(events):
     spark = events.sparkSession
-    path = events.inputFiles()[0]
-    folder, name = path.rsplit("/", 1)
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", name).parquet(folder)
+    # The whole table: its folder, or its one file in a folder of several tables.
+    files = events.inputFiles()
+    folder, name = files[0].rsplit("/", 1)
+    only = name if folder.rsplit("/", 1)[1] != "events.parquet" else "*.parquet"
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", only).parquet(folder)
     # Structured Streaming keeps watermarks on instants; the session is in UTC.
     log = derive(spark, "query_log", events=stream).withColumn("ts", F.col("ts").cast("timestamp"))
     out = new_path(spark, "hourly")
