@@ -113,18 +113,19 @@ def _measured(text: str | None, before: dict | None, automaton) -> dict:
     }
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[tuple]:
-    """The items in groups of bounded size, each small enough to send to all tasks."""
+def _slices(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[tuple]:
+    """The items in groups of bounded size, each small enough to send to all tasks.
+
+    One group at a time is on the driver, whatever the size of the benchmark.
+    """
     parts = benchmark.select(
         F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), col(text).alias("text")
     ).where("text IS NOT NULL")
     size = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first().s
     n = -(-int(size) // limit) if size > limit else 1
-    out = []
     for i in range(n):
         rows = parts.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()
-        out.append(tuple(sorted((r.item, r.text.encode("utf-8", "surrogatepass")) for r in rows)))
-    return out
+        yield tuple(sorted((r.item, r.text.encode("utf-8", "surrogatepass")) for r in rows))
 
 
 def find_contamination(
@@ -148,8 +149,7 @@ def find_contamination(
     """
     bounded_batches(docs.sparkSession)
     name = fresh(docs, out)
-    slices = _slices(benchmark, item_id, item_text, slice_bytes)
-    for i, items in enumerate(slices):
+    for i, items in enumerate(_slices(benchmark, item_id, item_text, slice_bytes)):
         kind = pa.struct(
             [
                 ("n_words", pa.int64()),
