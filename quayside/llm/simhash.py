@@ -74,11 +74,12 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
     """Plane b holds bit b of every value, 64 values in a word."""
-    lanes = -(-len(values) // 64) * 64
-    bits = np.zeros((64, lanes), np.uint8)
+    planes = np.zeros((64, -(-len(values) // 64) * 8), np.uint8)
     for b in range(64):
-        bits[b, : len(values)] = (values >> np.uint64(b)) & np.uint64(1)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        bits = ((values >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+        packed = np.packbits(bits, bitorder="little")
+        planes[b, : len(packed)] = packed
+    return planes.view(np.uint64)
 
 
 def near(values: np.ndarray, planes: np.ndarray, asked: np.ndarray, bits: list[int], radius: int) -> np.ndarray:
@@ -166,19 +167,28 @@ def _groupings(radius: int) -> list[list[int]]:
 
 
 def _compare(radius: int, keyed: list[list[int]], limit: int | None):
-    """Rows (grouping, key, fp) sorted by the first two, to links and leftovers."""
+    """Rows (grouping, key, fp) sorted by the first two, to links and leftovers.
+
+    A group beyond ``limit`` is passed on piece by piece and never held whole.
+    """
+    schema = pa.schema([("grouping", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     free = [[b for b in range(64) if b not in set(bits)] for bits in keyed]
 
     def closed(grouping: int, values: np.ndarray, out: list) -> None:
-        if limit and len(values) > limit:
-            out += [(grouping, int(v), None) for v in values.view(np.int64)]
-        elif len(values) > 1:
+        if len(values) > 1:
             made = forest(values, free[grouping], radius)
             out += [(None, a - (a >> 63 << 64), b - (b >> 63 << 64)) for a, b in made]
 
+    def linked(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def left(grouping: int, values: np.ndarray) -> pa.RecordBatch:
+        n = len(values)
+        parts = [pa.array(np.full(n, grouping, np.int32)), pa.array(values.view(np.int64)), pa.nulls(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(parts, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("grouping", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-        last, held = None, []
+        last, held, wide = None, [], False
         for batch in batches:
             g, k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(g):
@@ -193,15 +203,18 @@ def _compare(radius: int, keyed: list[list[int]], limit: int | None):
                 if now != last:
                     if held:
                         closed(last[0], np.concatenate(held), out)
-                    last, held = now, []
+                    last, held, wide = now, [], False
                 held.append(v[s:e].view(np.uint64))
+                if limit and (wide or sum(map(len, held)) > limit):
+                    yield left(now[0], np.concatenate(held))
+                    held, wide = [], True
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield linked(out)
         out = []
         if held:
             closed(last[0], np.concatenate(held), out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield linked(out)
 
     return run
 
