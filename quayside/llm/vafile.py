@@ -18,26 +18,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import bounded_batches, col
-from quayside.session import materialize
+from quayside.session import materialize, new_path
 
 K = 10
 SCALE = 1024
 CELLS = 256
 #: Queries that go out with one scan of the file.
 QUERY_BLOCK = 2048
-#: Components beyond this, after scaling, could leave a long in an inner product.
-LARGEST = 1 << 26
+#: Squared length, after scaling, below which an inner product always fits a long.
+LONGEST = 2.0**62
 _ROWS = 512
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
     """The components as whole numbers; null if the vector takes no part."""
-    made = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    def fit(x: Column) -> Column:
-        y = x.cast("double") * F.lit(float(scale))
-        return F.coalesce(~F.isnan(x) & (F.abs(y) < F.lit(float(LARGEST))), F.lit(False))
+    def times(x: Column) -> Column:
+        return x.cast("double") * F.lit(float(scale))
 
-    return F.when(F.forall(vector, fit), made)
+    # A null component makes the length null, one that is not finite makes it no less than any bound.
+    length = F.aggregate(vector, F.lit(0.0), lambda s, x: s + times(x) * times(x))
+    return F.when(F.coalesce(length < F.lit(LONGEST), F.lit(False)), F.transform(vector, lambda x: F.floor(times(x))))
 
 
 class _Cells:
@@ -117,18 +117,19 @@ class VectorFile:
         set goes out in blocks of bounded size, each with two scans; no task
         holds more than k rows for each query of a block.
         """
-        n = queries.count()
-        parts = max(1, -(-n // block))
-        numbered = queries if parts == 1 else materialize(queries, "va-queries")
-        found = []
+        def asked(own: DataFrame) -> list[tuple[int, int, bytes]]:
+            return sorted((r.dims, r.id, bytes(r.exact)) for r in own.collect())
+
+        parts = -(-queries.count() // block)
+        if parts <= 1:
+            return self._block(asked(queries), k)
+        spark = queries.sparkSession
+        numbered, found = materialize(queries, "va-queries"), new_path(spark, "va-found")
         for part in range(parts):
-            own = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("id", "exact"), F.lit(parts)) == part)
-            asked = sorted((r.dims, r.id, bytes(r.exact)) for r in own.collect())
-            found.append(self._block(asked, k))
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
+            # Written block by block, so the driver holds one of them.
+            own = numbered.where(F.pmod(F.xxhash64("id", "exact"), F.lit(parts)) == part)
+            self._block(asked(own), k).write.mode("append").parquet(found)
+        return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(found)
 
     def _block(self, asked: list[tuple[int, int, bytes]], k: int) -> DataFrame:
         grids = self.grids
