@@ -127,12 +127,46 @@ class _Network:
                 self.room[e ^ 1] += send
 
 
+def _apart(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None, int]) -> list[tuple[dict, dict]]:
+    """Patterns and quotas in groups that share no source, not even through others."""
+    leader = {s: s for s in quotas}
+
+    def find(s: str | None) -> str | None:
+        while leader[s] != s:
+            leader[s] = leader[leader[s]]
+            s = leader[s]
+        return s
+
+    known = {p: [s for s in p if s in leader] for p in patterns}
+    for own in known.values():
+        for s in own[1:]:
+            leader[find(s)] = find(own[0])
+    groups: dict[str | None, tuple[dict, dict]] = {}
+    for s, quota in quotas.items():
+        groups.setdefault(find(s), ({}, {}))[1][s] = quota
+    for p, own in known.items():
+        if own:
+            groups[find(own[0])][0][p] = patterns[p]
+    return list(groups.values())
+
+
 def route(
     patterns: dict[tuple[str | None, ...], int],
     quotas: dict[str | None, int],
     repeats: int = MAX_REPEAT,
 ) -> dict[tuple[tuple[str | None, ...], str | None], int]:
-    """Words that each pattern of ``patterns`` (its size) sends to each source."""
+    """Words that each pattern of ``patterns`` (its size) sends to each source.
+
+    Groups without a source in common have networks of their own, so sources
+    that do not overlap cost a few edges each.
+    """
+    out: dict[tuple[tuple[str | None, ...], str | None], int] = {}
+    for own, quota in _apart(patterns, quotas):
+        out |= _route(own, quota, repeats)
+    return out
+
+
+def _route(patterns: dict, quotas: dict, repeats: int) -> dict:
     names = list(quotas)
     first_pattern = 2 + len(names)
     net = _Network(first_pattern + len(patterns))
