@@ -191,6 +191,15 @@ def test_flow_prefers_text_that_is_not_repeated():
     assert sent == {("a",): 15, ("a", "b"): 15}  # the price rises, so both repeat alike
 
 
+def test_sources_that_share_nothing_are_solved_apart():
+    patterns = {(f"s{i}",): 10 for i in range(20_000)} | {("s0", "s1"): 4, ("elsewhere",): 7}
+    flow = mixing.route(patterns, {f"s{i}": 5 + 20 * (i % 2) for i in range(20_000)})
+    assert flow[(("s2",), "s2")] == 5 and flow[(("s3",), "s3")] == 25
+    assert sum(v for (_, s), v in flow.items() if s == "s0") == 5
+    assert sum(v for (_, s), v in flow.items() if s == "s1") == 25
+    assert not any("elsewhere" in p for p, _ in flow)
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, rng.randrange(1, 60)), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
@@ -404,7 +413,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, rng.normal(size=12).tolist()) for i in range(700)]
     rows += [(700 + i, rows[i][1]) for i in range(30)]  # ties
     rows += [(1000, None), (1010, [1.0, None]), (1020, [float("nan")] * 12), (1030, [float("inf")] * 12), (None, [0.5] * 12)]
-    rows += [(2000, [3.0, -4.0]), (2001, [1.0, 1.0]), (2010, []), (2020, []), (3000, [0.0] * 12), (3010, [900.0] * 12)]
+    rows += [(2000, [3.0, -4.0]), (2001, [1.0, 1.0]), (2010, []), (2020, []), (3000, [0.0] * 12), (3010, [900.0] * 12), (3020, [3e5] * 12)]
     rows += [rows[20], rows[20]]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1)).repartition(4)
     got = vafile.top_k(table, every=10)
