@@ -266,6 +266,56 @@ def _(orders):
     return orders.sparkSession.read.schema(schema).json(dump.data_path(folder, "shop", "orders", "json"))
 
 
+@query(
+    "k4_dump_markers",
+    ["nation"],
+    """
+SELECT * FROM (VALUES ('database', 'shop', ''), ('schema', 'shop', 'nation'), ('data', 'shop', 'nation')) t(kind, database, table_name)
+""",
+)
+def _(nation):
+    folder, spark = _folder(nation, "dump"), nation.sparkSession
+    dump.write_database(spark, folder, "shop")
+    dump.write_schema(nation, folder, "shop", "nation")
+    dump.write_sql(nation, folder, "shop", "nation")
+    dump.write_marker(spark, folder)
+    return dumps.list_dump(spark, folder).select("kind", "database", "table_name").distinct()
+
+
+@query(
+    "k3_chunks",
+    ["documents"],
+    """
+SELECT form, true AS bounded, doc_id, text FROM documents, (VALUES ('csv'), ('json')) f(form)
+""",
+)
+def _(documents):
+    folder, spark = _folder(documents, "dump"), documents.sparkSession
+    rows, schema = documents.select("doc_id", "text"), "doc_id string, text string"
+    dump.write_csv(rows, folder, "shop", "d", null_token="\\N", chunk_mb=1, record_bytes=100_000)
+    dump.write_json(rows, folder, "shop", "d", chunk_mb=1, record_bytes=100_000)
+    read = {
+        form: dumps.read_csv_dump(spark, dump.data_path(folder, "shop", "d", "csv"), schema, null_token="\\N")
+        if form == "csv"
+        else dumps.read_json_dump(spark, dump.data_path(folder, "shop", "d", "json"), ["doc_id", "text"])
+        for form in ("csv", "json")
+    }
+    parts = []
+    for form, df in read.items():
+        # A file ends with the record that reaches the bound, and a record with the row that does.
+        files = spark.read.format("binaryFile").load(dump.data_path(folder, "shop", "d", form)).select("length")
+        most = files.agg(F.max("length").alias("most")).first().most
+        parts.append(
+            df.select(
+                F.lit(form).alias("form"),
+                F.lit(most <= 2 << 20).alias("bounded"),
+                F.col("doc_id").cast("bigint").alias("doc_id"),
+                "text",
+            )
+        )
+    return union_all(parts)
+
+
 _RESTORED = ["customer", "nation", "orders", "region"]
 
 
@@ -409,11 +459,16 @@ def _(raw):
     "k8_dump_totals",
     ["orders", "nation"],
     """
-SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'nation', count(*) FROM nation
+SELECT 'orders' AS table_name, count(*) AS rows,
+       CAST(sum(strlen('(' || o_orderkey || ',' || o_custkey || ',"' || o_orderstatus || '",' || CAST(o_totalprice AS DECIMAL(15,2)) || ',"' || o_orderpriority || '")')) AS BIGINT) AS bytes FROM orders
+UNION ALL SELECT 'nation', count(*), CAST(sum(strlen('(' || n_nationkey || ',"' || n_name || '",' || n_regionkey || ')')) AS BIGINT) FROM nation
 """,
 )
 def _(orders, nation):
-    return dump.dump_totals({"orders": orders, "nation": nation}).select("table_name", "rows")
+    rows = orders.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"), "o_orderpriority"
+    )
+    return dump.dump_totals({"orders": rows, "nation": nation})
 
 
 @query(
@@ -441,6 +496,18 @@ def _(documents):
     return dumps.read_csv_dump(documents.sparkSession, folder, schema)
 
 
+@query(
+    "k7_results_json",
+    ["documents"],
+    "SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS n_chars FROM documents",
+)
+def _(documents):
+    folder = _folder(documents, "result")
+    known = F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("n_chars")
+    results.write_result(documents.select("doc_id", "text", known), folder)
+    return documents.sparkSession.read.json(folder, schema="doc_id bigint, text string, n_chars bigint")
+
+
 @query(
     "f1_f2_quoting",
     ["documents"],
@@ -512,6 +579,37 @@ def _(lineitem):
     return copyjobs.build_lookup(lineitem, ["l_partkey"], ["l_orderkey"], ignore_nulls=True)
 
 
+@query(
+    "c3_lookup_unique",
+    ["orders"],
+    "SELECT DISTINCT o_orderkey, o_custkey FROM orders",
+)
+def _(orders):
+    return copyjobs.build_lookup(orders, ["o_orderkey"], ["o_custkey"], unique=True)
+
+
+@query(
+    "s2_select_databases",
+    ["relations"],
+    """
+WITH d AS (SELECT DISTINCT db AS database FROM relations)
+SELECT 'list' AS how, database FROM d WHERE database IN ('db3', 'db17') UNION ALL SELECT 'pattern', database FROM d WHERE database LIKE 'db1%'
+UNION ALL SELECT 'inverted', database FROM d WHERE database NOT LIKE 'db1%' UNION ALL SELECT 'all', database FROM d
+""",
+)
+def _(relations):
+    listing = relations.select(F.col("db").alias("database")).distinct()
+    ways = {
+        "list": {"names": ["db3", "db17"]},
+        "pattern": {"pattern": "^db1"},
+        "inverted": {"pattern": "^db1", "invert": True},
+        "all": {},
+    }
+    return union_all(
+        [tables.select_databases(listing, **how).select(F.lit(name).alias("how"), "database") for name, how in ways.items()]
+    )
+
+
 @query(
     "c3_lookup_ambiguous",
     ["raw_customer"],

@@ -81,12 +81,22 @@ def build_lookup(
     columns: Sequence[str],
     row_key: Sequence[str],
     ignore_nulls: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
-    """The table from owner column values to the row key."""
+    """The table from owner column values to the row key.
+
+    A ``unique`` lookup is refused when a value has more than one row key.
+    """
     rows = df.select(*columns, *[k for k in row_key if k not in columns])
     if ignore_nulls:
         rows = rows.dropna(how="any", subset=list(columns))
-    return rows.distinct()
+    lookup = rows.distinct()
+    if unique:
+        twice = ambiguous_lookups(lookup, columns).first()
+        if twice:
+            values = ", ".join(str(twice[c]) for c in columns)
+            raise CopyError(f"{twice['row_keys']} row keys for {values} in a unique lookup")
+    return lookup
 
 
 def ambiguous_lookups(lookup: DataFrame, columns: Sequence[str]) -> DataFrame:

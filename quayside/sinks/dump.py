@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,37 +41,74 @@ def row_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")")).alias("row"))
 
 
-def pack_statements(
-    rows: DataFrame, columns: list[str], table: str, statement_bytes: int = STATEMENT_BYTES
+def pack_rows(
+    rows: DataFrame,
+    limit: int,
+    between: str,
+    head: str = "",
+    tail: str = "",
+    file_head: str = "",
+    per_file: int = 1,
 ) -> DataFrame:
-    """Row texts packed into INSERT statements, in each task on its own.
+    """Row texts packed into records, in each task on its own.
 
-    A statement is closed once its rows reach ``statement_bytes``. There is no
-    order between tasks, hence no shuffle; what is left at the end of a task
-    becomes a last, smaller statement.
+    A record is closed once its rows reach ``limit`` bytes. There is no order
+    between tasks, hence no shuffle; what is left at the end of a task becomes a
+    last, smaller record. Rows are cut and joined as Arrow arrays, not one by
+    one. With ``file_head``, every ``per_file``-th record of a task begins with
+    it, as does the only one of a task without rows.
     """
-    names = ",".join(quote_identifier(c) for c in columns)
-    head = f"INSERT INTO {quote_identifier(table)}({names}) VALUES\n"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
-        size = 0
+        size = made = 0
+
+        def record() -> str:
+            nonlocal held, size, made
+            begin = file_head if made % per_file == 0 else ""
+            text = begin + head + between.join(held) + tail
+            held, size, made = [], 0, made + 1
+            return text
+
         for batch in batches:
+            texts = batch.column(0)
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            cuts, before = [0], -size
+            while (end := int(np.searchsorted(upto, limit + before)) + 1) <= len(texts):
+                cuts.append(end)
+                before = int(upto[end - 1])
+            closed = len(cuts) - 1
+            if cuts[-1] < len(texts):
+                cuts.append(len(texts))
+            pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), texts), between).to_pylist()
             done = []
-            for row in batch.column(0).to_pylist():
-                held.append(row)
-                size += len(row.encode())
-                if size >= statement_bytes:
-                    done.append(head + ",\n".join(held) + ";")
-                    held, size = [], 0
+            for piece in pieces[:closed]:
+                held.append(piece)
+                done.append(record())
+            if len(pieces) > closed:
+                held.append(pieces[closed])
+                size = int(upto[-1]) - before
             if done:
                 yield pa.RecordBatch.from_pydict({"value": done})
-        if held:
-            yield pa.RecordBatch.from_pydict({"value": [head + ",\n".join(held) + ";"]})
+        if held or (file_head and not made):
+            yield pa.RecordBatch.from_pydict({"value": [record()]})
 
     return rows.mapInArrow(pack, "value string")
 
 
+def pack_statements(
+    rows: DataFrame, columns: list[str], table: str, statement_bytes: int = STATEMENT_BYTES
+) -> DataFrame:
+    """Row texts packed into INSERT statements of about ``statement_bytes``."""
+    names = ",".join(quote_identifier(c) for c in columns)
+    head = f"INSERT INTO {quote_identifier(table)}({names}) VALUES\n"
+    return pack_rows(rows, statement_bytes, ",\n", head, ";")
+
+
+def records_per_file(chunk_mb: int, record_bytes: int = STATEMENT_BYTES) -> int:
+    return max(1, -(-chunk_mb * 1024 * 1024 // record_bytes))
+
+
 def data_path(folder: str, database: str, table: str, form: str) -> str:
     return f"{folder}/{database}.{table}.{form}"
 
@@ -90,8 +131,7 @@ def write_sql(
         seen, F.count("*").alias("rows"), F.sum(F.octet_length("row")).alias("bytes")
     )
     statements = pack_statements(rows, df.columns, table, statement_bytes)
-    per_file = max(1, -(-chunk_mb * 1024 * 1024 // statement_bytes))
-    statements.write.option("maxRecordsPerFile", per_file).text(
+    statements.write.option("maxRecordsPerFile", records_per_file(chunk_mb, statement_bytes)).text(
         data_path(folder, database, table, "sql")
     )
     # The write is one stage without a shuffle, so no row is observed twice.
@@ -105,24 +145,40 @@ def csv_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def _csv_header(columns: list[str]) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerow(columns)
+    return out.getvalue()
+
+
 def write_csv(
-    df: DataFrame, folder: str, database: str, table: str, null_token: str = "", rows_per_file: int = 0
+    df: DataFrame,
+    folder: str,
+    database: str,
+    table: str,
+    null_token: str = "",
+    chunk_mb: int = CHUNK_MB,
+    record_bytes: int = STATEMENT_BYTES,
 ) -> None:
-    """A CSV dump with a header in each part file.
+    """A CSV dump in part files of about ``chunk_mb``, each with a header.
 
     Null and the empty string both become empty, unless ``null_token`` gives
-    null a text of its own.
+    null a text of its own. Lines are made in the JVM and written in records of
+    ``record_bytes``, which is how the size of a file is known without another
+    pass over the table.
     """
-    csv_text(df).write.option("maxRecordsPerFile", rows_per_file).csv(
-        data_path(folder, database, table, "csv"),
-        header=True,
-        quote='"',
-        escape='"',
-        nullValue=null_token,
-        emptyValue='""' if null_token else "",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    options = {
+        "quote": '"',
+        "escape": '"',
+        "nullValue": null_token,
+        "emptyValue": '""' if null_token else "",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+    lines = csv_text(df).select(F.to_csv(F.struct("*"), options).alias("value"))
+    per_file = records_per_file(chunk_mb, record_bytes)
+    packed = pack_rows(lines, record_bytes, "\n", file_head=_csv_header(df.columns), per_file=per_file)
+    packed.write.option("maxRecordsPerFile", per_file).text(data_path(folder, database, table, "csv"))
 
 
 def json_lines(df: DataFrame, typed: bool = False) -> DataFrame:
@@ -134,11 +190,18 @@ def json_lines(df: DataFrame, typed: bool = False) -> DataFrame:
 
 
 def write_json(
-    df: DataFrame, folder: str, database: str, table: str, typed: bool = False, rows_per_file: int = 0
+    df: DataFrame,
+    folder: str,
+    database: str,
+    table: str,
+    typed: bool = False,
+    chunk_mb: int = CHUNK_MB,
+    record_bytes: int = STATEMENT_BYTES,
 ) -> None:
-    json_lines(df, typed).write.option("maxRecordsPerFile", rows_per_file).text(
-        data_path(folder, database, table, "json")
-    )
+    """A JSON-lines dump in part files of about ``chunk_mb``."""
+    packed = pack_rows(json_lines(df, typed), record_bytes, "\n")
+    per_file = records_per_file(chunk_mb, record_bytes)
+    packed.write.option("maxRecordsPerFile", per_file).text(data_path(folder, database, table, "json"))
 
 
 def create_statement(table: str, schema: T.StructType) -> str:
@@ -155,9 +218,22 @@ def create_statement(table: str, schema: T.StructType) -> str:
 def write_schema(df: DataFrame, folder: str, database: str, table: str, view: bool = False) -> None:
     """The schema beside the data, as one small file."""
     ending = "-schema-view.sql" if view else "-schema.sql"
-    text = create_statement(table, df.schema)
-    one = df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
-    one.write.text(f"{folder}/{database}.{table}{ending}")
+    _write_text(df.sparkSession, create_statement(table, df.schema), f"{folder}/{database}.{table}{ending}")
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def write_database(spark: SparkSession, folder: str, database: str) -> None:
+    """The statement that creates a dumped database, beside its tables."""
+    text = f"CREATE DATABASE IF NOT EXISTS {quote_identifier(database)};"
+    _write_text(spark, text, f"{folder}/{database}-schema-create.sql")
+
+
+def write_marker(spark: SparkSession, folder: str) -> None:
+    """The empty ``metadata`` entry that tells a dump folder from others."""
+    _write_text(spark, "", f"{folder}/metadata")
 
 
 def dump_totals(tables: dict[str, DataFrame]) -> DataFrame:

@@ -186,9 +186,10 @@ def _named_parts(path: Column) -> dict[str, Column]:
         kind = kind.when(path.contains(SUFFIXES[name]), name)
     file = r"/([^/.]+)\.([^/.]+?)(?:-schema|-schema-view)?(?:\.(\d+))?\.sql(?:/part-(\d+)[^/]*)?$"
     part = F.concat(F.regexp_extract(path, file, 3), F.regexp_extract(path, file, 4))
+    created = F.regexp_extract(path, r"/([^/.]+)-schema-create\.sql", 1)
     return {
         "kind": kind,
-        "database": F.regexp_extract(path, file, 1),
+        "database": F.when(created != "", created).otherwise(F.regexp_extract(path, file, 1)),
         "table_name": F.regexp_extract(path, file, 2),
         "part": F.nullif(part, F.lit("")).cast("int"),
     }

@@ -102,6 +102,23 @@ def catalog_tables(spark: SparkSession, database: str) -> DataFrame:
     )
 
 
+def select_databases(
+    listing: DataFrame,
+    names: Collection[str] = (),
+    pattern: str | None = None,
+    invert: bool = False,
+) -> DataFrame:
+    """Rows of the wanted databases: a list of names, a pattern, its inverse, or all."""
+    if names and pattern is not None:
+        raise ValueError("give a list of databases or a pattern")
+    if names:
+        return listing.where(F.col("database").isin(*names))
+    if pattern is None:
+        return listing
+    hit = F.col("database").rlike(pattern)
+    return listing.where(~hit if invert else hit)
+
+
 def select_tables(
     listing: DataFrame,
     names: Collection[str] = (),
