@@ -50,15 +50,18 @@ def _top(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame
     return ordered if limit is None else ordered.limit(limit)
 
 
-def table_sizes(relations: DataFrame, limit: int | None = 25) -> DataFrame:
-    """Largest tables, partitions counted with their root.
+def partition_rollup(relations: DataFrame) -> DataFrame:
+    """Per database and root, the relations that belong to it and their bytes.
 
-    Bytes are summed per root before the join that looks up its name, so a
-    root with very many partitions sends one partial sum per task.
+    A root with very many partitions sends one partial sum per task.
     """
     root = F.coalesce("root_id", "relid").alias("relid")
-    parts = relations.where(F.col("kind").isin(*TABLE_KINDS))
-    sizes = parts.groupBy("db", root).agg(F.sum("table_bytes").alias("table_bytes"))
+    return relations.groupBy("db", root).agg(F.count("*").alias("parts"), F.sum("table_bytes").alias("table_bytes"))
+
+
+def table_sizes(relations: DataFrame, limit: int | None = 25) -> DataFrame:
+    """Largest tables, partitions counted with their root."""
+    sizes = partition_rollup(relations.where(F.col("kind").isin(*TABLE_KINDS))).drop("parts")
     names = user_schemas(relations).select("db", "relid", "schema_name", "rel_name", "kind")
     kind = F.when(F.col("kind") == "m", "matview").when(F.col("kind") == "p", "partitioned table")
     rolled = sizes.join(names, ["db", "relid"]).select(
@@ -73,6 +76,54 @@ def table_sizes(relations: DataFrame, limit: int | None = 25) -> DataFrame:
     return _top(rolled, [F.desc("table_bytes"), F.col("db"), F.col("rel_name")], limit)
 
 
+def mysql_table_sizes(tables: DataFrame, limit: int | None = 25) -> DataFrame:
+    """Largest base tables of MySQL servers, indexes included, with their rough row counts."""
+    sized = user_schemas(tables, postgres=False).where("table_type = 'BASE TABLE'").select(
+        "db",
+        "schema_name",
+        "table_name",
+        (F.col("data_bytes") + F.col("index_bytes")).alias("bytes"),
+        megabytes(F.col("data_bytes") + F.col("index_bytes")).alias("size_mb"),
+        F.col("table_rows").alias("approx_rows"),
+    )
+    return _top(sized, [F.desc("bytes"), F.col("db"), F.col("schema_name"), F.col("table_name")], limit).drop("bytes")
+
+
+# Databases the index statistics of a MySQL server also list.
+STATISTICS_SYSTEM = ["mysql", "sys", "_vt"]
+
+
+def mysql_index_sizes(statistics: DataFrame, page_bytes: int = 16384, limit: int | None = 25) -> DataFrame:
+    """Largest indexes of MySQL servers, from their number of pages."""
+    sized = statistics.where((F.col("stat_name") == "size") & ~F.col("schema_name").isin(*STATISTICS_SYSTEM)).select(
+        "db",
+        "schema_name",
+        "table_name",
+        "index_name",
+        "stat_value",
+        megabytes(F.col("stat_value") * page_bytes).alias("size_mb"),
+    )
+    order = [F.desc("stat_value"), *[F.col(c) for c in ("db", "schema_name", "table_name", "index_name")]]
+    return _top(sized, order, limit).drop("stat_value")
+
+
+def mysql_unused_indexes(usage: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Indexes of MySQL servers that nothing has used; a primary key is not one to drop."""
+    idle = user_schemas(usage, postgres=False).where(
+        F.col("index_name").isNotNull() & (F.col("index_name") != "PRIMARY") & (F.col("uses") == 0)
+    )
+    names = ["schema_name", "table_name", "db", "index_name"]
+    return _top(idle.select("db", "schema_name", "table_name", "index_name"), [F.col(c) for c in names], limit)
+
+
+def mysql_full_scans(usage: DataFrame, limit: int | None = 25) -> DataFrame:
+    """Tables of MySQL servers by the rows that scans without an index read."""
+    scanned = user_schemas(usage, postgres=False).where("rows_full_scanned > 0").select(
+        "db", "schema_name", F.col("table_name").alias("name"), "rows_full_scanned", "latency_ms"
+    )
+    return _top(scanned, [F.desc("rows_full_scanned"), F.col("db"), F.col("schema_name"), F.col("name")], limit)
+
+
 def index_sizes(indexes: DataFrame, limit: int | None = 25) -> DataFrame:
     """Largest indexes."""
     sized = user_schemas(indexes).select(
@@ -100,7 +151,7 @@ def unused_indexes(indexes: DataFrame, max_scans: int = 50, limit: int | None =
     return _top(idle, [F.desc("index_bytes"), F.asc("scans"), F.col("db"), F.col("index_name")], limit)
 
 
-def redundant_indexes(indexes: DataFrame) -> DataFrame:
+def redundant_indexes(indexes: DataFrame, limit: int | None = 50) -> DataFrame:
     """Indexes another index of the table makes needless, with that index.
 
     An index is redundant when another has the same columns and wins by being
@@ -112,6 +163,7 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
     """
     key = ["db", "relid"]
     name = F.col("index_name")
+    indexes = user_schemas(indexes, postgres=False)
     # One row per distinct column list of a table; all below works on these.
     lists = indexes.groupBy(*key, F.col("columns").alias("cols")).agg(
         F.min(F.when(F.col("is_unique"), name)).alias("unique"), F.min(name).alias("any")
@@ -152,7 +204,7 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
     )
     same = F.when(F.col("best.index_name") != name, F.col("best"))
     broader = F.when(~F.col("is_unique"), F.col("wider"))
-    return (
+    found = (
         indexes.withColumnRenamed("columns", "cols")
         .join(judged, [*key, "cols"])
         .withColumn("d", F.coalesce(same, broader, F.col("covering")))
@@ -167,6 +219,7 @@ def redundant_indexes(indexes: DataFrame) -> DataFrame:
             F.col("d.cols").alias("dominant_index_columns"),
         )
     )
+    return found if limit is None else _top(found, [F.col(c) for c in found.columns[:4]], limit)
 
 
 def invalid_indexes(indexes: DataFrame, limit: int | None = 50) -> DataFrame:
@@ -190,9 +243,14 @@ def sequential_scans(relations: DataFrame, limit: int | None = 25) -> DataFrame:
     return _top(scanned, [F.desc("scans"), F.col("db"), F.col("name")], limit)
 
 
+# Text that marks a query as one that watches the others.
+MONITORING = "pg_stat_activity"
+
+
 def long_running_queries(sessions: DataFrame, at: Column, limit: int | None = 100) -> DataFrame:
-    """Longest running queries of all snapshots."""
-    slow = long_running(sessions, at).select(
+    """Longest running queries of all snapshots, those that monitor left out."""
+    watched = sessions.where(~F.lower("query_text").contains(MONITORING))
+    slow = long_running(watched, at).select(
         "source", "snapshot", "pid", "state", "elapsed_s", F.left("query_text", F.lit(200)).alias("query")
     )
     return _top(slow, [F.desc("elapsed_s"), F.col("snapshot"), F.col("pid")], limit)
@@ -243,11 +301,15 @@ def root_blockers(
 ) -> DataFrame:
     """Sessions that block others and wait for none, with what they hold.
 
+    Only sessions in a lock wait count as blocked. Relations are named within
+    their database, as their ids repeat between databases.
     Counts come from the chains alone; the lists are built from pairs made
     distinct first, so neither grows with the product of waiters and locks.
     """
     scope = list(scope)
     root = [*scope, "root"]
+    stuck = sessions.where("wait_event_type = 'Lock'").select(*scope, "pid")
+    edges = edges.join(stuck, [*scope, "pid"], "left_semi")
     chains = materialize(blocking.root_chains(edges, scope), "chains")
     counts = chains.groupBy(*root).agg(F.count("*").alias("blocked_count"))
 
@@ -255,10 +317,10 @@ def root_blockers(
     waits = chains.join(wanted, [*scope, "node"])
     held = locks.where("granted").withColumnRenamed("pid", "root").drop("granted")
     details = matched_locks(waits, held, root).select(
-        *root, F.col("relation").alias("relid"), "lock_mode", "lock_type"
+        *root, F.col("dbid").cast("bigint").alias("dbid"), F.col("relation").cast("bigint").alias("relid"), "lock_mode", "lock_type"
     )
-    names = relations.select(F.col("relid").cast("bigint").alias("relid"), "rel_name")
-    named = details.distinct().join(names, "relid", "left")
+    names = relations.select(F.col("dbid").cast("bigint").alias("dbid"), F.col("relid").cast("bigint").alias("relid"), "rel_name")
+    named = details.distinct().join(names, ["dbid", "relid"], "left")
 
     def listed(column: str) -> Column:
         return F.array_join(F.array_sort(F.collect_set(column)), ", ")

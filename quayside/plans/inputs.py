@@ -152,9 +152,10 @@ FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, chr(92), ' ')
       FROM {documents}) AS docs
 """
 
-# Relations of a fleet of databases, one per part; groups of four share a root.
+# Relations of a fleet of databases, one per part; groups of four share a root and lie in one database.
 DERIVED["relations"] = """
-SELECT p_brand AS db, p_partkey AS relid,
+SELECT 'db' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) % 25 + 1 AS STRING) AS db,
+       CAST(floor(p_partkey / 4) AS BIGINT) % 25 + 1 AS dbid, p_partkey AS relid,
        CASE WHEN p_type = 'PROMO' THEN p_partkey - p_partkey % 4 END AS root_id,
        CASE p_size % 6 WHEN 0 THEN 'pg_catalog' WHEN 1 THEN 'pg_toast_x' WHEN 2 THEN 'sales' ELSE 'public' END AS schema_name,
        't' || CAST(p_partkey AS STRING) AS rel_name,
@@ -189,6 +190,22 @@ SELECT r.db, r.relid, r.schema_name, r.rel_name, r.kind AS table_kind,
 FROM {lineitem} l JOIN {relations} r ON r.relid = l.l_partkey
 """
 
+# What MySQL servers say of their tables, and of their indexes.
+DERIVED["mysql_tables"] = """
+SELECT db, CASE schema_name WHEN 'pg_catalog' THEN 'mysql' WHEN 'pg_toast_x' THEN 'sys' ELSE schema_name END AS schema_name,
+       rel_name AS table_name, CASE kind WHEN 'm' THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type,
+       table_bytes AS data_bytes, data_free AS index_bytes, rel_tuples AS table_rows,
+       seq_scans * rel_pages AS rows_full_scanned, dead_rows AS latency_ms
+FROM {relations}
+"""
+DERIVED["mysql_indexes"] = """
+SELECT db, CASE schema_name WHEN 'pg_catalog' THEN 'mysql' WHEN 'pg_toast_x' THEN '_vt' ELSE schema_name END AS schema_name,
+       rel_name AS table_name, CASE WHEN is_primary THEN 'PRIMARY' ELSE index_name END AS index_name,
+       CASE WHEN is_ready THEN 'size' ELSE 'n_leaf_pages' END AS stat_name,
+       index_bytes * 10 + index_pages AS stat_value, scans AS uses
+FROM {indexes}
+"""
+
 # Column statistics: four columns to a relation.
 DERIVED["column_stats"] = " UNION ALL ".join(
     f"""
