@@ -126,7 +126,10 @@ def walk(
         step.join(present, [*scope, "to"], "left")
         .withColumn("waiter", F.col("at" if upstream else "to"))
         .join(waits, [*scope, "waiter"], "left")
-        .select(*scope, "at", "to", "ord", F.coalesce("present", F.lit(False)).alias("present"), "wait_on"),
+        .select(
+            *scope, "at", "to", "ord", F.coalesce("present", F.lit(False)).alias("present"),
+            F.when(F.col("present"), F.col("wait_on")).alias("wait_on"),
+        ),
         "walk-steps",
     )
     siblings = Window.partitionBy(*scope, "at").orderBy("ord", "to")

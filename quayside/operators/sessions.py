@@ -36,11 +36,19 @@ def unknown_instance(instances: DataFrame, instance: str) -> DataFrame:
 def filter_snapshot(
     sessions: DataFrame, instances: DataFrame, instance: str = "", role: str = ""
 ) -> tuple[DataFrame, DataFrame]:
-    """Both frames cut to one instance or to one role."""
+    """Both frames cut to one instance or to one role.
+
+    An instance that no snapshot has is an error which lists the valid ones;
+    only streams, which may yet bring it, are not looked through for it.
+    """
     if instance and role:
         raise ValueError("an instance and a role cannot be combined")
     if role and role not in ROLES:
         raise ValueError(f"role must be one of: {', '.join(ROLES)}")
+    if instance and not instances.isStreaming:
+        unknown = unknown_instance(instances, instance).first()
+        if unknown:
+            raise ValueError(f"no instance {instance!r}, one of: {unknown['valid']}")
     if instance:
         picked = F.col("instance") == instance
         return sessions.where(picked), instances.where(picked)

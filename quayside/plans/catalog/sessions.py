@@ -184,7 +184,7 @@ WITH RECURSIVE w AS (
 r AS (SELECT w.snapshot, w.root, w.pid, path,
         CAST(row_number() OVER (PARTITION BY w.snapshot, w.root ORDER BY place) AS INT) AS row_no,
         CAST(len(path) - 1 AS INT) AS depth, p.pid IS NOT NULL AS present, list_contains(path, w.pid) AS cycle,
-        CASE WHEN s.wait_event_type <> '' AND s.wait_event <> '' THEN s.wait_event_type || '/' || s.wait_event
+        CASE WHEN p.pid IS NULL THEN NULL WHEN s.wait_event_type <> '' AND s.wait_event <> '' THEN s.wait_event_type || '/' || s.wait_event
              WHEN s.wait_event <> '' THEN s.wait_event WHEN s.wait_event_type <> '' THEN s.wait_event_type
              WHEN s.pid IS NOT NULL THEN '-' END AS wait_on
       FROM w LEFT JOIN sessions s ON s.snapshot = w.snapshot AND s.pid = w.waiter

@@ -100,33 +100,35 @@ def hold_last_good(index: DataFrame) -> DataFrame:
 def retain_last(index: DataFrame, keep: int = 300) -> DataFrame:
     """The ids of the newest snapshots of each source, after each micro-batch.
 
-    The state is the ring itself: at most ``keep`` ids and the number of all
-    snapshots seen, which gives every retained one a lasting cursor.
+    The state is the ring itself: at most ``keep`` ids, the cursor each got when
+    it arrived, and the number of all snapshots seen. A late snapshot takes the
+    next cursor and moves no other.
     """
     out = "source string, snapshot bigint, cursor bigint, position bigint, total bigint"
 
     def ring(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        held, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        held, seen = (list(zip(state.get[0], state.get[1])), state.get[2]) if state.exists else ([], 0)
         for batch in batches:
-            new = [int(s) for s in batch["snapshot"]]
+            new = sorted(int(s) for s in batch["snapshot"])
+            held = sorted([*held, *((s, seen + i) for i, s in enumerate(new))])[-keep:]
             seen += len(new)
-            held = sorted([*held, *new])[-keep:]
-        state.update((held, seen))
+        ids, cursors = [s for s, _ in held], [c for _, c in held]
+        state.update((ids, cursors, seen))
         n = len(held)
         yield pd.DataFrame(
             {
                 "source": key[0],
-                "snapshot": held,
-                "cursor": [seen - n + i for i in range(n)],
+                "snapshot": ids,
+                "cursor": cursors,
                 "position": range(1, n + 1),
                 "total": n,
             }
         )
 
     return index.groupBy("source").applyInPandasWithState(
-        ring, out, "held array<bigint>, seen bigint", "update", GroupStateTimeout.NoTimeout
+        ring, out, "held array<bigint>, cursors array<bigint>, seen bigint", "update", GroupStateTimeout.NoTimeout
     )
 
 

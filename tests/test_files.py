@@ -229,6 +229,39 @@ def test_one_torn_line_is_passed_over(spark, folder):
         records.check_trace(records.read_trace(spark, path))
 
 
+def test_a_torn_line_in_the_middle_is_an_error(spark, folder):
+    path = local(folder("trace"))
+    write(path, "a.txt", f"{RECORD}\n{RECORD[:40]}\n{RECORD}\n")
+    with pytest.raises(ValueError, match="torn"):
+        records.check_trace(records.read_trace(spark, path))
+
+
+def test_chunks_stay_below_their_bound(spark, folder):
+    out = folder("dump")
+    df = spark.range(0, 40_000, 1, 2).select("id", F.repeat(F.lit("é,\n"), 40).alias("t"), F.lit(None).cast("string").alias("n"))
+    dump.write_csv(df, out, "shop", "t", null_token="\\N", chunk_mb=1, record_bytes=50_000)
+    dump.write_json(df, out, "shop", "t", chunk_mb=1, record_bytes=50_000)
+    for form in ("csv", "json"):
+        sizes = [r.length for r in spark.read.format("binaryFile").load(dump.data_path(out, "shop", "t", form)).collect()]
+        assert len(sizes) >= 6 and max(sizes) < 1_200_000
+    back = dumps.read_csv_dump(spark, dump.data_path(out, "shop", "t", "csv"), "id bigint, t string, n string", "\\N")
+    assert back.exceptAll(df).isEmpty() and back.count() == 40_000
+    empty = df.limit(0)
+    dump.write_csv(empty, out, "shop", "none")
+    lines = spark.read.text(dump.data_path(out, "shop", "none", "csv")).distinct().collect()
+    assert [r.value for r in lines] == ["id,t,n"]
+
+
+def test_packed_rows_are_closed_by_their_bytes(spark):
+    rows = spark.createDataFrame([("é" * n,) for n in (1, 2, 3, 4, 1, 1, 9)], "row string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        packed = [r.value for r in dump.pack_rows(rows, 8, "|", "<", ">").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert packed == ["<é|éé|ééé>", "<éééé>", "<é|é|ééééééééé>"]
+
+
 def test_header_only_trace_is_an_error(spark, folder):
     path = local(folder("trace"))
     write(path, "a.txt", trace.header_line("o", "d", "b", "2024-01-01T00:00:00Z") + "\n")

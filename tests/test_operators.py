@@ -245,7 +245,9 @@ def test_filter_rejects_both_and_unknown_roles(spark):
         sessions.filter_snapshot(df, meta, "a", "primary")
     with pytest.raises(ValueError, match="role must be"):
         sessions.filter_snapshot(df, meta, role="leader")
-    assert sessions.filter_snapshot(df, meta, "b")[0].count() == 0
+    with pytest.raises(ValueError, match="one of: a"):
+        sessions.filter_snapshot(df, meta, "b")
+    assert sessions.filter_snapshot(df, meta, "a")[0].count() == 1
 
 
 def test_cursor_steps_stay_in_the_window(spark):
