@@ -92,19 +92,31 @@ def _per_key(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+_KEYS = ["fingerprint", "keyspace"]
+_QUANTILES = {"p50_latency": 0.5, "p99_latency": 0.99}
+
+
 def rollup_queries(log: DataFrame, exact: bool = True) -> DataFrame:
     """Statistics per fingerprint and keyspace, with its share of all time.
 
     The log is scanned twice, once for the counters and once for the quantiles.
     The counters are written, one row per key, as the grand total needs them too.
     """
-    keys = ["fingerprint", "keyspace"]
-    base = materialize(_per_key(log, keys), "rollup")
-    probs = {"p50_latency": 0.5, "p99_latency": 0.99}
-    quantiles = (exact_quantiles if exact else approx_quantiles)(
-        log, keys, "latency_ms", probs
-    )
-    total = base.agg(F.sum("total_ms").cast("double")).scalar()
+    base = materialize(_per_key(log, _KEYS), "rollup")
+    return _measures(_with_quantiles(base, log, exact), _total_ms(base))
+
+
+def _total_ms(base: DataFrame) -> Column:
+    return base.agg(F.sum("total_ms").cast("double")).scalar()
+
+
+def _with_quantiles(base: DataFrame, log: DataFrame, exact: bool) -> DataFrame:
+    found = (exact_quantiles if exact else approx_quantiles)(log, _KEYS, "latency_ms", _QUANTILES)
+    return join_groups(base, found, _KEYS, "left")
+
+
+def _measures(rows: DataFrame, total: Column) -> DataFrame:
+    """The columns of a rollup from counters and quantiles per key."""
     total_ms = F.col("total_ms").cast("double")
     usages = F.transform(
         "used",
@@ -114,9 +126,9 @@ def rollup_queries(log: DataFrame, exact: bool = True) -> DataFrame:
             (u["count"] * 100 / F.col("query_count")).alias("percent"),
         ),
     )
-    return join_groups(base, quantiles, keys, "left").select(
-        F.concat_ws("/", *keys).alias("id"),
-        *keys,
+    return rows.select(
+        F.concat_ws("/", *_KEYS).alias("id"),
+        *_KEYS,
         "newest.normalized_sql",
         "tables",
         usages.alias("index_usages"),
@@ -124,7 +136,7 @@ def rollup_queries(log: DataFrame, exact: bool = True) -> DataFrame:
         "error_count",
         F.col("newest.ts").alias("last_run_at"),
         (total_ms / F.col("query_count")).alias("time_per_query"),
-        *probs,
+        *_QUANTILES,
         F.col("max_latency").cast("double").alias("max_latency"),
         "sum_rows_read",
         "sum_rows_returned",
@@ -172,6 +184,42 @@ def top_queries(
     return rollup.orderBy(*_order(metric, direction)).limit(limit)
 
 
+def top_of_log(
+    log: DataFrame, metric: str = "totalTime", direction: str = "desc", limit: int = 15, exact: bool = True
+) -> DataFrame:
+    """The first rows of a log's rollup by one metric.
+
+    Only a ranking by a quantile needs the quantiles of every key. All others
+    rank the counters and look for the quantiles of the winners alone, whose
+    keys, ``limit`` rows, are broadcast to the second scan.
+    """
+    base = materialize(_per_key(log, _KEYS), "rollup")
+    total = _total_ms(base)
+    if METRICS.get(metric) in _QUANTILES:
+        return top_queries(_measures(_with_quantiles(base, log, exact), total), metric, direction, limit)
+    blank = base.withColumns({c: F.lit(None).cast("double") for c in _QUANTILES})
+    winners = F.broadcast(top_queries(_measures(blank, total), metric, direction, limit).select(*_KEYS))
+    first = _with_quantiles(
+        join_groups(base, winners, _KEYS, "left_semi"), join_groups(log, winners, _KEYS, "left_semi"), exact
+    )
+    return top_queries(_measures(first, total), metric, direction, limit)
+
+
+def quantile_bounds(log: DataFrame, rollup: DataFrame, error: float = 0.01) -> DataFrame:
+    """Whether each quantile of a rollup has its rank, up to a share of the rows."""
+    joined = join_groups(log, rollup.select(*_KEYS, *_QUANTILES), _KEYS)
+    value = F.col("latency_ms").cast("double")
+    return joined.groupBy(*_KEYS).agg(
+        *[
+            (
+                (F.count_if(value < F.col(c)) <= F.count("*") * (p + error))
+                & (F.count_if(value <= F.col(c)) >= F.count("*") * (p - error))
+            ).alias(f"{c}_in_bounds")
+            for c, p in _QUANTILES.items()
+        ]
+    )
+
+
 def overview(rollup: DataFrame, per_metric: int = 5) -> DataFrame:
     """The top rows by each of five metrics, every query listed once.
 

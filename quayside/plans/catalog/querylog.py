@@ -76,6 +76,15 @@ def _(log):
     return _flat(querylog.rollup_queries(log, exact=False))
 
 
+@query(
+    "a5_query_rollup_bounds",
+    ["query_log"],
+    "SELECT DISTINCT fingerprint, keyspace, true AS p50_latency_in_bounds, true AS p99_latency_in_bounds FROM query_log",
+)
+def _(log):
+    return querylog.quantile_bounds(log, querylog.rollup_queries(log, exact=False))
+
+
 @query(
     "a6_error_rollup",
     ["query_log"],
@@ -102,7 +111,7 @@ for _metric, _column in querylog.METRICS.items():
         + "SELECT id, last_run_at AS metric FROM roll ORDER BY last_run_at DESC NULLS LAST, id LIMIT 15",
     )
     def _(log, metric=_metric, column=_column):
-        top = querylog.top_queries(querylog.rollup_queries(log), metric)
+        top = querylog.top_of_log(log, metric)
         shown = F.col(column) if metric == "lastRun" else F.round(column, 6)
         return top.select("id", shown.alias("metric"))
 
@@ -113,8 +122,7 @@ for _metric, _column in querylog.METRICS.items():
     _ROLLUP + "SELECT id, query_count FROM roll ORDER BY query_count, id LIMIT 40",
 )
 def _(log):
-    rollup = querylog.rollup_queries(log)
-    return querylog.top_queries(rollup, "count", "asc", 40).select("id", "query_count")
+    return querylog.top_of_log(log, "count", "asc", 40).select("id", "query_count")
 
 
 _RANKED = " UNION ALL ".join(
