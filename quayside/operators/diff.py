@@ -169,9 +169,13 @@ def table_diff(
     only_pks: bool = False,
     limit: int | None = None,
     samples: int = 10,
-    digest: bool = False,
+    digest: bool = True,
 ) -> DataFrame:
-    """One report row: counts per class and sample keys of each class."""
+    """One report row: counts per class and sample keys of each class.
+
+    The report shows keys and no content, so rows are told apart by digest:
+    keys and 16 bytes a row are shuffled. Without ``digest`` whole rows are.
+    """
     pk = list(pk)
     if limit is not None:
         source, target = first_keys(source, target, pk, limit)

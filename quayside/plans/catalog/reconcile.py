@@ -54,6 +54,11 @@ def _(orders, copy):
     return diff.table_diff(orders, copy, ["o_orderkey"], "orders", digest=True)
 
 
+@query("j2_table_diff_content", ["orders", "orders_copy"], _ALL + _REPORT)
+def _(orders, copy):
+    return diff.table_diff(orders, copy, ["o_orderkey"], "orders", digest=False)
+
+
 @query(
     "j2_table_diff_first_keys",
     ["orders", "orders_copy"],

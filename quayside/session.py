@@ -65,6 +65,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/quayside-{app}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_work_files(spark: SparkSession) -> None:
+    """Delete what this application wrote below the work folder.
+
+    To be called when its last result has been consumed: frames that operators
+    returned, and dumps or streams written to :func:`new_path`, read from there.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/quayside-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the work folder and read it back.
 
