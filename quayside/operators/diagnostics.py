@@ -8,6 +8,7 @@ ordered limit, which Spark runs as a top-k inside each task.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -151,7 +152,7 @@ def unused_indexes(indexes: DataFrame, max_scans: int = 50, limit: int | None =
     return _top(idle, [F.desc("index_bytes"), F.asc("scans"), F.col("db"), F.col("index_name")], limit)
 
 
-def redundant_indexes(indexes: DataFrame, limit: int | None = 50) -> DataFrame:
+def redundant_indexes(indexes: DataFrame, limit: int | None = None) -> DataFrame:
     """Indexes another index of the table makes needless, with that index.
 
     An index is redundant when another has the same columns and wins by being
@@ -539,7 +540,7 @@ CHECKS: dict[str, tuple[Check, list[str]]] = {
     "table-sizes": (table_sizes, ["relations"]),
     "index-sizes": (index_sizes, ["indexes"]),
     "unused-indexes": (unused_indexes, ["indexes"]),
-    "redundant-indexes": (redundant_indexes, ["indexes"]),
+    "redundant-indexes": (partial(redundant_indexes, limit=50), ["indexes"]),
     "invalid-indexes": (invalid_indexes, ["indexes"]),
     "seq-scans": (sequential_scans, ["relations"]),
     "long-running-queries": (long_running_queries, ["sessions", "at"]),

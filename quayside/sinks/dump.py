@@ -165,7 +165,8 @@ def write_csv(
     Null and the empty string both become empty, unless ``null_token`` gives
     null a text of its own. Lines are made in the JVM and written in records of
     ``record_bytes``, which is how the size of a file is known without another
-    pass over the table.
+    pass over the table. A table whose plan is known to be empty runs no task
+    and leaves a folder without a header.
     """
     options = {
         "quote": '"',
