@@ -26,9 +26,10 @@ def labelled_sample(
     """(text, label) pairs in a fixed order, and how many rows each class has.
 
     At most ``per_class`` labelled ids of each class take part, the first by a
-    hash of the id, and of their texts as many as ``max_bytes`` hold. ``held``
-    marks, over a column ``doc_id``, what must not be learned from. Texts that
-    occur twice count once; null texts, null ids and null labels are left out.
+    hash of the id, and of their texts what the class's share of ``max_bytes``
+    holds (:func:`_within`). ``held`` marks, over a column ``doc_id``, what must
+    not be learned from. Texts that occur twice count once; null texts, null ids
+    and null labels are left out.
     """
     known = labels.select(col(doc_id).alias("doc_id"), col(label).alias("label")).where(
         "doc_id IS NOT NULL AND label IS NOT NULL"
@@ -44,18 +45,44 @@ def labelled_sample(
         ],
     )
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).where("text IS NOT NULL")
-    found = materialize(rows.join(F.broadcast(chosen), "doc_id"), "labelled-sample")
-    sizes = found.select("place", "doc_id", "label", F.octet_length("text").alias("n")).orderBy("place", "doc_id").collect()
-    left, last = max_bytes, None
-    for r in sizes:
-        left -= r.n
-        if left < 0 and last is not None:
-            break
-        last = r.place
-    if last is None:
+    keys = {"key": F.xxhash64("doc_id", "label", "text"), "same": F.xxhash64("text"), "n": F.octet_length("text")}
+    found = materialize(rows.join(F.broadcast(chosen), "doc_id").withColumns(keys), "labelled-sample")
+    order = ("place", "doc_id", "same", "label")
+    sizes = found.select(*order, "key", "n").distinct().orderBy(*order).collect()
+    firsts = list({r.same: r for r in reversed(sizes)}.values())[::-1]
+    keep = _within({c: [(r.key, r.n) for r in firsts if r.label == c] for c in classes}, max_bytes)
+    if not keep:
         return [], counts
-    taken = found.where(F.col("place") <= F.lit(last)).orderBy("place", "doc_id", "text").select("text", "label").collect()
-    return list({r.text: (r.text, r.label) for r in reversed(taken)}.values())[::-1], counts
+    # No more than per_class rows for each class.
+    kept = docs.sparkSession.createDataFrame([(k,) for k in keep], "key bigint")
+    taken = found.join(F.broadcast(kept), "key").dropDuplicates(["key"]).orderBy(*order).select("text", "label").collect()
+    return [(r.text, r.label) for r in taken], counts
+
+
+def _within(classes: dict[object, list[tuple[int, int]]], max_bytes: int) -> list[int]:
+    """Keys of the (key, size) pairs that fit, each class having an equal share.
+
+    A class takes its pairs in order and passes over one that does not fit, so
+    it ends no earlier for a long one. What it leaves of its share goes to the
+    larger classes. A class whose texts are all longer than its share has the
+    shortest of them.
+    """
+    keep: list[int] = []
+    left = max_bytes
+    own = sorted((c for c in classes.values() if c), key=lambda pairs: sum(n for _, n in pairs))
+    for i, pairs in enumerate(own):
+        room = share = left // (len(own) - i)
+        before = len(keep)
+        for key, n in pairs:
+            if n <= room:
+                keep.append(key)
+                room -= n
+        if len(keep) == before:
+            key, n = min(pairs, key=lambda pair: pair[1])
+            keep.append(key)
+            room -= n
+        left = max(left - (share - room), 0)
+    return keep
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -24,6 +24,7 @@ from quayside.llm import (
     warc,
 )
 from quayside.llm.common import held_out
+from quayside.llm.samples import _within, labelled_sample
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -352,6 +353,27 @@ def test_classifiers_without_labels(spark):
     assert docs.limit(0).select(langid.identify(docs, model, F.col("text")).alias("x")).count() == 0
 
 
+def test_byte_bound_thins_all_classes_of_a_sample(spark):
+    rng = random.Random(12)
+    rows = [(words(rng, 100), 0) for _ in range(3000)] + [(words(rng, 400), 1) for _ in range(60)]
+    docs, labels = labelled(spark, rows)
+    take = lambda per_class, max_bytes: labelled_sample(docs, labels, "toxic", [0, 1], per_class, max_bytes, F.lit(False))
+    got, counts = take(50, 100_000)
+    assert counts == {0: 3000, 1: 60} and len(got) == len({t for t, _ in got})
+    n = {y: sum(1 for _, z in got if z == y) for y in (0, 1)}
+    assert n[0] == 50 and n[1] == 37 and sum(len(t) for t, _ in got) <= 100_000
+    # What the rare class leaves of its share goes to the common one.
+    got, _ = take(3000, 300_000)
+    assert sum(y for _, y in got) == 60 and sum(len(t) for t, y in got if not y) > 180_000 - 1000
+    got, _ = take(3000, 1000)
+    assert [y for _, y in got].count(1) == 1
+
+
+def test_long_text_does_not_end_a_class(spark):
+    assert _within({0: [(1, 10), (2, 90), (3, 10)], 1: [(4, 5)]}, 60) == [4, 1, 3]
+    assert _within({0: [(1, 70), (2, 60)], 1: [], 2: [(3, 10)] * 3}, 40) == [3, 3, 2] and _within({0: []}, 9) == []
+
+
 def test_languages_are_told_apart_and_odd_texts_are_not(spark):
     rng = random.Random(1)
     syllables = {"aa": ["ba", "lo", "mi"], "bb": ["kru", "zent", "ock"], "cc": ["ño", "ció", "lla"]}
