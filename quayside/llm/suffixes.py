@@ -146,10 +146,12 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 # -- the stages --------------------------------------------------------------
 
 
-def _stored_texts(base: DataFrame, n: int) -> DataFrame:
-    """Distinct texts with the least id that has each, in buckets by that id.
+def _stored_texts(base: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Distinct texts, each with the least id that has it, in buckets by that id.
 
-    The table is bucketed once so that later joins on the id move no text.
+    ``least`` names that id for each tid; an id may have several texts and be
+    the least of only some of them, null ids above all. The table is bucketed
+    once so that later joins on the id move no text.
     Columns doc, ord (among different texts of one id), tid, packed.
     """
     spark = base.sparkSession
@@ -174,12 +176,16 @@ def _stored_texts(base: DataFrame, n: int) -> DataFrame:
                 )
 
     rows = base.where(F.col("n_bytes") >= LENGTH).select("doc", "tid", "raw").mapInArrow(packed, "doc bigint, tid binary, packed binary")
-    order = Window.partitionBy("doc").orderBy("tid")
+    marks = least.select(F.col("least").alias("doc"), "tid", F.lit(None).cast("binary").alias("packed"), F.lit(True).alias("mark"))
+    # One row is kept for each mark, the one that comes next to it. No text moves again for that.
+    after = Window.partitionBy("doc", "tid").orderBy(F.desc("mark"))
     distinct = (
-        rows.repartition(n, "doc")
-        .withColumn("before", F.lag("tid").over(order))
-        .where("before IS NULL OR before <> tid")
-        .withColumn("ord", F.row_number().over(order))
+        rows.withColumn("mark", F.lit(False))
+        .unionByName(marks)
+        .repartition(n, "doc")
+        .withColumn("marked", F.lag("mark").over(after))
+        .where("marked AND NOT mark")
+        .withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy("tid")))
         .select("doc", "ord", "tid", "packed")
     )
     return _bucketed(distinct, n, "texts")
@@ -519,9 +525,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     all_docs = materialize(base.select("doc_id", "doc", "n_bytes", "tid"), "suffix-docs")
     least = materialize(all_docs.groupBy("tid").agg(F.min("doc").alias("least")), "suffix-least")
-    texts = _stored_texts(base, n)
     # Of equal texts only the first can take from others or lose to others.
-    firsts = texts.join(least.select(F.col("least").alias("doc")).distinct(), "doc", "left_semi")
+    firsts = _stored_texts(base, least, n)
     pairs = _shared_anchors(firsts, n).repartition(n, "doc").groupBy("doc").agg(F.collect_list("key").alias("keys"))
     shared = _bucketed(pairs, n, "anchors")
     count = shared.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first().n
@@ -530,7 +535,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     cells = joined.mapInArrow(_route(n, splitters, hot), _CELL)
     covers = cells.repartitionById(n, F.col("bucket")).mapInArrow(_sort_buckets, "doc bigint, ord int, start bigint, end bigint")
     lost = covers.repartition(n, "doc").groupBy("doc", "ord").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    cut = texts.join(lost.withColumnRenamed("ord", "at"), "doc").where("ord = at").select("tid", "doc", "packed", "starts", "ends")
+    cut = firsts.join(lost.withColumnRenamed("ord", "at"), "doc").where("ord = at").select("tid", "doc", "packed", "starts", "ends")
     result = (
         cut.select("tid", "packed", "starts", "ends").mapInArrow(_removed, "tid binary, n_removed bigint, n_spans bigint, kept string")
     )

@@ -71,6 +71,22 @@ def test_suffixes_equal_brute_force(spark, corpus):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_suffixes(rows)
 
 
+def test_only_the_first_holder_of_a_text_is_compared(spark, monkeypatch):
+    def single(session):
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    monkeypatch.setattr(suffixes, "bounded_batches", single)
+    rng = random.Random(21)
+    early, a, b, c = (words(rng, 30) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (2, early), (3, early + " " + c), (7, c), (7, early + " " + c), (7, b[:60] + c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(len(rows))
+    try:
+        got = suffixes.repeated_bytes(docs)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_suffixes(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+
+
 def test_suffixes_split_hot_tokens(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SAMPLE_PER_PARTITION", 100_000)
     rng = random.Random(9)
