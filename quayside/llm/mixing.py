@@ -13,6 +13,7 @@ import heapq
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,11 +27,13 @@ SEED = 17
 #: The network is solved on the driver; more patterns than this are an error.
 MAX_PATTERNS = 200_000
 
-#: Slices after the first that does not fit whole in which documents are picked.
+#: Slices after the first that does not fit whole in which one round picks documents.
 FILL_SLICES = 8
 #: More picked documents than this are joined by a shuffle, not a broadcast.
 BROADCAST_REFS = 500_000
 
+_PICK = "pattern string, ref bigint, size bigint"
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -207,13 +210,87 @@ def _pattern_sizes(sized: DataFrame) -> list:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of the last slices, in seeded order, the documents that still fit."""
+    """Of the given slices, in seeded order, the documents that still fit."""
     left, picked = int(rows["room"].iloc[0]), []
-    for ref, size in sorted(zip(rows["ref"], rows["size"], strict=True)):
+    for at, ref, size in sorted(zip(rows["slice"], rows["ref"], rows["size"], strict=True)):
         if size <= left:
             left -= size
-            picked.append(ref)
-    return pd.DataFrame({"ref": picked}, dtype="int64")
+            picked.append((rows["pattern"].iloc[0], ref, size))
+    return pd.DataFrame(picked, columns=["pattern", "ref", "size"])
+
+
+def _cuts(sums: DataFrame) -> list:
+    """Of each pattern the first slice that does not fit whole, and the room before it.
+
+    Columns pattern, slice, room, words; a pattern that fits has no row.
+    """
+    upto = Window.partitionBy("pattern").orderBy("slice")
+    return (
+        sums.withColumn("rest", F.col("room") - F.sum("words").over(upto) + F.col("words"))
+        .where("rest >= 0 AND rest < words")
+        .select("pattern", F.col("slice").alias("cut"), F.col("rest").alias("room"))
+        .collect()
+    )
+
+
+def _picked(units: DataFrame, cuts: list) -> DataFrame:
+    """What is taken of the cut slices and the next few, document by document."""
+    spark = units.sparkSession
+    at = spark.createDataFrame(cuts, "pattern string, cut int, room bigint")
+    return (
+        units.join(F.broadcast(at), "pattern")
+        .where(F.col("slice").between(F.col("cut"), F.col("cut") + FILL_SLICES))
+        .groupBy("pattern")
+        .applyInPandas(_fill, _PICK)
+    )
+
+
+def _fill_up(sliced: DataFrame, cuts: list) -> DataFrame:
+    """The references that fill the room from the cut slices on, in seeded order.
+
+    Each round takes whole slices up to the next cut and decides the cut and a
+    few more document by document. What did not fit will not fit later, so the
+    next round looks at the slices behind alone and at documents no larger than
+    the room; it goes on until no such document is left.
+    """
+    spark = sliced.sparkSession
+    first = spark.createDataFrame(cuts, "pattern string, cut int, room bigint")
+    edge = sliced.join(F.broadcast(first), "pattern").where(F.col("slice").between(F.col("cut"), F.col("cut") + FILL_SLICES))
+    units = edge.groupBy("pattern", "slice", "ref").agg(F.sum("size").alias("size"))
+    found = [materialize(_picked(units, cuts), "mix-picked")]
+    state = {r.pattern: (r.cut + FILL_SLICES, r.room) for r in cuts}
+    behind = None
+    while True:
+        for r in found[-1].groupBy("pattern").agg(F.sum("size").alias("size")).collect():
+            if r.pattern in state:  # else all that was left fitted
+                state[r.pattern] = (state[r.pattern][0], state[r.pattern][1] - r.size)
+        state = {p: x for p, x in state.items() if x[1] > 0}
+        if not state:
+            break
+        open_ = spark.createDataFrame([(p, *x) for p, x in state.items()], "pattern string, edge int, room bigint")
+        fits = "slice > edge AND size > 0 AND size <= room"
+        if behind is None:
+            # Rows that are repeated as a whole are one unit, so their sum must fit.
+            behind = materialize(
+                sliced.join(F.broadcast(open_), "pattern")
+                .where(fits)
+                .groupBy("pattern", "slice", "ref", "room")
+                .agg(F.sum("size").alias("size"))
+                .where("size <= room")
+                .drop("room"),
+                "mix-behind",
+            )
+        left = behind.join(F.broadcast(open_), "pattern").where(fits)
+        sums = left.groupBy("pattern", "slice", "room").agg(F.sum("size").alias("words"))
+        cuts = _cuts(sums)
+        cut = {r.pattern: r.cut for r in cuts}
+        rule = [(p, edge, room, cut.get(p)) for p, (edge, room) in state.items()]
+        rules = spark.createDataFrame(rule, "pattern string, edge int, room bigint, cut int")
+        whole = behind.join(F.broadcast(rules), "pattern").where(fits).where("cut IS NULL OR slice < cut").select("pattern", "ref", "size")
+        fill = behind.join(F.broadcast(rules.drop("cut")), "pattern").where(fits).select("pattern", "slice", "ref", "size")
+        found.append(materialize(whole.unionByName(_picked(fill, cuts)) if cuts else whole, "mix-picked"))
+        state = {p: (cut[p] + FILL_SLICES, room) for p, (_, room) in state.items() if p in cut}
+    return reduce(DataFrame.unionByName, found).select("pattern", "ref")
 
 
 def _slice(ref: str, slices: str):
@@ -245,8 +322,9 @@ def mix(
     pattern reach the driver. A pattern has as many slices of that order as the
     square root of its documents; whole slices go by their sums, and only the
     next few are filled document by document, so no task sees more than some
-    multiple of that root, whatever a hot source holds. An empty table gives an
-    empty result.
+    multiple of that root, whatever a hot source holds. That is repeated over
+    the slices behind until the room is smaller than every document there. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     name, pattern, ref, size = (fresh(docs, n) for n in (out, "__pattern", "__ref", "__size"))
@@ -279,23 +357,10 @@ def mix(
     plans = spark.createDataFrame(plan, "pattern string, laps int, rest bigint, slices int")
 
     sliced = held.join(F.broadcast(plans), "pattern").withColumn("slice", _slice("ref", "slices"))
-    sums = sliced.where("rest > 0").groupBy("pattern", "slice", "rest").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("pattern").orderBy("slice")
-    cuts = (
-        sums.withColumn("room", F.col("rest") - F.sum("words").over(upto) + F.col("words"))
-        .where("room >= 0 AND room < words")
-        .select("pattern", F.col("slice").alias("cut"), "room")
-    )
-    cuts = spark.createDataFrame(cuts.collect(), "pattern string, cut int, room bigint")
-    edge = sliced.join(F.broadcast(cuts), "pattern").where(F.col("slice").between(F.col("cut"), F.col("cut") + FILL_SLICES))
-    picked = materialize(
-        edge.groupBy("pattern", "ref", "room")
-        .agg(F.sum("size").alias("size"))
-        .groupBy("pattern")
-        .applyInPandas(_fill, "ref bigint")
-        .distinct(),
-        "mix-picked",
-    )
+    sums = sliced.where("rest > 0").groupBy("pattern", "slice", F.col("rest").alias("room")).agg(F.sum("size").alias("words"))
+    first = _cuts(sums)
+    cuts = spark.createDataFrame(first, "pattern string, cut int, room bigint").drop("room")
+    picked = materialize(_fill_up(sliced, first).select("ref").distinct(), "mix-refs")
     small = picked.count() <= BROADCAST_REFS
     rules = plans.join(cuts, "pattern", "left").select(
         F.col("pattern").alias(pattern),

@@ -235,6 +235,20 @@ def test_mix_comes_near_its_targets(spark):
     assert empty.count() == 0 and plan.targets == {}
 
 
+def test_a_long_document_does_not_end_the_mix(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(20, 120), "a") for i in range(4000)]
+    rows += [(9000 + i, "w " * n, "a") for i, n in enumerate((90_000, 60_000, 30_000, 10_000))]
+    rows += [(9100, "w " * 4000, "a")] * 3 + [(9200, "w " * 400_000, "b")]
+    # All that is left of this one fits behind the long document.
+    rows += [(10_000 + i, "w", "c") for i in range(400)] + [(9300, "w " * 5000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for seed in range(6):
+        mixed, name, plan = mixing.mix(docs, F.array("source"), weights=lambda s: {"a": 1, "b": 3, "c": 0.0136}, seed=seed)
+        taken = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.col(name)["taken"]).alias("n")).collect()}
+        assert plan.targets["a"] - 25 <= taken["a"] <= plan.targets["a"] + 1 and taken["c"] == 400
+
+
 def test_overlapping_sources_share_a_document(spark):
     rows = [(i, "w " * 10, ["a"] if i < 20 else ["b", "a"]) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, sources array<string>")
