@@ -360,17 +360,17 @@ def mix(
     sums = sliced.where("rest > 0").groupBy("pattern", "slice", F.col("rest").alias("room")).agg(F.sum("size").alias("words"))
     first = _cuts(sums)
     cuts = spark.createDataFrame(first, "pattern string, cut int, room bigint").drop("room")
-    picked = materialize(_fill_up(sliced, first).select("ref").distinct(), "mix-refs")
+    picked = materialize(_fill_up(sliced, first).distinct(), "mix-refs")
     small = picked.count() <= BROADCAST_REFS
     rules = plans.join(cuts, "pattern", "left").select(
         F.col("pattern").alias(pattern),
         F.struct("laps", "slices", "cut", F.lit(True).alias("known")).alias("__rule"),
     )
-    chosen = picked.select(F.col("ref").alias(ref), F.lit(True).alias("__picked"))
+    chosen = picked.select(F.col("pattern").alias(pattern), F.col("ref").alias(ref), F.lit(True).alias("__picked"))
     extra = F.when(F.col("__picked") | (_slice(ref, "__slices") < F.col("__cut")), 1).otherwise(0)
     taken = (
         sized.join(F.broadcast(rules), pattern, "left")
-        .join(F.broadcast(chosen) if small else chosen, ref, "left")
+        .join(F.broadcast(chosen) if small else chosen, [pattern, ref], "left")
         .withColumns({"__slices": F.col("__rule.slices"), "__cut": F.col("__rule.cut")})
         .withColumn("__copies", (F.col("__rule.laps") + extra).cast("int"))
     )

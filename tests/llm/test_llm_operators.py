@@ -249,6 +249,16 @@ def test_a_long_document_does_not_end_the_mix(spark):
         assert plan.targets["a"] - 25 <= taken["a"] <= plan.targets["a"] + 1 and taken["c"] == 400
 
 
+def test_rows_of_two_sources_are_picked_apart(spark):
+    rows = [(i, f"w{i} " * 10, s) for i in range(300) for s in ("a", "b")] + [(1000 + i, "w " * 10, "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed, name, plan = mixing.mix(docs, F.array("source"), weights=lambda s: {"a": 1, "b": 4, "c": 1})
+    copies = F.col(name)["copies"]
+    assert plan.targets == {"a": 1500.0, "b": 6000.0, "c": 1500.0}
+    assert {r.copies for r in mixed.where("source = 'b'").select(copies.alias("copies")).collect()} == {2}
+    assert mixed.where("source = 'a'").agg(F.sum(copies)).first()[0] == 150
+
+
 def test_overlapping_sources_share_a_document(spark):
     rows = [(i, "w " * 10, ["a"] if i < 20 else ["b", "a"]) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, sources array<string>")
