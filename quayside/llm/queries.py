@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontaminate, langid, maglev, mixing, quality, simhash, suffixes, toxicity, vafile, warc
+from quayside.llm import decontaminate, langid, maglev, mixing, quality, simhash, suffixes, toxicity, vafile, warc, wavelet
 from quayside.llm.common import bounded_batches, held_out, table
 from quayside.llm.registry import query
 
@@ -164,3 +164,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@query("op11_token_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = wavelet.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return wavelet.read_shards(written)
