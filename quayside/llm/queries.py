@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontaminate, langid, maglev, mixing, quality, simhash, suffixes, toxicity, vafile, warc, wavelet
+from quayside.llm import decontaminate, langid, maglev, merkle, mixing, quality, simhash, suffixes, toxicity, vafile, warc, wavelet
 from quayside.llm.common import bounded_batches, held_out, table
 from quayside.llm.registry import query
 
@@ -170,3 +170,69 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = wavelet.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return wavelet.read_shards(written)
+
+
+def _op12_sql(depth: int = 6, top: int = 4) -> str:
+    """The tree level by level: up to 16^depth leaves a source, 16^top sources."""
+    def grow(prefix: str, levels: int) -> str:
+        return "".join(
+            f"""
+), {prefix}{k}_runs AS (
+  SELECT g, rank // 16 AS up, max(n) AS n, list(digest ORDER BY rank) AS run FROM {prefix}{k} GROUP BY g, rank // 16
+), {prefix}{k + 1} AS (
+  SELECT g, up AS rank, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest
+  FROM {prefix}{k}_runs"""
+            for k in range(levels)
+        )
+
+    def climb(begin: str, prefix: str, levels: int, group: str, place: str) -> str:
+        out, last = "", begin
+        for k in range(levels):
+            at = f"({place} // {16**k}) % 16"
+            left, right = f"array_to_string(run[1:{at}], '')", f"array_to_string(run[{at} + 2:16], '')"
+            out += f"""
+), {prefix}up{k} AS (
+  SELECT c.* EXCLUDE (proof, folded),
+         CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof,
+         CASE WHEN r.n > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded
+  FROM {last} c JOIN {prefix}{k}_runs r ON c.{group} IS NOT DISTINCT FROM r.g AND c.{place} // {16 ** (k + 1)} = r.up"""
+            last = f"{prefix}up{k}"
+        return out
+
+    part = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = f"translate(text, '{upper}', '{upper.lower()}')"
+    # Bit by bit, as SQL has no checksum of this kind.
+    crc = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(8 * len(CAST(doc_id AS VARCHAR))),
+             lambda i: CAST((ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1]) >> (i % 8)) & 1 AS BIGINT)),
+             lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)))"""
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, {leaf.format("text")} AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN {leaf.format(low)} ELSE {leaf.format("text")} END AS now
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+         count(*) OVER (PARTITION BY source) AS n FROM d
+), l0 AS (SELECT source AS g, rank, n, leaf AS digest FROM placed{grow("l", depth)}
+), s AS (
+  SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS rank, count(*) OVER () AS n, digest FROM l{depth}
+), t0 AS (SELECT g, rank, n, digest FROM s{grow("t", top)}
+), c0 AS (
+  SELECT p.doc_id, p.leaf, p.source, p.rank, s.rank AS place, 0 AS one, s.digest AS subroot, '' AS proof, p.now AS folded
+  FROM placed p JOIN s ON p.source IS NOT DISTINCT FROM s.source{climb("c0", "l", depth, "source", "rank")}
+{climb(f"lup{depth - 1}", "t", top, "one", "place")}
+)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM t{top}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = (SELECT digest FROM t{top}) AS verified
+FROM tup{top - 1}
+"""
+
+
+@query("op12_merkle", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(hit, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.verify(docs, tampered={"text": text})
