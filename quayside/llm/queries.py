@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontaminate, langid, maglev, merkle, mixing, quality, simhash, suffixes, toxicity, vafile, warc, wavelet
+from quayside.llm import collocations, decontaminate, langid, maglev, merkle, mixing, quality, simhash, suffixes, toxicity, vafile, warc, wavelet
 from quayside.llm.common import bounded_batches, held_out, table
 from quayside.llm.registry import query
 
@@ -236,3 +236,43 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     text = F.when(hit, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
     return merkle.verify(docs, tampered={"text": text})
+
+
+_OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), spoken AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM spoken GROUP BY lang
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM spoken, (SELECT unnest(range(1, 6)) AS size) WHERE len(w) >= size)
+), counted AS (
+  SELECT lang, size, phrase, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, n,
+         CAST((1000 * CAST(a AS HUGEINT) * n) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted h ON c.lang = h.lang AND c.head = h.phrase JOIN counted t ON c.lang = t.lang AND c.tail = t.phrase
+       JOIN totals ON c.lang = totals.lang
+), weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates))
+  GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM weakest s LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase
+  WHERE nth = 1 AND (around IS NULL OR 100 * around < 100 * a)
+), placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
