@@ -1,12 +1,12 @@
 """Phrases whose words occur together more often than apart.
 
 Candidates are found by Misra-Gries summaries of hashed n-grams. The hash space
-is cut into partitions; a summary keeps for each partition at most as many
-counters as the partition's mass divided by the threshold, plus one, and takes
-the same number from all when there are more. Summaries merge by the same rule,
-so what is taken from a partition altogether stays below the threshold and an
-n-gram that reaches the threshold keeps its counter. The survivors become a bit
-filter; a second pass counts what passes it exactly, word by word.
+is cut into partitions; a summary has for each partition a capacity beyond the
+partition's mass divided by the threshold, and takes the same number from all
+counters when there are more. Summaries merge by the same rule, so what is taken
+from a partition altogether stays below the threshold and an n-gram that reaches
+the threshold keeps its counter. The survivors become a bit filter; a second
+pass counts what passes it exactly, word by word.
 
 Single words and pairs go first; longer n-grams have mass only where every pair
 in them has survived.
@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,10 @@ INSIDE = 100
 
 #: Text whose words are looked at together.
 BLOCK_BYTES = 4 << 20
-#: Counters of one hash partition, roughly, and the finest cut of the hash space.
+#: Counters are this many times the mass divided by the threshold; the more there
+#: are, the fewer survivors fall short of the threshold.
+ROOM = 4
+#: That quotient for one hash partition, roughly, and the finest cut of the hash space.
 PARTITION_COUNTERS = 1 << 17
 CELL_BITS = 16
 #: N-grams a task collects before it merges them, and counters after which it
@@ -194,11 +198,14 @@ class Summary:
         self._keys, self._counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._waiting: list[np.ndarray] = []
         self._n = 0
+        #: Occurrences added so far.
+        self.mass = 0
 
     def add(self, keys: np.ndarray) -> None:
         """Occurrences, one key each."""
         self._waiting.append(keys)
         self._n += len(keys)
+        self.mass += len(keys)
         if self._n >= MERGE_AFTER:
             self.settle()
 
@@ -304,14 +311,15 @@ def _survivors(rows: DataFrame, masses: DataFrame, orders: Sequence[int], pairs,
     bits = min(max((int(cells.sum()) // threshold // PARTITION_COUNTERS).bit_length(), 6), CELL_BITS)
     # More than a partition's mass divided by the threshold, so less than the
     # threshold is ever taken from it.
-    capacity = cells.reshape(1 << bits, -1).sum(axis=1) // threshold + 1
+    capacity = ROOM * (cells.reshape(1 << bits, -1).sum(axis=1) // threshold + 1)
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(capacity)
         for _, _, seeds, words in _texts(batches):
             for _, key, ok in ngrams(words, seeds, orders, pairs and pairs.value):
                 summary.add(key[ok])
-            if len(summary) >= FLUSH_AFTER:
+            if len(summary) >= FLUSH_AFTER or summary.mass >= 1 << 31:
+                summary.settle()
                 yield from _sent(summary)
                 summary = Summary(capacity)
         summary.settle()
@@ -331,7 +339,8 @@ def _survivors(rows: DataFrame, masses: DataFrame, orders: Sequence[int], pairs,
                 if r["part"] != at:
                     yield from ended()
                     at, one = r["part"], Summary(capacity[r["part"] : r["part"] + 1])
-                one.merge(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64), np.array([r["taken"]]))
+                keys = np.cumsum(np.frombuffer(_open(r["keys"]), np.uint64))
+                one.merge(keys, np.frombuffer(_open(r["counts"]), np.uint32).astype(np.int64), np.array([r["taken"]]))
         yield from ended()
 
     sent = rows.mapInArrow(summarize, "part int, keys binary, counts binary, taken bigint")
@@ -339,11 +348,21 @@ def _survivors(rows: DataFrame, masses: DataFrame, orders: Sequence[int], pairs,
     return materialize(dealt.mapInArrow(merge, "key bigint"), "phrase-keys")
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def _sent(summary: Summary) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for p, keys, counts, taken in summary.parts():
-        held.append({"part": p, "keys": keys.tobytes(), "counts": counts.tobytes(), "taken": taken})
-        size += 16 * len(keys)
+        # Counters are those of one task, some millions of n-grams.
+        gaps = _squeeze(np.diff(keys, prepend=np.uint64(0)).tobytes())
+        held.append({"part": p, "keys": gaps, "counts": _squeeze(counts.astype(np.uint32).tobytes()), "taken": taken})
+        size += 8 * len(keys)
         if size >= 4 << 20:
             yield pa.RecordBatch.from_pylist(held, _SENT)
             held, size = [], 0
@@ -367,43 +386,121 @@ def _filter(keys: DataFrame):
     return spark.sparkContext.broadcast(Filter(bits, words))
 
 
-def _exact(rows: DataFrame, short, long) -> DataFrame:
-    """Exact counts of all n-grams that pass the filters: lang, phrase, words, f."""
+def _exact(rows: DataFrame, short, long, expected: int, threshold: int) -> DataFrame:
+    """Exact counts of the n-grams that pass the filters and reach the threshold.
+
+    Columns: lang, phrase, words, f. A task adds up what it has seen and sends
+    it as one packed table for each part of the hash space; parts are added up
+    one by one, and only what reaches the threshold becomes rows.
+    """
+    bits = max((expected >> 16).bit_length(), 6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Sums()
         for names, group, seeds, words in _texts(batches):
-            code, distinct = words.codes()
-            # Numbers of n-grams grow from those of their first words, so equal
-            # numbers are equal words; no hash decides here.
-            number = group[words.text] * len(distinct) + code
-            for order, key, ok in ngrams(words, seeds, range(1, LONGEST + 1), short.value):
-                m = len(key)
-                # A first part that has not passed is not frequent either.
-                at = np.flatnonzero(ok & (number[:m] >= 0) if order > 1 else ok)
-                at = at[(short if order < 3 else long).value.has(key[at])]
-                if order > 1:
-                    whole = number[at] * len(distinct) + code[at + order - 1]
-                else:
-                    whole = number[at]
-                _, first, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                number = np.full(words.n, -1, np.int64)
-                number[at] = inverse
-                if not len(first):
-                    continue
-                at = at[first]
-                parts = [distinct.take(pa.array(code[at + i])) for i in range(order)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if order > 1 else parts[0]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": names.take(pa.array(group[words.text[at]])).cast(pa.string()),
-                        "phrase": phrase.cast(pa.binary()),
-                        "words": pa.array(np.full(len(at), order, np.int32)),
-                        "f": pa.array(n.astype(np.int64)),
-                    }
-                )
-
-    made = rows.mapInArrow(count, "lang string, phrase binary, words int, f bigint")
-    return made.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("f").alias("f"))
+            for table in _counted(names, group, seeds, words, short.value, long.value):
+                part = (table.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+                held.add(table.drop_columns("key").append_column("part", pa.array(part)))
+            if held.rows >= FLUSH_AFTER // 4:
+                yield from held.packed()
+        yield from held.packed()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, _Sums()
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if part != at:
+                    yield from held.frequent(threshold)
+                    at = part
+                held.add(pa.ipc.open_stream(packed).read_all())
+        yield from held.frequent(threshold)
+
+    sent = rows.mapInArrow(count, "part int, counts binary")
+    dealt = sent.repartition(min(1 << bits, partitions(rows.sparkSession)), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add_up, "lang string, phrase string, words int, f bigint")
+
+
+class _Sums:
+    """Tables of part, lang, phrase, words and f, added up when there are many."""
+
+    _KEYS = ["part", "lang", "phrase", "words"]
+
+    def __init__(self) -> None:
+        self._tables: list[pa.Table] = []
+        self.rows = self._waiting = 0
+
+    def add(self, table: pa.Table) -> None:
+        self._tables.append(table.select([*self._KEYS, "f"]))
+        self._waiting += table.num_rows
+        if self._waiting >= max(1 << 19, self.rows):
+            self._settle()
+
+    def _settle(self) -> pa.Table:
+        whole = pa.concat_tables(self._tables)
+        whole = whole.group_by(self._KEYS).aggregate([("f", "sum")]).rename_columns([*self._KEYS, "f"])
+        self._tables, self.rows, self._waiting = [whole], whole.num_rows, 0
+        return whole
+
+    def _all(self) -> pa.Table | None:
+        whole = self._settle() if self._tables else None
+        self._tables, self.rows = [], 0
+        return whole
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """One row for each part, its counts as a compressed Arrow stream."""
+        whole = self._all()
+        if whole is None:
+            return
+        whole = whole.sort_by("part").combine_chunks()
+        part = whole.column("part").to_numpy()
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for a, b in zip(edges, edges[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=options) as out:
+                out.write_table(whole.slice(a, b - a))
+            yield pa.RecordBatch.from_pydict(
+                {"part": pa.array([part[a]], pa.int32()), "counts": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+            )
+
+    def frequent(self, threshold: int) -> Iterator[pa.RecordBatch]:
+        whole = self._all()
+        if whole is not None:
+            kept = whole.filter(pc.field("f") >= threshold).drop_columns("part")
+            kept = kept.set_column(1, "phrase", kept.column("phrase").cast(pa.string()))
+            yield from kept.to_batches(max_chunksize=10_000)
+
+
+def _counted(
+    names: pa.Array, group: np.ndarray, seeds: np.ndarray, words: Words, short: Filter, long: Filter
+) -> Iterator[pa.Table]:
+    """Exact counts within a block of the n-grams that pass the filters, with their keys."""
+    code, distinct = words.codes()
+    # Numbers of n-grams grow from those of their first words, so equal numbers
+    # are equal words; no hash decides here.
+    number = group[words.text] * len(distinct) + code
+    for order, key, ok in ngrams(words, seeds, range(1, LONGEST + 1), short):
+        # A first part that has not passed is not frequent either.
+        at = np.flatnonzero(ok if order == 1 else ok & (number[: len(key)] >= 0))
+        at = at[(short if order < 3 else long).has(key[at])]
+        whole = number[at] if order == 1 else number[at] * len(distinct) + code[at + order - 1]
+        _, first, inverse, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        number = np.full(words.n, -1, np.int64)
+        number[at] = inverse
+        if not len(first):
+            continue
+        at = at[first]
+        parts = [distinct.take(pa.array(code[at + i])) for i in range(order)]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if order > 1 else parts[0]
+        yield pa.table(
+            {
+                "lang": names.take(pa.array(group[words.text[at]])).cast(pa.string()),
+                "phrase": phrase.cast(pa.binary()),
+                "words": pa.array(np.full(len(at), order, np.int32)),
+                "f": pa.array(n.astype(np.int64)),
+                "key": pa.array(key[at].view(np.int64)),
+            }
+        )
 
 
 def frequent_phrases(
@@ -422,10 +519,12 @@ def frequent_phrases(
         F.coalesce(col(text), F.lit("")).cast("binary").alias("text"),
     )
     masses = _masses(rows, (1, 2), None)
-    short = _filter(_survivors(rows, masses, (1, 2), None, threshold))
+    few = _survivors(rows, masses, (1, 2), None, threshold)
+    short = _filter(few)
     longer = range(3, LONGEST + 1)
-    long = _filter(_survivors(rows, _masses(rows, longer, short), longer, short, threshold))
-    counted = materialize(_exact(rows, short, long).where(F.col("f") >= threshold), "phrase-counts")
+    more = _survivors(rows, _masses(rows, longer, short), longer, short, threshold)
+    counted = _exact(rows, short, _filter(more), few.count() + more.count(), threshold)
+    counted = materialize(counted, "phrase-counts")
     return counted, masses.where("cell IS NULL").select("lang", "n")
 
 
