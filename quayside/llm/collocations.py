@@ -34,15 +34,16 @@ INSIDE = 100
 
 #: Text whose words are looked at together.
 BLOCK_BYTES = 4 << 20
-#: Counters are this many times the mass divided by the threshold; the more there
-#: are, the fewer survivors fall short of the threshold.
-ROOM = 4
+#: Counters of a hash partition: at least so many, and at least so many times its
+#: mass divided by the threshold. The more there are, the fewer survivors fall
+#: short of the threshold.
+ROOM, TIMES = 1 << 19, 2
 #: That quotient for one hash partition, roughly, and the finest cut of the hash space.
 PARTITION_COUNTERS = 1 << 17
 CELL_BITS = 16
 #: N-grams a task collects before it merges them, and counters after which it
 #: passes its summary on and begins another.
-MERGE_AFTER, FLUSH_AFTER = 1 << 21, 1 << 22
+MERGE_AFTER, FLUSH_AFTER = 1 << 20, 3 << 20
 #: The bit filter has this many bits a survivor, and never more than the second.
 BITS_EACH, MOST_BITS = 32, 1 << 28
 
@@ -311,7 +312,7 @@ def _survivors(rows: DataFrame, masses: DataFrame, orders: Sequence[int], pairs,
     bits = min(max((int(cells.sum()) // threshold // PARTITION_COUNTERS).bit_length(), 6), CELL_BITS)
     # More than a partition's mass divided by the threshold, so less than the
     # threshold is ever taken from it.
-    capacity = ROOM * (cells.reshape(1 << bits, -1).sum(axis=1) // threshold + 1)
+    capacity = np.maximum(ROOM, TIMES * (cells.reshape(1 << bits, -1).sum(axis=1) // threshold + 1))
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(capacity)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import bounded_batches, col, fresh
+from quayside.llm.common import bounded_batches, col, fresh, partitions
 from quayside.session import materialize
 
 SHINGLE = 3
@@ -27,8 +27,11 @@ RADIUS = 3
 SEED = 42
 #: Blocks of the 64 bits; 20 groupings by three of the six.
 BLOCKS = 6
-#: A larger group goes to a second pass that also groups by the bits left.
+#: A larger group is grouped again by some of the bits left. One with fifteen bits
+#: left has no more members than this.
 GROUP_LIMIT = 1 << 15
+#: Edges that one task of a star round writes.
+TASK_EDGES = 1 << 18
 _QUERIES, _WORDS = 256, 64
 
 
@@ -82,13 +85,16 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return planes.view(np.uint64)
 
 
-def near(values: np.ndarray, planes: np.ndarray, asked: np.ndarray, bits: list[int], radius: int) -> np.ndarray:
+def near(
+    values: np.ndarray, planes: np.ndarray, asked: np.ndarray, bits: list[int], radius: int, together: bool = False
+) -> np.ndarray:
     """For each asked value a row of words marking the values within the radius.
 
     Distances are counted over ``bits`` alone; the others are known to agree.
+    ``together`` makes one row that marks what is near any of the asked ones.
     """
     words = planes.shape[1]
-    out = np.zeros((len(asked), words), np.uint64)
+    out = np.zeros((1 if together else len(asked), words), np.uint64)
     levels = int(radius + 1).bit_length()
     start = (1 << levels) - (radius + 1)  # the counter runs over at radius + 1
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,7 +118,10 @@ def near(values: np.ndarray, planes: np.ndarray, asked: np.ndarray, bits: list[i
                 over |= carry
                 if (over == full).all():
                     break
-            out[q : q + _QUERIES, w : w + _WORDS] = ~over
+            if together:
+                out[0, w : w + _WORDS] |= np.bitwise_or.reduce(~over, axis=0)
+            else:
+                out[q : q + _QUERIES, w : w + _WORDS] = ~over
     spare = -len(values) % 64
     if spare:
         out[:, -1] &= full >> np.uint64(spare)
@@ -138,8 +147,10 @@ def forest(values: np.ndarray, bits: list[int], radius: int) -> list[tuple[int,
         left[first >> 6] &= ~(np.uint64(1) << np.uint64(first & 63))
         front = np.array([first])
         while len(front):
-            rows = everyone[front] if everyone is not None else near(values, planes, values[front], bits, radius)
-            new = np.bitwise_or.reduce(rows, axis=0) & left
+            if everyone is not None:
+                new = np.bitwise_or.reduce(everyone[front], axis=0) & left
+            else:
+                new = near(values, planes, values[front], bits, radius, together=True)[0] & left
             left &= ~new
             front = np.flatnonzero(np.unpackbits(new.view(np.uint8), bitorder="little"))
             links += [(int(values[first]), int(values[i])) for i in front]
@@ -166,13 +177,15 @@ def _groupings(radius: int) -> list[list[int]]:
     return [sum(c, []) for c in itertools.combinations(blocks, keep)] if radius < len(blocks) else [[]]
 
 
-def _compare(radius: int, keyed: list[list[int]], limit: int | None):
+def _compare(radius: int, keyed: list[list[int]], limit: int):
     """Rows (grouping, key, fp) sorted by the first two, to links and leftovers.
 
-    A group beyond ``limit`` is passed on piece by piece and never held whole.
+    A group beyond ``limit`` is passed on piece by piece and never held whole,
+    unless no more than fifteen bits are left to differ in.
     """
     schema = pa.schema([("grouping", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     free = [[b for b in range(64) if b not in set(bits)] for bits in keyed]
+    most = [max(limit, 1 << 15) if len(bits) <= 15 else limit for bits in free]
 
     def closed(grouping: int, values: np.ndarray, out: list) -> None:
         if len(values) > 1:
@@ -205,7 +218,7 @@ def _compare(radius: int, keyed: list[list[int]], limit: int | None):
                         closed(last[0], np.concatenate(held), out)
                     last, held, wide = now, [], False
                 held.append(v[s:e].view(np.uint64))
-                if limit and (wide or sum(map(len, held)) > limit):
+                if wide or sum(map(len, held)) > most[now[0]]:
                     yield left(now[0], np.concatenate(held))
                     held, wide = [], True
             if out:
@@ -219,11 +232,12 @@ def _compare(radius: int, keyed: list[list[int]], limit: int | None):
     return run
 
 
-def _grouped(rows: DataFrame, radius: int, keyed: list[list[int]], limit: int | None) -> DataFrame:
+def _grouped(rows: DataFrame, radius: int, keyed: list[list[int]], limit: int) -> DataFrame:
     ordered = rows.repartition("grouping", "key").sortWithinPartitions("grouping", "key")
-    return ordered.select("grouping", "key", "fp").mapInArrow(
+    made = ordered.select("grouping", "key", "fp").mapInArrow(
         _compare(radius, keyed, limit), "grouping int, a bigint, b bigint"
     )
+    return materialize(made, "simhash-links")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -232,28 +246,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -
     The two of a pair reach each other over steps within the radius.
 
     A group beyond ``limit`` members is not compared at once: it is grouped
-    again by the blocks of the bits that the first grouping left free.
+    again by each of ``radius + 1`` parts of the bits that are left free, one of
+    which agrees in every close pair. With fewer bits left there are fewer
+    distinct members, so this ends after a few rounds.
     """
     keyed = _groupings(radius)
     spread = distinct.select(
         "fp",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(bits))) for bits in keyed])).alias("grouping", "key"),
     )
-    first = materialize(_grouped(spread, radius, keyed, limit), "simhash-links")
-    made = first.where("grouping IS NULL").select("a", "b")
-    large = first.where("grouping IS NOT NULL")
-    if large.isEmpty():
-        return made
-    finer, again = [], []
-    for g, bits in enumerate(keyed):
-        rest = [b for b in range(64) if b not in set(bits)]
-        for part in range(radius + 1):
-            own = rest[len(rest) * part // (radius + 1) : len(rest) * (part + 1) // (radius + 1)]
-            again.append(F.when(F.col("grouping") == g, F.struct(F.lit(len(finer)).alias("g"), F.col("a").bitwiseAND(F.lit(_mask(bits + own))).alias("k"))))
-            finer.append(bits + own)
-    rows = large.select(F.col("a").alias("fp"), F.explode(F.array_compact(F.array(*again))).alias("x"))
-    rows = rows.select("fp", F.col("x.g").alias("grouping"), F.col("x.k").alias("key"))
-    return made.unionByName(_grouped(rows, radius, finer, None).select("a", "b"))
+    made = None
+    while True:
+        found = _grouped(spread, radius, keyed, limit)
+        own = found.where("grouping IS NULL").select("a", "b")
+        made = own if made is None else made.unionByName(own)
+        large = found.where("grouping IS NOT NULL")
+        wide = sorted(r.grouping for r in large.select("grouping").distinct().collect())
+        if not wide:
+            return made
+        finer, masks = [], []
+        for g in wide:
+            rest = [b for b in range(64) if b not in set(keyed[g])]
+            for part in range(radius + 1):
+                bits = keyed[g] + rest[len(rest) * part // (radius + 1) : len(rest) * (part + 1) // (radius + 1)]
+                masks.append((g, len(finer), _mask(bits)))
+                finer.append(bits)
+        # No more rows than there are groupings.
+        table = distinct.sparkSession.createDataFrame(masks, "was int, grouping int, mask bigint")
+        again = large.select(F.col("a").alias("fp"), F.col("grouping").alias("was")).join(F.broadcast(table), "was")
+        spread = again.select("fp", "grouping", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        keyed = finer
 
 
 # -- components --------------------------------------------------------------
@@ -290,7 +312,9 @@ def components(pairs: DataFrame) -> DataFrame:
 
     seen = state(edges)
     while seen[0]:
-        edges = materialize(_star(_star(edges, True), False), "simhash-star")
+        # One file for a task's worth of edges, not one for each shuffle partition.
+        tasks = min(-(-seen[0] // TASK_EDGES), partitions(edges.sparkSession))
+        edges = materialize(_star(_star(edges, True), False).coalesce(tasks), "simhash-star")
         now = state(edges)
         if now == seen:
             break
