@@ -64,12 +64,16 @@ def block_label(blocking: Column, waiting: Column) -> Column:
     )
 
 
+#: Sampling intervals after which what is shown counts as old.
+STALE_AFTER, VERY_STALE_AFTER = 3, 10
+
+
 def freshness_tier(age: Column, interval: Column) -> Column:
     """Age against the sampling interval, both in the same unit."""
     return (
         F.when((interval <= 0) | age.isNull(), "fresh")
-        .when(age >= interval * 10, "very stale")
-        .when(age >= interval * 3, "stale")
+        .when(age >= interval * VERY_STALE_AFTER, "very stale")
+        .when(age >= interval * STALE_AFTER, "stale")
         .otherwise("fresh")
     )
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.labels import wait_label
+from quayside.operators import smallgraphs
+from quayside.operators.reach import reach_counts, root_members
 from quayside.session import materialize
 
 Scope = Sequence[str]
@@ -63,13 +65,20 @@ def closure(steps: DataFrame, scope: Scope) -> DataFrame:
         n *= 2
 
 
-def _downstream_steps(edges: DataFrame, scope: Scope) -> DataFrame:
-    return edges.select(*scope, F.col("blocker_pid").alias("at"), F.col("pid").alias("to"))
+def _hanging(edges: DataFrame, scope: Scope) -> DataFrame:
+    """Each waiter as a child of its blockers, written, since scopes are sized first."""
+    pairs = edges.select(*scope, F.col("pid").alias("child"), F.col("blocker_pid").alias("parent"))
+    return materialize(pairs.where("child <> parent").distinct(), "wait-edges")
 
 
 def downstream(edges: DataFrame, scope: Scope) -> DataFrame:
     """Every session with every session stuck behind it, directly or not."""
-    return closure(_downstream_steps(edges, scope), scope)
+    small, large = smallgraphs.split(_hanging(edges, scope), scope)
+    pairs = smallgraphs.members(small, scope, roots_only=False)
+    if large is not None:
+        steps = large.select(*scope, F.col("parent").alias("at"), F.col("child").alias("to"))
+        pairs = pairs.unionByName(closure(steps, scope).drop("distance"))
+    return pairs
 
 
 def root_chains(edges: DataFrame, scope: Scope) -> DataFrame:
@@ -77,18 +86,42 @@ def root_chains(edges: DataFrame, scope: Scope) -> DataFrame:
 
     A snapshot where all sessions wait in a circle has no root.
     """
-    waiting = edges.select(*scope, F.col("pid").alias("root")).distinct()
-    return downstream(edges, scope).join(waiting, [*scope, "root"], "left_anti")
+    small, large = smallgraphs.split(_hanging(edges, scope), scope)
+    chains = smallgraphs.members(small, scope, roots_only=True)
+    if large is not None:
+        chains = chains.unionByName(root_members(large, scope, closure))
+    return chains
+
+
+def _reached(pairs: DataFrame, scope: Scope) -> DataFrame:
+    small, large = smallgraphs.split(pairs, scope)
+    counted = smallgraphs.reach_counts(small, scope)
+    if large is not None:
+        counted = counted.unionByName(reach_counts(large, scope, closure))
+    return counted
+
+
+def behind_counts(edges: DataFrame, scope: Scope) -> DataFrame:
+    """scope, pid, blocking_count of every session that has an edge.
+
+    No pair of sessions is listed: small snapshots count bits in one task,
+    others are sums over trees.
+    """
+    counted = _reached(_hanging(edges, scope), scope)
+    return counted.select(*scope, F.col("node").alias("pid"), F.col("reached").alias("blocking_count"))
+
+
+def root_counts(edges: DataFrame, scope: Scope) -> DataFrame:
+    """scope, root, blocked_count of blockers that wait for no one."""
+    waiting = edges.where("pid <> blocker_pid").select(*scope, "pid").distinct()
+    counted = behind_counts(edges, scope).where("blocking_count > 0")
+    roots = counted.join(waiting, [*scope, "pid"], "left_anti")
+    return roots.select(*scope, F.col("pid").alias("root"), F.col("blocking_count").alias("blocked_count"))
 
 
 def blocking_counts(sessions: DataFrame, edges: DataFrame, scope: Scope) -> DataFrame:
     """Every session with the number of distinct sessions stuck behind it."""
-    behind = (
-        downstream(edges, scope)
-        .groupBy(*scope, F.col("root").alias("pid"))
-        .agg(F.count("*").alias("blocking_count"))
-    )
-    joined = sessions.join(behind, [*scope, "pid"], "left")
+    joined = sessions.join(behind_counts(edges, scope), [*scope, "pid"], "left")
     return joined.withColumn(
         "blocking_count", F.coalesce("blocking_count", F.lit(0).cast("bigint"))
     )
@@ -107,14 +140,14 @@ def walk(
     how many more distinct sessions the tree reaches. A session already on the
     path is marked as a cycle and not followed; one that is gone is not present.
 
-    Rows of one level that precede a row also precede it in the walk, so a row
+    Snapshots of a few thousand waits are walked in one task each, larger ones
+    level by level. Rows of one level that precede a row also precede it in the walk, so a row
     beyond the limit within its level cannot be listed and is not expanded, and
     neither can a row with that many siblings before it. A tree therefore costs
     at most ``max_rows`` rows per level, and a session that blocks very many
     others offers only its first ones to each tree.
     """
     scope = list(scope)
-    tree = [*scope, "root"]
     if upstream:
         step = edges.select(*scope, F.col("pid").alias("at"), F.col("blocker_pid").alias("to"), "ord")
     else:
@@ -132,6 +165,16 @@ def walk(
         ),
         "walk-steps",
     )
+    small, large = smallgraphs.split(step, scope)
+    listed = smallgraphs.walks(small, scope, max_rows)
+    if large is not None:
+        listed = listed.unionByName(_walk_levels(large, scope, max_rows))
+    return listed
+
+
+def _walk_levels(step: DataFrame, scope: list[str], max_rows: int) -> DataFrame:
+    """The walk of snapshots of any size, level by level."""
+    tree = [*scope, "root"]
     siblings = Window.partitionBy(*scope, "at").orderBy("ord", "to")
     near = materialize(
         step.withColumn("_n", F.row_number().over(siblings))
@@ -203,8 +246,14 @@ def walk(
 def _markers(cut: DataFrame, listed: DataFrame, step: DataFrame, scope: list[str]) -> DataFrame:
     """Marker rows of the trees that were cut, with what they leave out."""
     tree = [*scope, "root"]
-    reached = closure(step, scope).join(cut.select(*tree), tree, "left_semi")
-    all_nodes = reached.groupBy(*tree).agg(F.count("*").alias("total"))
+    seeds = cut.select(*tree).distinct()
+    # Only snapshots that hold a cut tree are looked into.
+    near = step.join(seeds.select(*scope).distinct(), scope, "left_semi")
+    pairs = near.select(*scope, F.col("to").alias("child"), F.col("at").alias("parent"))
+    counted = reach_counts(pairs, scope, closure)
+    all_nodes = counted.select(*scope, F.col("node").alias("root"), F.col("reached").alias("total")).join(
+        seeds, tree, "left_semi"
+    )
     shown = (
         listed.where("pid <> root").groupBy(*tree).agg(F.count_distinct("pid").alias("shown"))
     )

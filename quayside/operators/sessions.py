@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quayside.functions import labels
 from quayside.functions.text import preview, strip_controls
+from quayside.operators.joins import join_groups
+from quayside.session import materialize
 
 ROLES = ("primary", "replica")
 RETAINED = 300  # snapshots kept for stepping back
@@ -178,18 +180,29 @@ def last_good_snapshot(partials: DataFrame) -> DataFrame:
     A partial snapshot does not replace a complete one; before there is any
     complete one, the first partial is shown. Runs on the index, one row per
     snapshot.
+
+    A scan in two levels: rows are range partitioned, so a source with a long
+    history lies in many parts; what each part carries on is scanned over the
+    parts, and the rest is looked for inside a part. A null source is a source
+    of its own, and an empty index gives no rows.
     """
-    so_far = Window.partitionBy("source").orderBy("snapshot").rowsBetween(
+    parts = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = partials.select("source", "snapshot", "unreachable").repartitionByRange(parts, "source", "snapshot")
+    dealt = materialize(ranged.withColumn("part", F.spark_partition_id()), "good-parts")
+    # Snapshots ascend, so the last good one is the greatest.
+    good = F.max(F.when(F.col("unreachable") == 0, F.col("snapshot")))
+    own = dealt.groupBy("source", "part").agg(good.alias("good"), F.min("snapshot").alias("first"))
+    of_source = Window.partitionBy("source")
+    earlier = of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.select(
+        "source", "part", F.max("good").over(earlier).alias("carried"), F.min("first").over(of_source).alias("first")
+    )
+    so_far = Window.partitionBy("source", "part").orderBy("snapshot").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    good = F.when(F.col("unreachable") == 0, F.col("snapshot"))
-    return partials.select(
-        "source",
-        "snapshot",
-        "unreachable",
-        F.coalesce(
-            F.last(good, ignorenulls=True).over(so_far), F.first("snapshot").over(so_far)
-        ).alias("shown_snapshot"),
+    inside = dealt.withColumn("inside", good.over(so_far))
+    return join_groups(inside, carried, ["source", "part"]).select(
+        "source", "snapshot", "unreachable", F.coalesce("inside", "carried", "first").alias("shown_snapshot")
     )
 
 

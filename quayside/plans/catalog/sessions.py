@@ -169,8 +169,7 @@ WITH RECURSIVE c(snapshot, root, node) AS (
     _ROOTS + "SELECT snapshot, root, count(DISTINCT node) AS blocked_count FROM c GROUP BY 1, 2",
 )
 def _(edges):
-    chains = blocking.root_chains(edges, _SCOPE)
-    return chains.groupBy("snapshot", "root").agg(F.count("*").alias("blocked_count"))
+    return blocking.root_counts(edges, _SCOPE)
 
 
 def _walk_sql(at: str, to: str, order: str, waiter: str) -> str:

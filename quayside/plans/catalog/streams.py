@@ -10,7 +10,7 @@ from quayside.plans.registry import query
 from quayside.session import new_path
 from quayside.sinks import trace
 from quayside.sources import records
-from quayside.streaming import captures
+from quayside.streaming import captures, silence
 
 _HEADER = trace.header_line("acme", "shop", "main", "2024-01-01T00:00:00Z", role="primary")
 
@@ -198,11 +198,7 @@ FROM events GROUP BY 1, 2
 )
 def _(events):
     spark = events.sparkSession
-    # The whole table: its folder, or its one file in a folder of several tables.
-    files = events.inputFiles()
-    folder, name = files[0].rsplit("/", 1)
-    only = name if folder.rsplit("/", 1)[1] != "events.parquet" else "*.parquet"
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", only).parquet(folder)
+    stream = captures.table_stream(events, "events.parquet")
     # Structured Streaming keeps watermarks on instants; the session is in UTC.
     log = derive(spark, "query_log", events=stream).withColumn("ts", F.col("ts").cast("timestamp"))
     out = new_path(spark, "hourly")
@@ -211,6 +207,44 @@ def _(events):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("hour", "last_run_at")})
 
 
+@query(
+    "g6_silent_sources",
+    ["sessions"],
+    """
+SELECT source, freshness, max(snapshot) AS snapshot
+FROM sessions, (VALUES ('fresh'), ('stale'), ('very stale')) AS t(freshness) GROUP BY 1, 2
+""",
+)
+def _(sessions):
+    """No row comes after the first batch, and yet every source is told to be stale."""
+    spark = sessions.sparkSession
+    index = ops.snapshot_index(sessions).select("source", "snapshot")
+    sources = index.select("source").distinct().count()
+    folder = new_path(spark, "silence")
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    spark.createDataFrame([], silence.TIERS).write.parquet(f"{folder}/batch=-1")
+    stream = _index_stream(index)
+    with silence.timers_allowed(spark, partitions=4):
+        writer = silence.watch_sources(stream, interval_ms=300).writeStream.outputMode("update").foreachBatch(write)
+        running = captures.start(writer, new_path(spark, "checkpoint"), "300 milliseconds")
+    try:
+        # Timers always have another batch to come, so there is no end to wait for.
+        while running.exception() is None:
+            said = spark.read.schema(silence.TIERS).parquet(folder)
+            if said.where("freshness = 'very stale'").select("source").distinct().count() >= sources:
+                break
+            running.awaitTermination(1)
+    finally:
+        running.stop()
+    if running.exception() is not None:
+        raise running.exception()
+    said = spark.read.schema(silence.TIERS).parquet(folder)
+    return said.groupBy("source", "freshness").agg(F.max("snapshot").alias("snapshot"))
+
+
 @query(
     "g6_stream_freshness",
     ["sessions", "instances"],

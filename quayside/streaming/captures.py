@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,21 @@ def snapshot_stream(spark: SparkSession, folder: str, files_per_batch: int = 100
     return parse_snapshots(lines)
 
 
+def table_stream(table: DataFrame, name: str) -> DataFrame:
+    """The whole of a Parquet table as a stream, as ``table`` reads it.
+
+    ``name`` is the table's own file or folder. A folder is streamed with all
+    below it, partition columns included; a single file by its name, as a
+    stream reads folders.
+    """
+    path = table.inputFiles()[0]
+    above = path[: path.rindex(f"/{name}")]
+    reader = table.sparkSession.readStream.schema(table.schema)
+    if path == f"{above}/{name}":
+        return reader.option("pathGlobFilter", name).parquet(above)
+    return reader.parquet(f"{above}/{name}")
+
+
 def capture(
     spark: SparkSession, landed: str, trace: str, checkpoint: str,
     header: str | None = None, interval: str | None = None,
@@ -82,14 +98,16 @@ def hold_last_good(index: DataFrame) -> DataFrame:
     ) -> Iterator[pd.DataFrame]:
         good, first = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values("snapshot")
-        shown = []
-        for snapshot, unreachable in zip(rows["snapshot"], rows["unreachable"]):
-            first = int(snapshot) if first is None else first
-            if unreachable == 0 and (good is None or snapshot > good):
-                good = int(snapshot)
-            shown.append(first if good is None else good)
+        snapshots = rows["snapshot"].to_numpy()
+        first = int(snapshots[0]) if first is None else first
+        # The greatest good one so far, or the least number there is.
+        before = np.iinfo(np.int64).min if good is None else good
+        own = np.where(rows["unreachable"] == 0, snapshots, np.iinfo(np.int64).min)
+        held = np.maximum.accumulate(np.maximum(own, before))
+        none = held == np.iinfo(np.int64).min
+        good = None if none[-1] else int(held[-1])
         state.update((good, first))
-        rows = rows.assign(source=key[0], shown_snapshot=shown)
+        rows = rows.assign(source=key[0], shown_snapshot=np.where(none, first, held))
         yield rows[["source", "snapshot", "unreachable", "shown_snapshot"]]
 
     return index.groupBy("source").applyInPandasWithState(
