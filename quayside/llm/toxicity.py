@@ -1,10 +1,11 @@
 """Toxicity by a linear classifier with a counterfactual penalty.
 
 Features are the words of a text and their beginnings, present or not, hashed.
-For every training text that mentions a group, a copy with the mention swapped
-for another group is made, and the squared change of the score is penalised
-beside the usual loss: mentions alone then say nothing, which keeps neutral
-sentences about a group from being flagged.
+Every training text gets counterfactual pairs: an identity term put into it and
+another of its kind in its place, and, where it mentions a group itself, a copy
+with the mention swapped. The squared change of the score between the two is
+penalised beside the usual loss, so that which group is mentioned says nothing;
+that keeps neutral sentences about a group from being flagged.
 """
 
 from __future__ import annotations
@@ -41,8 +42,23 @@ IDENTITY = (
     ("men", "women"),
     ("young", "old", "elderly", "disabled", "blind", "deaf"),
     ("mexican", "german", "french", "spanish", "chinese", "indian", "russian"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("hommes", "femmes"),
+    ("jeunes", "vieux", "handicapés", "aveugles", "sourds"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"),
+    ("männer", "frauen"),
+    ("junge", "alte", "behinderte", "blinde", "gehörlose"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("hombres", "mujeres"),
+    ("jóvenes", "viejos", "discapacitados", "ciegos", "sordos"),
 )
-_KIND = {t: kind for kind in IDENTITY for t in kind}
+_KIND = {t: kind for kind in reversed(IDENTITY) for t in kind}
+_TERMS = [(kind, i) for kind in IDENTITY for i in range(len(kind))]
+#: Pairs of terms that are put into each training text.
+PLACED = 2
 _MENTION = re.compile(r"\b(" + "|".join(sorted(_KIND)) + r")\b", re.IGNORECASE)
 
 
@@ -54,6 +70,12 @@ def swapped(text: str, turn: int) -> str | None:
     return out if n else None
 
 
+def placed(n: int) -> tuple[str, str]:
+    """The ``n``-th choice of a term and another of its kind, all terms in turn."""
+    kind, i = _TERMS[n % len(_TERMS)]
+    return kind[i], kind[(i + 1 + n // len(_TERMS) % (len(kind) - 1)) % len(kind)]
+
+
 def _features(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, feature) of all words and stems of one run of texts."""
     low = lowered(data)
@@ -82,6 +104,8 @@ class ToxicityModel:
     slots: np.ndarray  # feature -> weight number, -1 if it has none
     weights: np.ndarray
     bias: float
+    #: Counterfactual pairs that it was learned with.
+    pairs: int = 0
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -136,6 +160,16 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, rounds: int = 300
     cd, cs = matrix([c for _, c in pairs])
 
     size = len(best)
+    # A text with either term in it has its own features and the term's, so the
+    # scores differ by what one term adds to the text and the other does not.
+    terms = {t: set(matrix([t])[1].tolist()) for kind in IDENTITY for t in kind}
+    put = []
+    for n in range(PLACED * len(rows)):
+        one, other = (terms[t] for t in placed(n))
+        put += [(n, f, 1.0) for f in sorted(one - other)] + [(n, f, -1.0) for f in sorted(other - one)]
+    pn, ps, sign = (np.array(c) for c in zip(*put, strict=True)) if put else (np.zeros(0, np.int64),) * 3
+    fresh = ~np.isin(pn // PLACED * size + ps, d * size + s)
+    pn, ps, sign = pn[fresh], ps[fresh], sign[fresh]
     w, b = np.zeros(size), 0.0
     weight = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0)) / len(y)
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -148,6 +182,9 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, rounds: int = 300
             pull = 2 * penalty * change / len(y)
             own = np.bincount(whose, pull, len(y))
             gw += np.bincount(s, own[d], size) - np.bincount(cs, pull[cd], size)
+        if len(pn):
+            change = np.bincount(pn, sign * w[ps], PLACED * len(rows))
+            gw += np.bincount(ps, sign * (2 * penalty * change / len(y))[pn], size)
         grad = np.append(gw, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -156,7 +193,7 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY, rounds: int = 300
     used = np.flatnonzero(w)
     slots = np.full(1 << BITS, -1, np.int32)
     slots[best[used]] = np.arange(len(used))
-    return ToxicityModel(slots, w[used], b)
+    return ToxicityModel(slots, w[used], b, len(pairs) + PLACED * len(rows))
 
 
 def train(docs: DataFrame, labels: DataFrame, held: Column, **bounds) -> ToxicityModel:
@@ -167,7 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, **bounds) -> Toxicit
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: Column) -> Column:
-    """The score of a whole text, 0 to 1; null scores as the empty text."""
+    """The score of a whole text, 0 to 1; null scores as the empty text.
+
+    Repeated rows score alike, a text of any length is read in pieces, other
+    columns take no part, and an empty table has no scores.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
