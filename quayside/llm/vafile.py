@@ -10,7 +10,10 @@ every bound left.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import math
+import operator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +29,37 @@ CELLS = 256
 #: Queries that go out with one scan of the file.
 QUERY_BLOCK = 2048
 #: Squared length, after scaling, below which an inner product always fits a long.
+#: Longer vectors are kept apart and multiplied as integers of any size.
 LONGEST = 2.0**62
+#: Queries that go out with one scan for longer vectors.
+WIDE_BLOCK = 256
 _ROWS = 512
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
-    """The components as whole numbers; null if the vector takes no part."""
-    def times(x: Column) -> Column:
-        return x.cast("double") * F.lit(float(scale))
+    """The components as whole numbers; null if the vector takes no part or is longer than that."""
+    length = _length(vector, scale)
+    return F.when(F.coalesce(length < F.lit(LONGEST), F.lit(False)), F.transform(vector, lambda x: F.floor(_times(x, scale))))
 
+
+def _times(x: Column, scale: int) -> Column:
+    return x.cast("double") * F.lit(float(scale))
+
+
+def _length(vector: Column, scale: int) -> Column:
     # A null component makes the length null, one that is not finite makes it no less than any bound.
-    length = F.aggregate(vector, F.lit(0.0), lambda s, x: s + times(x) * times(x))
-    return F.when(F.coalesce(length < F.lit(LONGEST), F.lit(False)), F.transform(vector, lambda x: F.floor(times(x))))
+    return F.aggregate(vector, F.lit(0.0), lambda s, x: s + _times(x, scale) * _times(x, scale))
+
+
+def _wide(vector: Column, scale: int = SCALE) -> Column:
+    """A long vector's components before they are made whole; null for the others.
+
+    One whose product with the scale is infinite has no whole number and is
+    treated as not finite.
+    """
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(_times(x, scale)) < F.lit(float("inf")), F.lit(False)))
+    long = F.coalesce(_length(vector, scale) >= F.lit(LONGEST), F.lit(False))
+    return F.when(finite & long, F.transform(vector, lambda x: _times(x, scale)))
 
 
 class _Cells:
@@ -64,14 +86,16 @@ class _Cells:
 class VectorFile:
     """The approximations and exact vectors of a table, written out."""
 
-    def __init__(self, rows: DataFrame, grids: dict[int, _Cells]):
-        self.rows, self.grids = rows, grids
+    def __init__(self, rows: DataFrame, grids: dict[int, _Cells], wide: DataFrame | None = None):
+        """``wide`` has the long vectors: id, dims and the whole numbers as text."""
+        self.rows, self.grids, self.wide = rows, grids, wide
 
     @classmethod
     def build(cls, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> VectorFile:
-        """Vectors and ids that are null, and vectors that hold a null, a value
-        that is not finite or one no inner product can hold, are left out.
-        Repeated rows count once. Vectors of different lengths are kept apart.
+        """Vectors and ids that are null, and vectors that hold a null or a value
+        that is not finite, are left out. Repeated rows count once. Vectors of
+        different lengths are kept apart, and so are those too long for an inner
+        product of machine words.
         """
         spark = vectors.sparkSession
         bounded_batches(spark)
@@ -107,7 +131,19 @@ class VectorFile:
                 )
 
         made = held.select("id", "dims", "v").mapInArrow(place, "id bigint, dims int, cells binary, exact binary")
-        return cls(materialize(made, "va-file"), grids)
+        long = vectors.select(col(vec_id).cast("bigint").alias("id"), _wide(col(vector), scale).alias("v"))
+        long = long.where("id IS NOT NULL AND v IS NOT NULL")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [[math.floor(x) for x in v] for v in batch.column("v").to_pylist()]
+                text = [",".join(map(str, v)) for v in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array([len(v) for v in rows], pa.int32()), pa.array(text, pa.string())], ["id", "dims", "exact"]
+                )
+
+        written = materialize(long.mapInArrow(whole, "id bigint, dims int, exact string").distinct(), "va-wide")
+        return cls(materialize(made, "va-file"), grids, None if written.isEmpty() else written)
 
     def search(self, queries: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
         """The k best of all other ids for every row of ``queries`` (id, dims, exact).
@@ -120,17 +156,60 @@ class VectorFile:
         def asked(own: DataFrame) -> list[tuple[int, int, bytes]]:
             return sorted((r.dims, r.id, bytes(r.exact)) for r in own.collect())
 
+        def answer(own: DataFrame) -> DataFrame:
+            rows = asked(own)
+            found = self._block(rows, k)
+            if self.wide is None:
+                return found
+            more = self._plainly([(d, i, np.frombuffer(x, "<i8").tolist()) for d, i, x in rows], self.wide, k)
+            return _best(found.unionByName(more), k)
+
+        return self._in_blocks(queries, block, answer)
+
+    def search_wide(self, queries: DataFrame, k: int = K, block: int = WIDE_BLOCK) -> DataFrame:
+        """As :meth:`search` for rows of ``wide``, multiplied as integers of any size."""
+        def answer(own: DataFrame) -> DataFrame:
+            rows = sorted((r.dims, r.id, list(map(int, r.exact.split(",")))) for r in own.collect())
+            found = self._plainly(rows, self.rows.select("id", "dims", "exact"), k)
+            return _best(found.unionByName(self._plainly(rows, self.wide, k)), k)
+
+        return self._in_blocks(queries, block, answer)
+
+    def _in_blocks(self, queries: DataFrame, block: int, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
         parts = -(-queries.count() // block)
         if parts <= 1:
-            return self._block(asked(queries), k)
+            return answer(queries).select(*_FOUND)
         spark = queries.sparkSession
         numbered, found = materialize(queries, "va-queries"), new_path(spark, "va-found")
         for part in range(parts):
             # Written block by block, so the driver holds one of them.
             own = numbered.where(F.pmod(F.xxhash64("id", "exact"), F.lit(parts)) == part)
-            self._block(asked(own), k).write.mode("append").parquet(found)
+            answer(own).select(*_FOUND).write.mode("append").parquet(found)
         return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(found)
 
+    def _plainly(self, asked: list[tuple[int, int, list[int]]], rows: DataFrame, k: int) -> DataFrame:
+        """The k best of ``rows`` for each query, without bounds and in whole numbers of any size.
+
+        A score among the k best of a task that no long can hold is an error.
+        """
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops: list[list[tuple[int, int]]] = [[] for _ in asked]
+            for batch in batches:
+                for i, d, x in zip(*(batch.column(c).to_pylist() for c in ("id", "dims", "exact")), strict=True):
+                    v = np.frombuffer(x, "<i8").tolist() if isinstance(x, bytes) else list(map(int, x.split(",")))
+                    for top, (dims, own, q) in zip(tops, asked, strict=True):
+                        if dims == d and own != i:
+                            bisect.insort(top, (-sum(map(operator.mul, q, v)), i))
+                            del top[k:]
+            out = [(asked[q][1], q, i, -x) for q, top in enumerate(tops) for x, i in top]
+            if any(not -(1 << 63) <= r[3] < 1 << 63 for r in out):
+                raise OverflowError("an inner product does not fit a long")
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "q", "vec_id", "score"])
+
+        made = rows.mapInArrow(search, "query_id bigint, q bigint, vec_id bigint, score bigint")
+        return _best(made, k)
+
     def _block(self, asked: list[tuple[int, int, bytes]], k: int) -> DataFrame:
         grids = self.grids
         ids = np.array([a[1] for a in asked], np.int64)
@@ -212,17 +291,29 @@ class VectorFile:
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "q", "vec_id", "score"])
 
-        ranked = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-        return (
-            self.rows.mapInArrow(exact, "query_id bigint, q bigint, vec_id bigint, score bigint")
-            .withColumn("rank", F.row_number().over(ranked).cast("int"))
-            .where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score")
-        )
+        return _best(self.rows.mapInArrow(exact, "query_id bigint, q bigint, vec_id bigint, score bigint"), k)
+
+
+_FOUND = ["query_id", "rank", "vec_id", "score"]
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best for each query ``q`` of a block, with their rank."""
+    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    rows = found.select("query_id", "q", "vec_id", "score").withColumn("rank", F.row_number().over(ranked).cast("int"))
+    return rows.where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = K, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Top k for the rows whose id is divisible by ``every``, against all rows."""
+    """Top k for the rows whose id is divisible by ``every``, against all rows.
+
+    Null ids and vectors, and vectors that hold a null or a value that is not
+    finite, take no part; repeated rows count once, ties go to the smaller id,
+    and an empty table gives no rows. Other columns are not looked at.
+    """
     index = VectorFile.build(vectors, vec_id, vector)
-    queries = index.rows.where(F.col("id") % every == 0).select("id", "dims", "exact")
-    return index.search(queries, k)
+    wanted = F.col("id") % every == 0
+    found = index.search(index.rows.where(wanted).select("id", "dims", "exact"), k)
+    if index.wide is None:
+        return found
+    return found.unionByName(index.search_wide(index.wide.where(wanted), k))
