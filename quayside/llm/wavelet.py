@@ -36,11 +36,11 @@ SHARD_TOKENS = 4 << 20
 #: Text that one task of the writer gets at most, on average.
 TASK_BYTES = 256 << 20
 #: Text that is encoded together.
-ENCODE_BYTES = 24 << 20
+ENCODE_BYTES = 16 << 20
 #: Bits of a plane that are compressed together.
 BLOCK_BITS = 1 << 16
 #: Distinct pieces of text a worker remembers; it forgets all of them when full.
-MEMORY = 1_000_000
+MEMORY = 800_000
 
 MAGIC = b"WVMX0001"
 _HEAD = struct.Struct("<8sQQIII")
@@ -126,7 +126,9 @@ class Encoder:
         starts = self._ends[codes]
         n = self._ends[codes + 1] - starts
         after = np.cumsum(n)
-        out = self._flat[np.repeat(starts - after + n, n) + np.arange(after[-1])]
+        at = np.repeat((starts - after + n).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        out = self._flat[at]
         total = np.concatenate([[0], after])[np.searchsorted(edges, np.concatenate([[0], ends]))]
         return out, np.diff(total)
 
