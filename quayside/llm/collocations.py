@@ -43,7 +43,7 @@ PARTITION_COUNTERS = 1 << 17
 CELL_BITS = 16
 #: N-grams a task collects before it merges them, and counters after which it
 #: passes its summary on and begins another.
-MERGE_AFTER, FLUSH_AFTER = 1 << 20, 3 << 20
+MERGE_AFTER, FLUSH_AFTER = 1 << 20, 1 << 21
 #: The bit filter has this many bits a survivor, and never more than the second.
 BITS_EACH, MOST_BITS = 32, 1 << 28
 
@@ -402,7 +402,7 @@ def _exact(rows: DataFrame, short, long, expected: int, threshold: int) -> DataF
             for table in _counted(names, group, seeds, words, short.value, long.value):
                 part = (table.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
                 held.add(table.drop_columns("key").append_column("part", pa.array(part)))
-            if held.rows >= FLUSH_AFTER // 4:
+            if held.rows >= FLUSH_AFTER // 8:
                 yield from held.packed()
         yield from held.packed()
 
@@ -433,7 +433,7 @@ class _Sums:
     def add(self, table: pa.Table) -> None:
         self._tables.append(table.select([*self._KEYS, "f"]))
         self._waiting += table.num_rows
-        if self._waiting >= max(1 << 19, self.rows):
+        if self._waiting >= max(1 << 18, self.rows):
             self._settle()
 
     def _settle(self) -> pa.Table:
