@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import col
@@ -37,12 +35,14 @@ def labelled_sample(
     known = known.where(~held).distinct()
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect() if r.label in classes}
     place = F.xxhash64(F.lit(7), "doc_id")
-    chosen = reduce(
-        DataFrame.unionByName,
-        [
-            known.where(F.col("label") == F.lit(c)).withColumn("place", place).orderBy("place", "doc_id").limit(per_class)
-            for c in classes
-        ],
+    # One scan for all classes; each task passes on no more than per_class rows of a class.
+    ranked = Window.partitionBy("label").orderBy("place", "doc_id")
+    chosen = (
+        known.where(F.col("label").isin(classes))
+        .withColumn("place", place)
+        .withColumn("nth", F.row_number().over(ranked))
+        .where(F.col("nth") <= per_class)
+        .drop("nth")
     )
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).where("text IS NOT NULL")
     keys = {"key": F.xxhash64("doc_id", "label", "text"), "same": F.xxhash64("text"), "n": F.octet_length("text")}
