@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from quayside.sources.tables import BOOKKEEPING, bookkeeping_code
 FLAG_NAMES = ["active", "enabled", "published", "archived", "disabled"]
 SEVERITIES = ["error", "warning", "info"]
 
+#: What an unsized number is loaded as where there is no value to go by.
+UNSIZED = "decimal(38,18)"
+#: Digits before and after the point that a decimal holds.
+MOST_DIGITS = 38
+
 TESTS = {
     "uuid": coerce.is_uuid,
     "flag": coerce.is_zero_one,
@@ -57,6 +64,10 @@ class TextColumn:
         hinted = name.startswith("is_") or name.endswith("_flag") or name in FLAG_NAMES
         return hinted and self.declared.upper() in ("INTEGER", "INT")
 
+    def unsized(self) -> bool:
+        """Whether it is a number of any size, which only its values can tell."""
+        return self.plain_type() == UNSIZED
+
     def plain_type(self) -> str:
         """The Spark type by declaration alone; parts of words count, in order."""
         kind = self.declared.upper()
@@ -73,7 +84,7 @@ class TextColumn:
         if "NUMERIC" in kind or "DECIMAL" in kind:
             size = re.search(r"\((\d+)\s*(?:,\s*(\d+))?\s*\)", kind)
             if not size:
-                return "decimal(38,18)"
+                return UNSIZED
             # More digits than a decimal holds stay text rather than lose some.
             return f"decimal({size[1]},{size[2] or 0})" if int(size[1]) <= 38 else "string"
         return "string"
@@ -87,7 +98,9 @@ def profile(df: DataFrame, table: str, columns: Sequence[TextColumn]) -> DataFra
     """Per column how many values there are and how many fail each test.
 
     One aggregation over the table for all columns; a test runs only where the
-    declaration admits it. All values count, not a sample.
+    declaration admits it. All values count, not a sample. Columns of unsized
+    numbers also tell their most digits before and after the point, leading and
+    trailing zeros apart, and how many values are no plain numbers.
     """
     aggs, rows = [], []
     for i, col in enumerate(columns):
@@ -101,6 +114,12 @@ def profile(df: DataFrame, table: str, columns: Sequence[TextColumn]) -> DataFra
                 fails.append(F.col(f"{kind}{i}").alias(f"not_{kind}"))
             else:
                 fails.append(F.lit(None).cast("bigint").alias(f"not_{kind}"))
+        if col.unsized():
+            number, whole, places = _digits(c)
+            wrong = F.count_if((c != "") & ~F.coalesce(number, F.lit(False)))
+            aggs += [wrong.alias(f"wrong{i}"), F.max(whole).alias(f"whole{i}"), F.max(places).alias(f"places{i}")]
+        for name, count in (("not_number", "wrong"), ("digits", "whole"), ("places", "places")):
+            fails.append((F.col(f"{count}{i}") if col.unsized() else F.lit(None)).cast("bigint").alias(name))
         rows.append(
             F.struct(
                 F.lit(col.name).alias("column_name"),
@@ -116,18 +135,36 @@ def profile(df: DataFrame, table: str, columns: Sequence[TextColumn]) -> DataFra
     return counted.select(F.lit(table).alias("table_name"), F.inline(F.array(*rows)))
 
 
+def _digits(c: Column) -> tuple[Column, Column, Column]:
+    """Whether a text is a plain number, its digits before the point and after it."""
+    number = c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$")
+    whole = F.length(F.regexp_extract(c, r"^\s*[+-]?0*(\d*)", 1))
+    places = F.length(F.regexp_extract(c, r"\.(\d*?)0*\s*$", 1))
+    return number, F.when(number, whole), F.when(number, places)
+
+
 def _holds(kind: str) -> Column:
     """The column may be of this kind, has values, and none of them objects."""
     return F.coalesce((F.col(f"not_{kind}") == 0) & (F.col("present") > 0), F.lit(False))
 
 
 def infer_types(profiled: DataFrame) -> DataFrame:
-    """The type each column of a profile is loaded as."""
+    """The type each column of a profile is loaded as.
+
+    An unsized number becomes a decimal of the digits that its values have. It
+    stays text if they have more than a decimal holds, or one is no plain
+    number, so that none is rounded or lost.
+    """
     kind = F.when(_holds("uuid"), KIND_TYPES["uuid"]).when(
         F.col("autoincrement"), F.col("plain_type")
     )
     for name in ("flag", "json", "timestamp"):
         kind = kind.when(_holds(name), KIND_TYPES[name])
+    size = F.greatest(F.col("digits") + F.col("places"), F.lit(1))
+    fits = (F.col("not_number") == 0) & (size <= MOST_DIGITS)
+    exact = F.format_string("decimal(%d,%d)", size, F.col("places"))
+    # Without values the declaration decides.
+    kind = kind.when(F.col("digits").isNotNull() | (F.col("not_number") > 0), F.when(fits, exact).otherwise("string"))
     return profiled.select(
         "table_name", "column_name", "declared", kind.otherwise(F.col("plain_type")).alias("type")
     )
@@ -282,14 +319,25 @@ def severity_totals(findings: DataFrame) -> DataFrame:
 
 
 def column_samples(df: DataFrame, columns: Sequence[str], keep: int = 32) -> DataFrame:
-    """Up to ``keep`` distinct values of every column, for a person to look at.
+    """The ``keep`` least distinct values of every column, for a person to look at.
 
-    Values are made distinct before the shuffle and ranked with a limit that
-    each task applies first, so no list ever holds more than ``keep``.
+    Each task holds no more than ``keep`` values of a column and passes those
+    on, however many distinct ones there are. Nulls do not count; a column
+    without values has no row.
     """
-    text = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
-    long = df.select(*text).unpivot([], list(columns), "column_name", "value")
-    distinct = long.where("value IS NOT NULL").distinct()
+    text = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.array([], pa.binary()) for _ in columns]
+        for batch in batches:
+            for i, values in enumerate(batch.columns):
+                some = pc.unique(pa.concat_arrays([held[i], values.cast(pa.binary())])).drop_null()
+                held[i] = some.take(pc.array_sort_indices(some)[:keep])
+        whole = pa.concat_arrays(held)
+        names = [name for name, own in zip(columns, held, strict=True) for _ in range(len(own))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), whole.cast(pa.string())], ["column_name", "value"])
+
+    distinct = df.select(*text).mapInArrow(least, "column_name string, value string").distinct()
     first = Window.partitionBy("column_name").orderBy("value")
     kept = distinct.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= keep)
     return kept.groupBy("column_name").agg(

@@ -48,6 +48,41 @@ def _(raw):
     return infer.infer_types(_profile(raw))
 
 
+_NUMBERS = [TextColumn("id", "INTEGER")] + [TextColumn(c, "NUMERIC") for c in ("wide", "fine", "beyond", "price", "mixed")]
+
+
+@query(
+    "y1_unsized_numerics",
+    ["raw_numbers"],
+    """
+WITH p AS (
+  SELECT column_name, max(strlen(regexp_extract(v, '^[+-]?0*([0-9]*)', 1))) AS digits, max(strlen(regexp_extract(v, '[.]([0-9]*?)0*$', 1))) AS places,
+         bool_and(regexp_full_match(v, '[+-]?[0-9]+([.][0-9]*)?')) AS plain
+  FROM (UNPIVOT (SELECT wide, fine, beyond, price, mixed FROM raw_numbers) ON wide, fine, beyond, price, mixed INTO NAME column_name VALUE v)
+  GROUP BY 1)
+SELECT column_name, CASE WHEN plain AND digits + places <= 38 THEN 'decimal(' || (digits + places) || ',' || places || ')' ELSE 'string' END AS type FROM p
+""",
+)
+def _(raw):
+    types = infer.infer_types(infer.profile(raw, "raw_numbers", _NUMBERS))
+    return types.where("declared = 'NUMERIC'").select("column_name", "type")
+
+
+@query(
+    "y5_unsized_numerics",
+    ["raw_numbers"],
+    """
+SELECT CAST(id AS BIGINT) AS id, CAST(CAST(wide AS DECIMAL(30,0)) AS STRING) AS wide, fine,
+       beyond, CAST(CAST(price AS DECIMAL(5,2)) AS STRING) AS price, mixed FROM raw_numbers
+""",
+)
+def _(raw):
+    """Every digit arrives: the types come from the values, as a load would take them."""
+    types = infer.type_map(infer.infer_types(infer.profile(raw, "raw_numbers", _NUMBERS)))
+    typed = infer.typed_load(raw, types)
+    return typed.select(*[F.col(c).cast("bigint" if c == "id" else "string").alias(c) for c in types])
+
+
 @query(
     "y1_profile",
     ["raw_customer"],

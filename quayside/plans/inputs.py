@@ -122,6 +122,17 @@ SELECT CAST(c_custkey AS STRING) AS id,
 FROM {customer}
 """
 
+# Numbers declared without a size: long integers, many places, both, prices, not all numbers.
+DERIVED["raw_numbers"] = """
+SELECT CAST(o_orderkey AS STRING) AS id,
+       CASE WHEN o_orderkey % 7 = 0 THEN '-' ELSE '' END || '9' || lpad(CAST(o_orderkey AS STRING), 29, '0') AS wide,
+       '0.' || lpad(CAST(o_orderkey AS STRING), 21, '0') || '5' AS fine,
+       '8' || lpad(CAST(o_orderkey AS STRING), 19, '0') || '.' || lpad(CAST(o_orderkey AS STRING), 21, '0') || '5' AS beyond,
+       '00' || CAST(o_orderkey % 1000 AS STRING) || '.' || lpad(CAST(o_custkey % 100 AS STRING), 2, '0') || '00' AS price,
+       CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END AS mixed
+FROM {orders}
+"""
+
 DERIVED["raw_events"] = """
 SELECT CAST(event_id AS STRING) AS id,
        CAST(event_id % 2 AS STRING) AS enabled,
