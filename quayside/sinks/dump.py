@@ -30,6 +30,9 @@ def sql_value(name: str, kind: T.DataType) -> Column:
         text = F.concat(F.lit("X'"), F.hex(value), F.lit("'"))
     elif isinstance(kind, T.NumericType):
         text = value.cast("string")
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        # Nothing in it needs an escape.
+        text = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
     else:
         text = F.concat(F.lit('"'), escape_literal(value.cast("string")), F.lit('"'))
     return F.coalesce(text, F.lit("NULL"))
