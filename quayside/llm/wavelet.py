@@ -36,11 +36,11 @@ SHARD_TOKENS = 4 << 20
 #: Text that one task of the writer gets at most, on average.
 TASK_BYTES = 256 << 20
 #: Text that is encoded together.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 24 << 20
 #: Bits of a plane that are compressed together.
 BLOCK_BITS = 1 << 16
 #: Distinct pieces of text a worker remembers; it forgets all of them when full.
-MEMORY = 800_000
+MEMORY = 1_000_000
 
 MAGIC = b"WVMX0001"
 _HEAD = struct.Struct("<8sQQIII")
