@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayside.functions import coerce, text
-from quayside.operators import diff
+from quayside.operators import diff, keytree
 from quayside.plans.registry import query
+from quayside.session import new_path
 
 _DIFF = """
 WITH j AS (
@@ -328,6 +329,69 @@ def _(nation):
     return checks.withColumn("nations", F.lit(nation.count()))
 
 
+_RANGES = keytree.KeyRanges("l_orderkey", width=64, fanout=8, levels=2)
+
+# Contents with their copies on either side; a range is floor(key / 64).
+_RANGED = """
+WITH stacked AS (SELECT true AS here, * FROM lineitem UNION ALL SELECT false, * FROM lineitem_copy),
+held AS (SELECT * EXCLUDE (here), CAST(floor(l_orderkey / 64) AS BIGINT) AS node,
+                count(*) FILTER (here) AS s, count(*) FILTER (NOT here) AS t FROM stacked GROUP BY ALL),
+changed AS (SELECT node, node * 64 AS key_from, node * 64 + 63 AS key_to,
+                   CAST(sum(s) AS BIGINT) AS source_rows, CAST(sum(t) AS BIGINT) AS target_rows
+            FROM held GROUP BY node HAVING bool_or(s <> t))
+"""
+
+
+def _trees(lineitem, copy):
+    spark = lineitem.sparkSession
+    return [keytree.write_tree(df, _RANGES, new_path(spark, "tree")) for df in (lineitem, copy)]
+
+
+def _repaired(lineitem, copy):
+    """The copy with its ranges of even number taken from the source again."""
+    even = F.pmod(_RANGES.leaf(), F.lit(2)) == 0
+    return lineitem.where(even).unionByName(copy.where(~even))
+
+
+@query("c6_tree_ranges", ["lineitem", "lineitem_copy"], _RANGED + "SELECT * FROM changed")
+def _(lineitem, copy):
+    return keytree.changed_ranges(*_trees(lineitem, copy), _RANGES)
+
+
+@query(
+    "c6_tree_keys",
+    ["lineitem", "lineitem_copy"],
+    _RANGED
+    + """, spare AS (SELECT l_orderkey, l_linenumber, CAST(sum(greatest(s - t, 0)) AS BIGINT) AS s, CAST(sum(greatest(t - s, 0)) AS BIGINT) AS t
+            FROM held WHERE s <> t GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, least(s, t) AS mismatched, s - least(s, t) AS extra_source, t - least(s, t) AS extra_target FROM spare
+""",
+)
+def _(lineitem, copy):
+    changed = keytree.changed_ranges(*_trees(lineitem, copy), _RANGES)
+    return keytree.changed_keys(lineitem, copy, ["l_orderkey", "l_linenumber"], changed, _RANGES)
+
+
+@query(
+    "c6_tree_verify_again",
+    ["lineitem", "lineitem_copy"],
+    _RANGED + "SELECT node, key_from, key_to, node % 2 = 0 AS matched FROM changed",
+)
+def _(lineitem, copy):
+    changed = keytree.changed_ranges(*_trees(lineitem, copy), _RANGES)
+    return keytree.verify_again(lineitem, _repaired(lineitem, copy), changed, _RANGES)
+
+
+@query("c6_tree_refresh", ["lineitem", "lineitem_copy"], _RANGED + "SELECT * FROM changed WHERE node % 2 <> 0")
+def _(lineitem, copy):
+    """The copy's tree follows a repair by reading the repaired ranges alone."""
+    source, before = _trees(lineitem, copy)
+    changed = keytree.changed_ranges(source, before, _RANGES)
+    path = new_path(lineitem.sparkSession, "tree")
+    after = keytree.refresh_tree(before, _repaired(lineitem, copy), changed, _RANGES, path)
+    return keytree.changed_ranges(source, after, _RANGES)
+
+
 @query(
     "f7_json_equal",
     ["raw_customer"],

@@ -41,6 +41,19 @@ SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_order
 FROM {orders} WHERE o_orderkey % 101 = 0 AND o_orderkey > 0
 """
 
+# A second copy of lineitem: now and then a changed row, a lost one, a doubled one, and keys only the copy has.
+DERIVED["lineitem_copy"] = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       CASE WHEN l_orderkey % 499 = 17 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+       l_extendedprice, l_discount, l_tax, CASE WHEN l_orderkey % 887 = 3 THEN NULL ELSE l_returnflag END AS l_returnflag,
+       l_linestatus, l_shipdate
+FROM {lineitem} WHERE NOT (l_orderkey % 613 = 5 AND l_linenumber = 1)
+UNION ALL
+SELECT CASE WHEN l_orderkey % 709 = 8 THEN -l_orderkey ELSE l_orderkey END, l_partkey, l_suppkey, l_linenumber,
+       l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+FROM {lineitem} WHERE l_orderkey % 709 = 8 OR l_orderkey % 1201 = 2
+"""
+
 # One logged execution per event.
 DERIVED["query_log"] = """
 SELECT event_id, ts,
