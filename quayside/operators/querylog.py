@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.operators.joins import join_groups
-from quayside.operators.quantiles import approx_quantiles, exact_quantiles
+from quayside.operators.quantiles import approx_quantiles, bracketed_quantiles, rank_sketch
 from quayside.session import materialize
 
 # The metrics a ranking accepts and the rollup column of each.
@@ -56,9 +56,11 @@ _SUMS = [
 ]
 
 
-def _per_key(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _per_key(log: DataFrame, keys: Sequence[str], sketched: bool = False) -> DataFrame:
     """All counters per key and the use of its indexes, from one scan.
 
+    With ``sketched`` also the sketch that brackets its latencies' quantiles.
+
     Counted per (key, index) first, so the list of a key holds one entry per
     index however many executions there were.
     """
@@ -77,6 +79,7 @@ def _per_key(log: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("cache_misses").alias("misses"),
         F.max("shards").alias("shards"),
         F.collect_set("table_name").alias("tables"),
+        *([rank_sketch("latency_ms").alias("sketch")] if sketched else []),
     )
     used = F.when(
         F.col("index_name").isNotNull(),
@@ -89,6 +92,7 @@ def _per_key(log: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("shards").alias("shards"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("tables"),
         F.sort_array(F.collect_list(used)).alias("used"),
+        *([F.kll_merge_agg_double("sketch").alias("sketch")] if sketched else []),
     )
 
 
@@ -99,10 +103,11 @@ _QUANTILES = {"p50_latency": 0.5, "p99_latency": 0.99}
 def rollup_queries(log: DataFrame, exact: bool = True) -> DataFrame:
     """Statistics per fingerprint and keyspace, with its share of all time.
 
-    The log is scanned twice, once for the counters and once for the quantiles.
+    The log is scanned twice, once for the counters and sketches and once for
+    the values between the sketches' bounds.
     The counters are written, one row per key, as the grand total needs them too.
     """
-    base = materialize(_per_key(log, _KEYS), "rollup")
+    base = materialize(_per_key(log, _KEYS, exact), "rollup")
     return _measures(_with_quantiles(base, log, exact), _total_ms(base))
 
 
@@ -111,7 +116,10 @@ def _total_ms(base: DataFrame) -> Column:
 
 
 def _with_quantiles(base: DataFrame, log: DataFrame, exact: bool) -> DataFrame:
-    found = (exact_quantiles if exact else approx_quantiles)(log, _KEYS, "latency_ms", _QUANTILES)
+    if exact:
+        found = bracketed_quantiles(log, _KEYS, "latency_ms", _QUANTILES, base.select(*_KEYS, "sketch"))
+    else:
+        found = approx_quantiles(log, _KEYS, "latency_ms", _QUANTILES)
     return join_groups(base, found, _KEYS, "left")
 
 
@@ -193,7 +201,7 @@ def top_of_log(
     rank the counters and look for the quantiles of the winners alone, whose
     keys, ``limit`` rows, are broadcast to the second scan.
     """
-    base = materialize(_per_key(log, _KEYS), "rollup")
+    base = materialize(_per_key(log, _KEYS, exact), "rollup")
     total = _total_ms(base)
     if METRICS.get(metric) in _QUANTILES:
         return top_queries(_measures(_with_quantiles(base, log, exact), total), metric, direction, limit)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.operators import blocking, diagnostics, diff, infer, querylog, sessions
-from quayside.operators.quantiles import approx_quantiles, exact_quantiles
+from quayside.operators.quantiles import approx_quantiles, bracketed_quantiles, exact_quantiles
 from quayside.plans import copyjobs
 from quayside.plans.inputs import load
 from quayside.sources import tables
@@ -78,13 +78,14 @@ def test_diff_plan_has_no_join_of_the_copies(spark):
 # Quantiles
 
 
-def test_exact_quantiles_with_a_hot_group(spark):
+@pytest.mark.parametrize("by", [exact_quantiles, bracketed_quantiles])
+def test_exact_quantiles_with_a_hot_group(spark, by):
     rng = random.Random(5)
     rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(4000)]
     rows += [(f"k{i % 50}", float(rng.randrange(10))) for i in range(2000)] + [("one", 4.5), ("none", None), (None, 2.0), (None, 3.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(6)
     probs = {"lo": 0.0, "p50": 0.5, "p99": 0.99, "hi": 1.0}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    got = {r.k: r for r in by(df, ["k"], "v", probs).collect()}
     groups = {}
     for k, v in rows:
         if v is not None:
@@ -95,6 +96,51 @@ def test_exact_quantiles_with_a_hot_group(spark):
             assert got[k][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (k, name)
 
 
+def test_brackets_leave_few_values_and_missed_ranks_are_found(spark, monkeypatch):
+    from quayside.operators import quantiles
+
+    rng = random.Random(7)
+    rows = [(("a", "b", None)[i % 3], rng.choice([rng.lognormvariate(0, 3), 4.0])) for i in range(30_000)]
+    rows += [("tied", 1.0)] * 2000 + [("nan", float("nan"))] * 600 + [("nan", 1.0)] * 3
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"p50": 0.5, "p99": 0.99}
+    want = {r.k: (r.p50, r.p99) for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    counted = []
+    real = quantiles._at_ranks
+
+    def at_ranks(pairs, *rest):
+        counted.append(pairs.count())
+        return real(pairs, *rest)
+
+    def agree():
+        counted.clear()
+        got = {r.k: (r.p50, r.p99) for r in bracketed_quantiles(df, ["k"], "v", probs).collect()}
+        assert repr(sorted(got.items(), key=repr)) == repr(sorted(want.items(), key=repr))
+
+    monkeypatch.setattr(quantiles, "_at_ranks", at_ranks)
+    agree()
+    assert counted[0] < 2500 < df.distinct().count()
+
+    # Sketches of other values: every bracket misses its rank, and says so.
+    def elsewhere(value):
+        return quantiles.F.kll_sketch_agg_double(F.col(value).cast("double") + 1e9, F.lit(quantiles.SKETCH_ITEMS))
+
+    with monkeypatch.context() as m:
+        m.setattr(quantiles, "rank_sketch", elsewhere)
+        agree()
+    assert len(counted) == 2
+
+    monkeypatch.setattr(quantiles, "BRACKET_BYTES", 0)
+    agree()
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, v double")
+    assert bracketed_quantiles(empty, ["k"], "v", {"p50": 0.5}).collect() == []
+    nulls = spark.createDataFrame([("a", None)] * 500, "k string, v double")
+    assert bracketed_quantiles(nulls, ["k"], "v", {"p50": 0.5}).collect() == []
+
+
 def test_approx_quantiles_are_near(spark):
     df = spark.range(10_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
     row = approx_quantiles(df, ["k"], "v", {"p50": 0.5}).first()
