@@ -171,10 +171,7 @@ def _(log):
     return shared.select("query", "ncalls", "share")
 
 
-@query(
-    "w5_violation_periods",
-    ["minute_metrics"],
-    """
+VIOLATIONS = """
 WITH above AS (SELECT * FROM minute_metrics WHERE load > 300),
 runs AS (SELECT *, minute - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY metric ORDER BY minute) AS run FROM above),
 p AS (SELECT metric, min(minute) AS period_start, max(minute) + INTERVAL 1 HOUR AS e, count(*) AS minutes_in_violation,
@@ -182,8 +179,10 @@ p AS (SELECT metric, min(minute) AS period_start, max(minute) + INTERVAL 1 HOUR
 n AS (SELECT metric, max(minute) AS newest FROM minute_metrics GROUP BY 1)
 SELECT metric, period_start, CASE WHEN e <= newest THEN e END AS period_end, minutes_in_violation, peak, e > newest AS active
 FROM p JOIN n USING (metric)
-""",
-)
+"""
+
+
+@query("w5_violation_periods", ["minute_metrics"], VIOLATIONS)
 def _(minutes):
     return querylog.violation_periods(minutes, 300, "1 hour")
 

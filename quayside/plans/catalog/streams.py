@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayside.operators import sessions as ops
+from quayside.operators import spans
+from quayside.operators.joins import join_groups
+from quayside.plans.catalog.querylog import VIOLATIONS
 from quayside.plans.inputs import derive
 from quayside.plans.registry import query
-from quayside.session import new_path
+from quayside.session import materialize, new_path
 from quayside.sinks import trace
 from quayside.sources import records
-from quayside.streaming import captures, silence
+from quayside.streaming import captures, periods, silence
 
 _HEADER = trace.header_line("acme", "shop", "main", "2024-01-01T00:00:00Z", role="primary")
 
@@ -207,6 +210,60 @@ def _(events):
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("hour", "last_run_at")})
 
 
+@query(
+    "g5_span_statistics",
+    ["events"],
+    """
+SELECT date_trunc('day', ts) AS span, event_type || '-' || CAST(user_id % 20 AS STRING) AS fingerprint, CAST(count(*) AS BIGINT) AS query_count,
+       CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS error_count, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total_ms,
+       max(value) AS max_latency, true AS p50_in_bounds, true AS p99_in_bounds
+FROM events GROUP BY 1, 2
+""",
+)
+def _(events):
+    """Days merged from the hours a stream has kept, their quantiles held against the log's ranks."""
+    spark = events.sparkSession
+    probs, error = {"p50": 0.5, "p99": 0.99}, 0.02
+    streamed = derive(spark, "query_log", events=captures.table_stream(events, "events.parquet"))
+    out = new_path(spark, "hours")
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    hours = spans.hourly_sketches(streamed.withColumn("ts", F.col("ts").cast("timestamp")))
+    writer = hours.writeStream.outputMode("update").foreachBatch(write)
+    captures.start(writer, new_path(spark, "checkpoint")).awaitTermination()
+    kept = spark.read.parquet(out)
+    values = [c for c in kept.columns if c not in ("hour", "fingerprint", "batch")]
+    newest = kept.groupBy("hour", "fingerprint").agg(F.max_by(F.struct(*values), "batch").alias("v")).select("hour", "fingerprint", "v.*")
+    days = materialize(spans.span_statistics(newest, F.date_trunc("day", "hour").cast("timestamp_ntz"), probs), "days")
+
+    log = derive(spark, "query_log", events=events)
+    ranked = log.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("span"), "fingerprint", F.col("latency_ms").cast("double").alias("x"))
+    joined = join_groups(ranked, days.select("span", "fingerprint", *probs), ["span", "fingerprint"])
+    bounds = joined.groupBy("span", "fingerprint").agg(
+        *[
+            (
+                (F.count_if(F.col("x") < F.col(c)) <= F.count("*") * (p + error)) & (F.count_if(F.col("x") <= F.col(c)) >= F.count("*") * (p - error))
+            ).alias(f"{c}_in_bounds")
+            for c, p in probs.items()
+        ]
+    )
+    return join_groups(days.drop(*probs), bounds, ["span", "fingerprint"])
+
+
+@query("w5_violation_stream", ["minute_metrics"], VIOLATIONS)
+def _(minutes):
+    """The periods of a stream whose files each hold intervals of the whole time."""
+    spark = minutes.sparkSession
+    source, out = new_path(spark, "minutes"), new_path(spark, "periods")
+    minutes.repartition(4, "minute").write.parquet(source)
+    stream = spark.readStream.schema(minutes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    periods.write_violations(stream, out, new_path(spark, "checkpoint"), 300, "1 hour", "36500 days").awaitTermination()
+    rows = periods.read_violations(spark, out)
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("period_start", "period_end")})
+
+
 @query(
     "g6_silent_sources",
     ["sessions"],
