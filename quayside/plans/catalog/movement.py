@@ -268,18 +268,19 @@ def _(orders):
 
 @query(
     "k4_dump_markers",
-    ["nation"],
+    ["orders"],
     """
-SELECT * FROM (VALUES ('database', 'shop', ''), ('schema', 'shop', 'nation'), ('data', 'shop', 'nation')) t(kind, database, table_name)
+SELECT *, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('database', 'shop', ''), ('schema', 'shop', 'orders'), ('data', 'shop', 'orders')) t(kind, database, table_name)
 """,
 )
-def _(nation):
-    folder, spark = _folder(nation, "dump"), nation.sparkSession
+def _(orders):
+    folder, spark = _folder(orders, "dump"), orders.sparkSession
     dump.write_database(spark, folder, "shop")
-    dump.write_schema(nation, folder, "shop", "nation")
-    dump.write_sql(nation, folder, "shop", "nation")
+    dump.write_schema(orders, folder, "shop", "orders")
+    dump.write_sql(orders, folder, "shop", "orders")
     dump.write_marker(spark, folder)
-    return dumps.list_dump(spark, folder).select("kind", "database", "table_name").distinct()
+    listed = dumps.list_dump(spark, folder).select("kind", "database", "table_name").distinct()
+    return listed.withColumn("rows", orders.agg(F.count("*")).scalar())
 
 
 @query(
@@ -367,17 +368,17 @@ for _form in ("sql", "csv", "json"):
 
 @query(
     "k6_restore_two_databases",
-    ["nation", "region"],
+    ["customer", "supplier"],
     """
-SELECT 'a' AS db, CAST(n_nationkey AS INTEGER) AS k, n_name AS name FROM nation UNION ALL SELECT 'b', CAST(r_regionkey AS INTEGER), r_name FROM region
+SELECT 'a' AS db, CAST(c_custkey AS INTEGER) AS k, c_name AS name FROM customer UNION ALL SELECT 'b', CAST(s_suppkey AS INTEGER), s_name FROM supplier
 """,
 )
-def _(nation, region):
-    folder, target = _folder(nation, "dump"), _folder(nation, "restored")
-    spark = nation.sparkSession
+def _(customer, supplier):
+    folder, target = _folder(customer, "dump"), _folder(customer, "restored")
+    spark = customer.sparkSession
     frames = {
-        "a": nation.select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name")),
-        "b": region.select(F.col("r_regionkey").cast("int").alias("k"), F.col("r_name").alias("name")),
+        "a": customer.select(F.col("c_custkey").cast("int").alias("k"), F.col("c_name").alias("name")),
+        "b": supplier.select(F.col("s_suppkey").cast("int").alias("k"), F.col("s_name").alias("name")),
     }
     for db, df in frames.items():
         dump.write_schema(df, folder, db, "t")
