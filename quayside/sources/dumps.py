@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.text import strip, unescape_literal
+from quayside.sources.quoted import read_quoted
 from quayside.sources.statements import read_statements
 
 # A literal and a balanced group inside a value list. MySQL literals know
@@ -228,17 +229,12 @@ def read_dump_dir(
 
 
 def read_csv_dump(spark: SparkSession, path: str, schema: str, null_token: str = "") -> DataFrame:
-    """A CSV dump with header; without a null token, empty means null."""
-    return spark.read.csv(
-        path,
-        schema=schema,
-        header=True,
-        quote='"',
-        escape='"',
-        multiLine=True,
-        nullValue=null_token,
-        emptyValue="" if null_token else None,
-    )
+    """A CSV dump with header; without a null token, empty means null.
+
+    Files of any size split between tasks, see :func:`read_quoted`.
+    """
+    options = {"emptyValue": ""} if null_token else {}
+    return read_quoted(spark, path, schema, nullValue=null_token, **options)
 
 
 def read_json_dump(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.coerce import to_instant
+from quayside.sources.quoted import read_quoted
 
 TRACE_VERSION = 1
 
@@ -212,8 +213,14 @@ def trace_sessions(lines: DataFrame) -> DataFrame:
 
 
 def read_query_patterns(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A query-patterns report, CSV or gzipped CSV (by its ``.gz`` ending)."""
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True)
+    """A query-patterns report, CSV or gzipped CSV (by its ``.gz`` ending).
+
+    Without a schema the columns are text, named by the header of one file. A
+    report that is not compressed splits between tasks, see :func:`read_quoted`.
+    """
+    if schema is None:
+        schema = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).schema
+    return read_quoted(spark, path, schema)
 
 
 # The fields of an audit event; its metadata is free.

@@ -1,24 +1,21 @@
 """SQL files cut into statements, at the semicolons that end one.
 
-Every semicolon ends a record of the text source, so files of any size split
-between tasks and line ends do not matter. Whether a semicolon lies in a literal
-or a comment depends on all the text before it: each split is first read for
-what it does to the lexer's state, whatever that is at its start, and the states
-are then passed on from split to split. Only a statement that lies across splits
-is put together apart from the others.
+Files of any size split between tasks, line ends do not matter, and a statement
+or literal may lie across any number of splits.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CODE, LINE, BLOCK = "", "-", "*"
+from quayside.sources.crossing import OUTSIDE, Step, read_records
+
+CODE, LINE, BLOCK = OUTSIDE, "-", "*"
 _STATES = (CODE, "'", '"', "`", LINE, BLOCK)
 
 _OPENS = {
@@ -58,86 +55,15 @@ def advance(state: str, text: str, dialect: str) -> str:
         at = found.end()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], str]]:
-    for batch in batches:
-        files, blocks, values = (batch.column(c).to_pylist() for c in ("file", "block", "value"))
-        for f, b, v in zip(files, blocks, values, strict=True):
-            yield (f, b), v
-
-
-def _effects(dialect: str):
-    """For each split, the state it ends in by the state it began in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple[str, int], dict[str, str]] = {}
-        for place, piece in _pieces(batches):
-            ends = done.setdefault(place, {s: s for s in _STATES})
-            moved = {s: advance(s, piece, dialect) for s in set(ends.values())}
-            for s, end in ends.items():
-                ends[s] = moved[end]
-        rows = [(f, b, s, e) for (f, b), ends in done.items() for s, e in ends.items()]
-        if rows:
-            names = ["file", "block", "before", "after"]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
-
-    return run
-
-
-def _assembled(dialect: str, starts: dict[tuple[str, int], str]):
-    """Statements of each split; the ends of those that lie across splits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        place, state, open_, held = None, CODE, False, []
-
-        def close(kind: str) -> None:
-            out.append((place[0], place[1], kind, ";".join(held)))
-            held.clear()
-
-        def end_of_split() -> None:
-            if held:
-                close("through" if open_ else "tail")
-
-        for now, piece in _pieces(batches):
-            if now != place:
-                end_of_split()
-                place, state = now, starts.get(now, CODE)
-                open_ = state != CODE
-            held.append(piece)
+def _stepper(dialect: str) -> Step:
+    def step(state: str, texts: pa.Array) -> list[str]:
+        out = []
+        for piece in texts.to_pylist():
             state = advance(state, piece, dialect)
-            if state == CODE:
-                close("head" if open_ else "whole")
-                open_ = False
-            if len(out) >= 1000:
-                yield _batch(out)
-                out.clear()
-        end_of_split()
-        if out:
-            yield _batch(out)
-
-    return run
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["file", "block", "kind", "statement"]
-    return pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)))
-
-
-def _joined(parts: pd.DataFrame) -> pd.DataFrame:
-    """Statements of one file that lie across its splits."""
-    out, held = [], []
-    for kind, text in zip(*(parts.sort_values("block")[c] for c in ("kind", "statement")), strict=True):
-        if kind == "tail" and held:
-            out.append((";".join(held), False))
-            held = []
-        held.append(text)
-        if kind == "head":
-            out.append((";".join(held), True))
-            held = []
-    if held:
-        out.append((";".join(held), False))
-    file = parts["file"].iloc[0]
-    return pd.DataFrame([(file, s, ended) for s, ended in out], columns=["file", "statement", "ended"])
+            out.append(state)
+        return out
+
+    return step
 
 
 def read_statements(
@@ -147,39 +73,10 @@ def read_statements(
 
     Comments before a statement are removed. ``ended`` is false for text
     that a literal or comment left open runs through to the end of its file.
-    Reads the files once while being built, for the state at each split.
+    Files of several splits are read once while this is built, see
+    :func:`read_records`.
     """
-    raw = (
-        spark.read.option("lineSep", ";")
-        .option("recursiveFileLookup", "true")
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            "value",
-        )
-    )
-    effects = raw.mapInArrow(_effects(dialect), "file string, block bigint, before string, after string")
-    # A few rows for each split of the files, not for their statements.
-    ends: dict[tuple[str, int], dict[str, str]] = {}
-    for r in effects.collect():
-        ends.setdefault((r.file, r.block), {})[r.before] = r.after
-    starts: dict[tuple[str, int], str] = {}
-    state, file, crossing = CODE, None, False
-    for place in sorted(ends):
-        state = state if place[0] == file else CODE
-        file = place[0]
-        if state != CODE:
-            starts[place] = state
-        state = ends[place][state]
-        crossing = crossing or state != CODE
-    found = raw.mapInArrow(_assembled(dialect, starts), "file string, block bigint, kind string, statement string")
-    whole = found.where("kind = 'whole'").select("file", "statement", F.lit(True).alias("ended"))
-    if crossing:
-        across = found.where("kind <> 'whole'").groupBy("file").applyInPandas(
-            _joined, "file string, statement string, ended boolean"
-        )
-        whole = whole.unionByName(across)
-    text = F.regexp_replace("statement", _BEFORE, "")
+    found = read_records(spark, paths, ";", _STATES, _stepper(dialect))
+    text = F.regexp_replace("record", _BEFORE, "")
     text = F.regexp_replace(text, r"\s+$", "")
-    return whole.select("file", text.alias("statement"), "ended").where("statement <> ''")
+    return found.select("file", text.alias("statement"), "ended").where("statement <> ''")
