@@ -28,6 +28,10 @@ OUTSIDE = ""
 #: The state after each of some pieces, by the state before the first.
 Step = Callable[[str, pa.Array], Sequence[str]]
 
+#: A record as it is wanted, made where it is put together: long texts cleaned
+#: by column functions would be cleaned again in every filter on them.
+Finish = Callable[[str], str]
+
 _Place = tuple[str, int]
 
 
@@ -80,6 +84,8 @@ def _effects(states: Sequence[str], step: Step):
     return run
 
 
+_NAMES = ["file", "record", "first", "ended"]
+_RECORDS = "file string, record string, first boolean, ended boolean"
 _EFFECTS = "file string, block bigint, pieces bigint, before string, after string, first_end bigint, last_end bigint"
 _EDGES = "file string, block bigint, state string, owner bigint, head bigint, tail bigint, torn boolean"
 
@@ -109,7 +115,7 @@ def _chained(effects: pd.DataFrame) -> pd.DataFrame:
     return edges.astype({"owner": "Int64", "tail": "Int64"})
 
 
-def _inner(separator: str, step: Step, names: Sequence[str]):
+def _inner(separator: str, step: Step, finish: Finish):
     """Records that lie in one split, and what is left open in a file of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +123,9 @@ def _inner(separator: str, step: Step, names: Sequence[str]):
 
         def rest() -> Iterator[pa.RecordBatch]:
             if held and alone:
+                text = finish(separator.join(held))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([place[0]]), pa.array([separator.join(held)]), pa.array([made == 0]), pa.array([False])], names
+                    [pa.array([place[0]]), pa.array([text]), pa.array([made == 0]), pa.array([False])], _NAMES
                 )
 
         for now, batch in _runs(batches):
@@ -151,7 +158,8 @@ def _inner(separator: str, step: Step, names: Sequence[str]):
             if records:
                 n = len(records)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([place[0]] * n), pa.array(records, pa.string()), pa.array(first), pa.array([True] * n)], names
+                    [pa.array([place[0]] * n), pa.array(map(finish, records), pa.string()), pa.array(first), pa.array([True] * n)],
+                    _NAMES,
                 )
         yield from rest()
 
@@ -191,8 +199,24 @@ def _parts(separator: str):
     return run
 
 
+def _across(separator: str, finish: Finish):
+    """One record from its parts in several splits."""
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        text = finish(separator.join(parts.sort_values("block")["part"]))
+        row = (parts["file"].iloc[0], text, parts["first"].any(), not parts["torn"].any())
+        return pd.DataFrame([row], columns=_NAMES)
+
+    return run
+
+
 def read_records(
-    spark: SparkSession, paths: str | Sequence[str], separator: str, states: Sequence[str], step: Step
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    separator: str,
+    states: Sequence[str],
+    step: Step,
+    finish: Finish = str,
 ) -> DataFrame:
     """Columns file, record, first and ended: every record of text files.
 
@@ -218,10 +242,9 @@ def read_records(
     # Some rows for each split of a file; written, so that its true size decides on the join.
     edges = materialize(effects.groupBy("file").applyInPandas(_chained, _EDGES), "edges")
     crossing = not edges.isEmpty()
-    names = ["file", "record", "first", "ended"]
-    schema = "file string, record string, first boolean, ended boolean"
+    inner = _inner(separator, step, finish)
     if not crossing:
-        return raw.withColumn("state", F.lit(OUTSIDE)).mapInArrow(_inner(separator, step, names), schema)
+        return raw.withColumn("state", F.lit(OUTSIDE)).mapInArrow(inner, _RECORDS)
     numbered = raw.withColumn("at", F.monotonically_increasing_id())
 
     def in_order(df: DataFrame) -> DataFrame:
@@ -229,14 +252,9 @@ def read_records(
         return df.sortWithinPartitions("file", "block", "at")
 
     joined = numbered.join(edges.select("file", "block", "state"), ["file", "block"], "left")
-    inner = in_order(joined.fillna({"state": OUTSIDE})).mapInArrow(_inner(separator, step, names), schema)
+    within = in_order(joined.fillna({"state": OUTSIDE})).mapInArrow(inner, _RECORDS)
     parts = in_order(numbered.join(edges, ["file", "block"])).mapInArrow(
         _parts(separator), "file string, owner bigint, block bigint, part string, first boolean, torn boolean"
     )
-    ordered = F.array_sort(F.collect_list(F.struct("block", "part")))
-    across = parts.groupBy("file", "owner").agg(
-        F.array_join(F.transform(ordered, lambda p: p["part"]), separator).alias("record"),
-        F.bool_or("first").alias("first"),
-        (~F.bool_or("torn")).alias("ended"),
-    )
-    return inner.unionByName(across.select(*names))
+    across = parts.groupBy("file", "owner").applyInPandas(_across(separator, finish), _RECORDS)
+    return within.unionByName(across)

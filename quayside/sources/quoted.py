@@ -27,6 +27,10 @@ def _quotes(state: str, texts: pa.Array) -> np.ndarray:
     return np.where((seen + (state == _QUOTED)) % 2 == 1, _QUOTED, OUTSIDE)
 
 
+def _line(record: str) -> str:
+    return record.removesuffix("\r")
+
+
 def read_quoted(
     spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType, **options: str
 ) -> DataFrame:
@@ -39,9 +43,9 @@ def read_quoted(
     left open at the end of a file fails the job. A row may repeat and there is
     no order. For what is read while this is built see :func:`read_records`.
     """
-    found = read_records(spark, paths, "\n", (OUTSIDE, _QUOTED), _quotes).where("NOT first")
+    found = read_records(spark, paths, "\n", (OUTSIDE, _QUOTED), _quotes, _line).where("NOT first")
     torn = F.concat(F.lit("a quote is left open at the end of "), F.col("file"))
-    record = F.when(F.col("ended"), F.regexp_replace("record", "\r$", "")).otherwise(F.raise_error(torn).cast("string"))
+    record = F.when(F.col("ended"), F.col("record")).otherwise(F.raise_error(torn).cast("string"))
     parsed = F.from_csv("record", _ddl(schema), {"quote": _QUOTED, "escape": _QUOTED, "multiLine": "true", **options})
     rows = found.select(record.alias("record")).where("record <> ''").select(parsed.alias("row"))
     return rows.select("row.*")

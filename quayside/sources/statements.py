@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.functions.text import WHITESPACE
 from quayside.sources.crossing import OUTSIDE, Step, read_records
 
 CODE, LINE, BLOCK = OUTSIDE, "-", "*"
@@ -33,7 +34,7 @@ _QUOTED = {
 }
 
 # Comments before a statement; those the server runs (/*! */) are part of it.
-_BEFORE = r"^(?:\s*+(?:--[^\n]*+(?:\n|\z)|/\*(?!!)(?:[^*]++|\*(?!/))*+\*/)?)*+"
+_BEFORE = re.compile(r"(?:\s*+(?:--[^\n]*+(?:\n|\Z)|/\*(?!!)(?:[^*]++|\*(?!/))*+\*/)?)*+", re.ASCII)
 
 
 def advance(state: str, text: str, dialect: str) -> str:
@@ -55,6 +56,11 @@ def advance(state: str, text: str, dialect: str) -> str:
         at = found.end()
 
 
+def _bare(statement: str) -> str:
+    """Without the comments before it and white space around it."""
+    return statement[_BEFORE.match(statement).end():].rstrip(WHITESPACE)
+
+
 def _stepper(dialect: str) -> Step:
     def step(state: str, texts: pa.Array) -> list[str]:
         out = []
@@ -76,7 +82,5 @@ def read_statements(
     Files of several splits are read once while this is built, see
     :func:`read_records`.
     """
-    found = read_records(spark, paths, ";", _STATES, _stepper(dialect))
-    text = F.regexp_replace("record", _BEFORE, "")
-    text = F.regexp_replace(text, r"\s+$", "")
-    return found.select("file", text.alias("statement"), "ended").where("statement <> ''")
+    found = read_records(spark, paths, ";", _STATES, _stepper(dialect), _bare)
+    return found.select("file", F.col("record").alias("statement"), "ended").where("statement <> ''")
