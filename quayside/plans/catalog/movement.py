@@ -9,7 +9,7 @@ from quayside.operators.diff import union_all
 from quayside.plans import copyjobs
 from quayside.plans.registry import query
 from quayside.session import new_path
-from quayside.sinks import dump, restore, results
+from quayside.sinks import committed, dump, restore, results
 from quayside.sources import dumps, records, tables
 
 
@@ -249,6 +249,27 @@ def _(raw):
     return dumps.read_csv_dump(raw.sparkSession, dump.data_path(folder, "shop", "customer", "csv"), schema)
 
 
+@query(
+    "k2_committed_csv",
+    ["documents"],
+    "SELECT *, (SELECT count(*) FROM documents) AS dumped FROM (SELECT doc_id, text, lang, source, n_chars FROM documents)",
+)
+def _(documents):
+    folder, spark = _folder(documents, "dump"), documents.sparkSession
+    totals = committed.write_committed(documents, folder, "shop", "documents", "csv", null_token="\\N")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.schema.fields)
+    rows = dumps.read_csv_dump(spark, f"{folder}/*.csv", schema, null_token="\\N")
+    return rows.withColumn("dumped", F.lit(totals["rows"]).cast("bigint"))
+
+
+@query("k1_committed_sql", ["lineitem"], "SELECT *, (SELECT count(*) FROM lineitem) AS dumped FROM lineitem")
+def _(lineitem):
+    folder, spark = _folder(lineitem, "dump"), lineitem.sparkSession
+    totals = committed.write_committed(lineitem, folder, "shop", "lineitem")
+    rows = dumps.dump_table(dumps.read_dump_dir(spark, folder), "lineitem", lineitem.columns)
+    return restore.typed_rows(rows, lineitem.schema).withColumn("dumped", F.lit(totals["rows"]).cast("bigint"))
+
+
 @query("k3_json_dump", ["raw_customer"], "SELECT id, name, is_vip, metadata, payload FROM raw_customer")
 def _(raw):
     rows = raw.select("id", "name", "is_vip", "metadata", "payload")

@@ -6,7 +6,7 @@ import csv
 import io
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +44,10 @@ def row_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("("), F.concat_ws(",", *values), F.lit(")")).alias("row"))
 
 
-def pack_rows(
-    rows: DataFrame,
-    limit: int,
-    between: str,
-    head: str = "",
-    tail: str = "",
-    file_head: str = "",
-    per_file: int = 1,
-) -> DataFrame:
-    """Row texts packed into records, in each task on its own.
-
-    A record is closed once its rows reach ``limit`` bytes. There is no order
-    between tasks, hence no shuffle; what is left at the end of a task becomes a
-    last, smaller record. Rows are cut and joined as Arrow arrays, not one by
-    one. With ``file_head``, every ``per_file``-th record of a task begins with
-    it, as does the only one of a task without rows.
-    """
+def packer(
+    limit: int, between: str, head: str = "", tail: str = "", file_head: str = "", per_file: int = 1
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The packing of :func:`pack_rows`, as it goes on inside a task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
@@ -96,6 +83,27 @@ def pack_rows(
         if held or (file_head and not made):
             yield pa.RecordBatch.from_pydict({"value": [record()]})
 
+    return pack
+
+
+def pack_rows(
+    rows: DataFrame,
+    limit: int,
+    between: str,
+    head: str = "",
+    tail: str = "",
+    file_head: str = "",
+    per_file: int = 1,
+) -> DataFrame:
+    """Row texts packed into records, in each task on its own.
+
+    A record is closed once its rows reach ``limit`` bytes. There is no order
+    between tasks, hence no shuffle; what is left at the end of a task becomes a
+    last, smaller record. Rows are cut and joined as Arrow arrays, not one by
+    one. With ``file_head``, every ``per_file``-th record of a task begins with
+    it, as does the only one of a task without rows.
+    """
+    pack = packer(limit, between, head, tail, file_head, per_file)
     return rows.mapInArrow(pack, "value string")
 
 
@@ -148,7 +156,20 @@ def csv_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
-def _csv_header(columns: list[str]) -> str:
+def csv_lines(df: DataFrame, null_token: str = "") -> DataFrame:
+    """One CSV line per row, which has line breaks where a value does."""
+    options = {
+        "quote": '"',
+        "escape": '"',
+        "nullValue": null_token,
+        "emptyValue": '""' if null_token else "",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+    return csv_text(df).select(F.to_csv(F.struct("*"), options).alias("value"))
+
+
+def csv_header(columns: list[str]) -> str:
     out = io.StringIO()
     csv.writer(out, lineterminator="\n").writerow(columns)
     return out.getvalue()
@@ -171,17 +192,9 @@ def write_csv(
     pass over the table. A table whose plan is known to be empty runs no task
     and leaves a folder without a header.
     """
-    options = {
-        "quote": '"',
-        "escape": '"',
-        "nullValue": null_token,
-        "emptyValue": '""' if null_token else "",
-        "ignoreLeadingWhiteSpace": "false",
-        "ignoreTrailingWhiteSpace": "false",
-    }
-    lines = csv_text(df).select(F.to_csv(F.struct("*"), options).alias("value"))
+    lines = csv_lines(df, null_token)
     per_file = records_per_file(chunk_mb, record_bytes)
-    packed = pack_rows(lines, record_bytes, "\n", file_head=_csv_header(df.columns), per_file=per_file)
+    packed = pack_rows(lines, record_bytes, "\n", file_head=csv_header(df.columns), per_file=per_file)
     packed.write.option("maxRecordsPerFile", per_file).text(data_path(folder, database, table, "csv"))
 
 
