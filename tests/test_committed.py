@@ -47,7 +47,7 @@ def test_a_failed_job_leaves_nothing(spark, folder):
 def test_tables_share_a_folder_and_may_be_empty(spark, folder):
     out = folder("dump")
     assert committed.write_committed(spark.range(0), out, "shop", "none")["files"] == 0
-    assert committed.write_committed(spark.range(5), out, "shop", "some", "json")["rows"] == 5
+    assert committed.write_committed(spark.range(0, 5, 1, 1), out, "shop", "some", "json")["rows"] == 5
     assert names(out) == ["shop.none-totals", "shop.some-totals", "shop.some.00000.json"]
     with pytest.raises(ValueError):
         committed.write_committed(spark.range(5), out, "shop", "x", "xml")
