@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 4 << 20
 _local_work_dir: str | None = None
 
 
@@ -40,6 +42,15 @@ def build_session(
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Python worker gets at a time, however long the rows.
+
+    A batch otherwise grows with the split, as thousands of long records fit
+    into one. The setting is the session's, since frames run after this returns.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables, shared by all executors."""
     global _local_work_dir

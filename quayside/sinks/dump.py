@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.functions.text import escape_literal, quote_identifier
+from quayside.session import bounded_batches
 
 STATEMENT_BYTES = 1_000_000
 CHUNK_MB = 128
@@ -103,6 +104,7 @@ def pack_rows(
     one. With ``file_head``, every ``per_file``-th record of a task begins with
     it, as does the only one of a task without rows.
     """
+    bounded_batches(rows.sparkSession)
     pack = packer(limit, between, head, tail, file_head, per_file)
     return rows.mapInArrow(pack, "value string")
 

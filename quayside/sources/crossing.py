@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.session import materialize
+from quayside.session import bounded_batches, materialize
 
 #: The state outside of everything: a separator there ends a record.
 OUTSIDE = ""
@@ -227,6 +227,7 @@ def read_records(
     split; a file that is one split (a small one, or one compressed as a
     whole) is not. A record that lies across splits is held whole by one task.
     """
+    bounded_batches(spark)
     raw = (
         spark.read.option("lineSep", separator)
         .option("recursiveFileLookup", "true")

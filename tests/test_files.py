@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quayside.plans.copyjobs import CopyError
 from quayside.sinks import dump, restore, trace
-from quayside.sources import dumps, records
+from quayside.sources import crossing, dumps, records
 from quayside.streaming import captures
 
 WIDE = "id int, name string, empty string, nothing string, amount decimal(10,2), at timestamp_ntz, flag boolean, raw binary, ratio double"
@@ -308,3 +308,35 @@ def test_capture_stream_repeats_nothing_on_restart(spark, folder):
     rows = records.trace_sessions(lines).orderBy("pid").collect()
     assert [(r.pid, r.instance_role, r.duration_ms) for r in rows] == [(11, "primary", 7), (12, "primary", 7)]
     assert lines.where("kind = 'header'").count() == 1
+
+
+def test_python_workers_get_bounded_batches(spark, folder, monkeypatch):
+    """Long rows and records are not gathered by the thousand."""
+    rows = spark.range(0, 24, 1, 1).select("id", F.repeat(F.lit("é"), 500_000).alias("t"))
+    kept = dump.packer
+
+    def watched(*args, **named):
+        pack = kept(*args, **named)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.nbytes < 8 << 20
+                    yield batch
+
+            return pack(seen())
+
+        return run
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(dump, "packer", watched)
+    out = folder("dump")
+    dump.write_csv(rows, out, "shop", "t")
+
+    def step(state, texts):
+        assert texts.nbytes < 8 << 20
+        return [state] * len(texts)
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    lines = crossing.read_records(spark, dump.data_path(out, "shop", "t", "csv"), "\n", (crossing.OUTSIDE,), step)
+    assert lines.where("NOT first AND record <> ''").count() == 24
