@@ -37,6 +37,8 @@ SHARD_TOKENS = 4 << 20
 TASK_BYTES = 256 << 20
 #: Text that is encoded together.
 ENCODE_BYTES = 24 << 20
+#: Pieces of text whose ids are put together at a time.
+RUN_PIECES = 1 << 18
 #: Bits of a plane that are compressed together.
 BLOCK_BITS = 1 << 16
 #: Distinct pieces of text a worker remembers; it forgets all of them when full.
@@ -122,15 +124,26 @@ class Encoder:
         offsets = pa.py_buffer(edges.astype(np.int64))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        codes = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        marks = np.searchsorted(edges, np.concatenate([[0], ends]))
+        indices = coded.indices.to_numpy()
+        words = coded.dictionary.to_pylist()
+        del cut, edges, offsets, pieces, coded
+        codes = self._codes(words)
         starts = self._ends[codes]
-        n = self._ends[codes + 1] - starts
-        after = np.cumsum(n)
-        at = np.repeat((starts - after + n).astype(np.int32), n)
-        at += np.arange(len(at), dtype=np.int32)
-        out = self._flat[at]
-        total = np.concatenate([[0], after])[np.searchsorted(edges, np.concatenate([[0], ends]))]
-        return out, np.diff(total)
+        sizes = self._ends[codes + 1] - starts
+        out, total, done = [], np.zeros(len(marks), np.int64), 0
+        # What is as long as the text is one byte or four an item; longer numbers are made run by run.
+        for a in range(0, len(indices), RUN_PIECES):
+            some = indices[a : a + RUN_PIECES]
+            n = sizes[some]
+            after = np.cumsum(n)
+            at = np.repeat((starts[some] - after + n).astype(np.int32), n)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self._flat[at])
+            low, high = np.searchsorted(marks, [a, a + len(some)], "right")
+            total[low:high] = done + after[marks[low:high] - a - 1]
+            done += len(at)
+        return np.concatenate(out), np.diff(total)
 
 
 def _marked(chars: bytes) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -283,3 +284,18 @@ def test_toxicity_gradient_by_plain_loops():
     for t in feature:
         known = [model.slots[f] for f in feature[t] if model.slots[f] >= 0]
         assert float(model.logits(pa.array([t]))[0]) == pytest.approx(model.bias + sum(model.weights[s] for s in known))
+
+
+def test_encoding_needs_few_times_the_text():
+    encoder = wavelet.Encoder(path(wavelet.TOKENIZER))
+    words = b" ab cd" * 700_000
+    encoder.encode([words[:600]])
+    tracemalloc.start()
+    try:
+        ids, n = encoder.encode([b"", words, b"", words[:6]])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    small, _ = encoder.encode([words[:6]])
+    assert n.tolist() == [0, 700_000 * len(small), 0, len(small)] and np.array_equal(ids, np.tile(small, 700_001))
+    assert most < 8 * len(words)
