@@ -51,3 +51,26 @@ def test_tables_share_a_folder_and_may_be_empty(spark, folder):
     assert names(out) == ["shop.none-totals", "shop.some-totals", "shop.some.00000.json"]
     with pytest.raises(ValueError):
         committed.write_committed(spark.range(5), out, "shop", "x", "xml")
+
+
+def test_a_task_gets_bounded_batches(spark, folder, monkeypatch):
+    base = committed._Writer
+
+    class Writer(base):
+        def write(self, iterator):
+            def seen():
+                for batch in iterator:
+                    assert batch.nbytes < 8 << 20
+                    yield batch
+
+            return super().write(seen())
+
+    class Sink(committed.DumpSink):
+        def writer(self, schema, overwrite):
+            return Writer(self.options)
+
+    monkeypatch.setattr(committed, "DumpSink", Sink)
+    rows = spark.range(0, 24, 1, 1).select("id", F.repeat(F.lit("é"), 500_000).alias("t"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    totals = committed.write_committed(rows, folder("dump"), "shop", "t", "csv")
+    assert totals["rows"] == 24
