@@ -7,6 +7,7 @@ ordered limit, which Spark runs as a top-k inside each task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
@@ -160,7 +161,8 @@ def redundant_indexes(indexes: DataFrame, limit: int | None = None) -> DataFrame
     another, or when a unique index already covers its leading columns.
     Candidates are found by grouping column prefixes, never by pairing the
     indexes of a table, so a table with very many indexes costs one row per
-    index and leading column.
+    index and leading column. The distinct column lists are written while this
+    is built; ``indexes`` is read for them and once more for the result.
     """
     key = ["db", "relid"]
     name = F.col("index_name")
@@ -169,6 +171,7 @@ def redundant_indexes(indexes: DataFrame, limit: int | None = None) -> DataFrame
     lists = indexes.groupBy(*key, F.col("columns").alias("cols")).agg(
         F.min(F.when(F.col("is_unique"), name)).alias("unique"), F.min(name).alias("any")
     )
+    lists = materialize(lists, "column-lists")
     parts = F.split("cols", ",")
     prefixes = lists.select(
         *key,
@@ -554,14 +557,29 @@ CHECKS: dict[str, tuple[Check, list[str]]] = {
 }
 
 
+#: An input that so many checks read is made once, whatever joins lie behind it.
+SHARED = 3
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The frame as a written table; one that can't be written stays as it is, for the checks that do without its faults."""
+    try:
+        return materialize(df, "input")
+    except (PySparkException, Py4JJavaError):
+        return df
+
+
 def report(inputs: Mapping[str, DataFrame | Column], names: Sequence[str] = ()) -> DataFrame:
     """All checks as one frame of rows in JSON.
 
     A check without its inputs, or one that fails, becomes a row that says why
     it was skipped; the others still run. Each check is written out on its own,
-    so a failure while running stays with the check that failed.
+    so a failure while running stays with the check that failed. An input that
+    at least ``SHARED`` of the checks read is written once, unless that fails.
     """
     frames = []
+    uses = Counter(n for name in names or CHECKS for n in CHECKS[name][1])
+    inputs = dict(inputs)
     spark = next(v for v in inputs.values() if isinstance(v, DataFrame)).sparkSession
     for name in names or CHECKS:
         fn, needs = CHECKS[name]
@@ -569,6 +587,9 @@ def report(inputs: Mapping[str, DataFrame | Column], names: Sequence[str] = ())
         reason = f"unavailable: {', '.join(missing)}" if missing else None
         if not missing:
             try:
+                for n in needs:
+                    if uses.pop(n, 0) >= SHARED and isinstance(inputs[n], DataFrame):
+                        inputs[n] = _written(inputs[n])
                 rows = fn(*[inputs[n] for n in needs])
                 db = F.col("db") if "db" in rows.columns else F.lit(None).cast("string")
                 done = rows.select(

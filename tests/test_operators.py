@@ -439,3 +439,38 @@ def test_table_patterns(spark):
     assert kept("s.*, a") == {("public", "a"), ("s", "a"), ("s", "b")}
     assert kept("s.b,") == {("s", "b")}
     assert kept("") == set()
+
+
+def _some_indexes(spark, n=60):
+    return spark.range(n).selectExpr(
+        "'d' AS db", "id % 7 AS relid", "'s' AS schema_name", "'t' AS rel_name", "'r' AS table_kind", "concat('i', id) AS index_name",
+        "substring('a,b,c', 1, int(id % 3) * 2 + 1) AS columns", "id AS index_bytes", "id % 9 AS scans", "id % 4 = 0 AS is_unique",
+        "false AS is_primary", "id % 2 = 0 AS is_valid", "true AS is_ready",
+    )
+
+
+def test_redundant_indexes_read_their_input_once_more(spark):
+    found = diagnostics.redundant_indexes(_some_indexes(spark))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_report_makes_a_shared_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    plain = _some_indexes(spark)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    names = ["index-sizes", "unused-indexes", "redundant-indexes", "invalid-indexes"]
+    rows = diagnostics.report({"indexes": plain.mapInArrow(counted, plain.schema)}, names)
+    assert made.value == 60
+    apart = {r.check: r.n for r in rows.groupBy("check").agg(F.count("*").alias("n")).collect()}
+    assert apart == {"index-sizes": 25, "unused-indexes": 45, "redundant-indexes": 50, "invalid-indexes": 30}
+
+
+def test_a_fault_in_a_shared_input_stays_with_the_check_that_reads_it(spark):
+    torn = _some_indexes(spark).withColumn("is_valid", F.raise_error(F.lit("no such state")).cast("boolean"))
+    rows = diagnostics.report({"indexes": torn}, ["index-sizes", "unused-indexes", "invalid-indexes"]).collect()
+    assert {r.check for r in rows if r.skipped} == {"invalid-indexes"} and len(rows) == 25 + 45 + 1
