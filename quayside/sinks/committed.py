@@ -53,7 +53,6 @@ class _Writer(DataSourceArrowWriter):
         o = self.options
         limit, task = int(o["file_bytes"]), TaskContext.get()
         system, staging = _place(self._staging())
-        system.create_dir(staging, recursive=True)
         head = o.get("file_head", "").encode()
         rows, files, out, size = 0, [], None, 0
 
@@ -162,7 +161,8 @@ def write_committed(
     totals = f"{place}/{options['stem']}{TOTALS}"
     if system.get_file_info(totals).type != fs.FileType.NotFound:
         raise FileExistsError(f"{folder} already holds {options['stem']}")
-    system.create_dir(place, recursive=True)
+    # Made here and not by the tasks: one that still runs when the job has failed would make it anew.
+    system.create_dir(f"{place}/_staging-{options['job']}", recursive=True)
     spark.dataSource.register(DumpSink)
     bounded_batches(spark)
     lines.toDF("value").write.format(DumpSink.name()).options(**options).mode("append").save()
