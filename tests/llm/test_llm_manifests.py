@@ -48,6 +48,42 @@ def test_encoder_cuts_change_no_id():
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+class Counted:
+    """A tokenizer that counts the inputs it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.inputs = tokenizer, 0
+
+    def encode_batch_fast(self, inputs, **options):
+        self.inputs += len(inputs)
+        return self.tokenizer.encode_batch_fast(inputs, **options)
+
+
+def test_new_pieces_are_encoded_together():
+    plain, encoder = Tokenizer.from_file(path(wavelet.TOKENIZER)), wavelet.Encoder(path(wavelet.TOKENIZER))
+    encoder._tokenizer = counted = Counted(plain)
+    words = " ".join(f"wörd{i * 7919}<|endoftext|>日本, {i}" for i in range(5000))
+    texts = [words.encode(), b"\xff broken \xc3 bytes\xe2\x82", b"", " \n  é<|endoftext|>".encode()]
+    ids, n = encoder.encode(texts)
+    want = [plain.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert counted.inputs <= 5
+
+
+def test_ids_that_leave_out_bytes_go_by_inputs(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    # Bytes that are no token have no id, as there is no unknown one.
+    known = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, "Ġ": 3}, [("a", "b")]))
+    known.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    known.save(str(tmp_path / "t.json"))
+    encoder = wavelet.Encoder(str(tmp_path / "t.json"))
+    texts = ["ab xab", "zzz", "", "b éa  ab", "ab ab"]
+    ids, n = encoder.encode([t.encode() for t in texts])
+    want = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("sigma", [1, 2, 3, 70, 40_000])
 def test_matrix_answers_from_the_file(tmp_path, sigma):
     rng = np.random.default_rng(sigma)
