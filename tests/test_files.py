@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.plans.copyjobs import CopyError
-from quayside.sinks import dump, restore, trace
-from quayside.sources import crossing, dumps, records
+from quayside.sinks import dump, restore, results, trace
+from quayside.sources import crossing, dumps, quoted, records, statements
 from quayside.streaming import captures
 
 WIDE = "id int, name string, empty string, nothing string, amount decimal(10,2), at timestamp_ntz, flag boolean, raw binary, ratio double"
@@ -340,3 +340,33 @@ def test_python_workers_get_bounded_batches(spark, folder, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     lines = crossing.read_records(spark, dump.data_path(out, "shop", "t", "csv"), "\n", (crossing.OUTSIDE,), step)
     assert lines.where("NOT first AND record <> ''").count() == 24
+
+
+@pytest.mark.parametrize("form", ["sql", "csv"])
+def test_dumps_and_results_are_lexed_in_bounded_batches(spark, folder, monkeypatch, request, form):
+    """The steps of k1_sql_dump_text and of k7_results."""
+    rows = spark.range(0, 12, 1, 1).select("id", F.repeat(F.lit("é"), 500_000).alias("t"))
+
+    def watched(step):
+        def run(state, texts):
+            assert texts.nbytes < 8 << 20
+            return step(state, texts)
+
+        return run
+
+    kept = statements._stepper
+    monkeypatch.setattr(statements, "_stepper", lambda dialect: watched(kept(dialect)))
+    monkeypatch.setattr(quoted, "_quotes", watched(quoted._quotes))
+    out = folder("out")
+    # All of it is one split.
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.files.minPartitionNum"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    if form == "sql":
+        dump.write_sql(rows, out, "shop", "t", statement_bytes=200_000)
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        back = dumps.dump_table(dumps.read_sql_dump(spark, f"{out}/*.sql"), "t", rows.columns)
+    else:
+        results.write_result(results.one_line_values(rows), out, "csv")
+        back = dumps.read_csv_dump(spark, out, "id string, t string")
+    assert back.agg(F.count("*"), F.sum(F.length("t"))).first()[:] == (12, 6_000_000)
